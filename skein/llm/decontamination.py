@@ -14,7 +14,6 @@ repeated item ids each row counts as the same item.  Repeated documents each get
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -203,6 +202,3 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

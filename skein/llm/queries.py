@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontamination, language_id, packing, quality_classifier, quality_rules, url_filter
+from skein.llm import decontamination, language_id, language_model, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
 from skein.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.op2_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op3_suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op4_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,5 +38,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op9_language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op4_decontamination, op6_url_filter, op7_packing, op9_language_id)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.op10_language_model(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_decontamination, op6_url_filter, op7_packing, op9_language_id, op10_language_model)}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.OP4_SQL}
