@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontamination, language_id, language_model, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
+from skein.llm import decontamination, language_id, language_model, near_duplicates, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filter
 from skein.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op4_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op5_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op6_url_filter(table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op7_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.op8_ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op9_language_id(table(spark, sf_dir, "documents"))
 
@@ -42,5 +50,5 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.op10_language_model(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_decontamination, op6_url_filter, op7_packing, op9_language_id, op10_language_model)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_decontamination, op5_pii, op6_url_filter, op7_packing, op8_ngram_jaccard, op9_language_id, op10_language_model)}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.OP4_SQL}
