@@ -25,11 +25,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    """Watermarks need a timestamp with a zone; batches keep theirs."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _watermarked(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def running_means(events: DataFrame) -> DataFrame:
