@@ -62,7 +62,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         first.append(at + new)
         last.append(at + np.append(new[1:], len(where)) - 1)
         anchor.append(at + where[new])
-        key.append(h[where[new]] >> np.uint64(64 - ANCHOR_BITS))
+        key.append(mix(h[where[new]]) >> np.uint64(64 - ANCHOR_BITS))  # mixed anew: the least of many hashes is small, and buckets are ranges
     if not first:
         return NONE64, NONE64, NONE64, np.zeros(0, np.uint64)
     first, last, anchor, key = map(np.concatenate, (first, last, anchor, key))
@@ -110,10 +110,13 @@ class SuffixFamily:
 
     def smallest(self, keys: np.ndarray) -> np.ndarray:
         """The smallest id of each window, over all levels."""
-        out = np.full(len(keys), NO_ID)
+        order = np.argsort(keys, kind="stable")  # sorted questions walk each level once
+        keys, found = keys[order], np.full(len(keys), NO_ID)
         for level, ids in self.levels:
             at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            out = np.where(level[at] == keys, np.minimum(out, ids[at]), out)
+            found = np.where(level[at] == keys, np.minimum(found, ids[at]), found)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
@@ -246,6 +249,7 @@ def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
     # an anchor with a single run has nothing to compare; the windows of the others go through the family, batch by batch
     _, anchor, runs_of = np.unique(keys[rep], return_inverse=True, return_counts=True)
     open_runs = np.flatnonzero(runs_of[anchor] > 1)
+    open_runs = open_runs[np.argsort(batch[rep[open_runs]], kind="stable")]
     n_windows = sizes[rep] - LENGTH + 1
     result_at = np.cumsum(n_windows) - n_windows
     result = np.repeat(low, n_windows)
