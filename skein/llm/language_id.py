@@ -22,23 +22,24 @@ from pyspark.sql import functions as F
 from skein.llm.common import id_remainder
 
 ORDERS = 3
+BLANK = 1  # a code point that is no letter; not 0, so that n-grams of different lengths have different codes
 _letters: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """Code point -> itself for letters, 0 for all else."""
+    """Code point -> itself for letters, BLANK for all else."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((c if chr(c).isalpha() else 0 for c in range(0x110000)), np.int64, 0x110000)
+        _letters = np.fromiter((c if chr(c).isalpha() else BLANK for c in range(0x110000)), np.int64, 0x110000)
     return _letters
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case letters of a text; whatever else stands between them is one 0, and a 0 stands at both ends."""
+    """Lower-case letters of a text; whatever else stands between them is one blank, and one stands at both ends."""
     points = _letter_table()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    points = np.concatenate(([0], points, [0]))
+    points = np.concatenate(([BLANK], points, [BLANK]))
     keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+    keep[1:] = (points[1:] != BLANK) | (points[:-1] != BLANK)
     return points[keep]
 
 
@@ -50,7 +51,7 @@ def ngram_counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             code = (code[:-1] << 21) | points[n - 1 :]
         parts.append(code)
     codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-    return (codes[1:], counts[1:]) if len(codes) and codes[0] == 0 else (codes, counts)
+    return (codes[1:], counts[1:]) if len(codes) and codes[0] == BLANK else (codes, counts)
 
 
 def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -100,7 +101,7 @@ class RankOrder:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         points = letters(text) if text else np.zeros(0, np.int64)
-        if not self.langs or not points.any():
+        if not self.langs or not (points > BLANK).any():
             return "und", 0.0
         own = top(*ngram_counts(points), self.size)
         at = np.searchsorted(self.codes, own)
