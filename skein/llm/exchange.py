@@ -3,7 +3,8 @@
 A chunk is a bounded group of whole documents, a bucket a range of 64-bit keys.  Each chunk packs its distinct keys, bucket by
 bucket, into one binary row; a bucket reads the rows of all chunks, and answers each with one.  So a key that a third of all
 documents hold costs one entry a chunk, no group of rows grows with a key, and the texts are shuffled once: every step that
-needs them reads the same exchange.
+needs them reads the same exchange.  A chunk sends no row to a bucket of which it has no key, so there are never more rows than
+keys; spark.skein.chunk.bytes makes chunks larger, and rows fewer, where workers have more memory.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 6 << 20
 
 
-def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+def chunks(docs: DataFrame, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
     """docs (doc_id, text) with a chunk number, and how many chunks there are."""
+    chunk_bytes = chunk_bytes or int(docs.sparkSession.conf.get("spark.skein.chunk.bytes", str(CHUNK_BYTES)))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / chunk_bytes))
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n

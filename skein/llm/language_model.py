@@ -79,14 +79,15 @@ def _ask(n_buckets: int):
             distinct, where = np.unique(keys, return_inverse=True)
             counts = np.bincount(where, train, len(distinct)).astype(np.uint64)
             parts.append((distinct, counts, ex.bounds(distinct, n_buckets, bits)))
+        used = np.flatnonzero(sum(np.diff(at) for _, _, at in parts)).tolist()
         out = []
-        for b in range(n_buckets):
+        for b in used:
             blobs = []
             for distinct, counts, at in parts:
                 own = slice(at[b], at[b + 1])
                 blobs += [ex.squeeze_sorted(distinct[own]), ex.squeeze(counts[own])]
             out.append(ex.bundle(blobs))
-        return ex.messages([key[0].as_py()] * n_buckets, list(range(n_buckets)), out)
+        return ex.messages([key[0].as_py()] * len(used), used, out)
 
     return run
 

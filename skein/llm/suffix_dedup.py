@@ -143,8 +143,8 @@ class _Chunk:
         """The runs whose anchor occurs in two texts: representative run of each distinct string, smallest id of each, and the number of each asked run's string
         (-1: not asked).  Strings are in order of key."""
         keys, _, where = self.anchors()
-        at = ex.bounds(keys, n_buckets, ANCHOR_BITS)
-        bits = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=at[b + 1] - at[b]) for b, a in enumerate(answers)] + [np.zeros(0, np.uint8)])
+        held = np.diff(ex.bounds(keys, n_buckets, ANCHOR_BITS))
+        bits = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=n) for n, a in zip(held[held > 0], answers, strict=True)] + [np.zeros(0, np.uint8)])
         asked = np.flatnonzero(bits[where] > 0) if len(where) else NONE64
         size = self.last[asked] - self.first[asked] + LENGTH
         print_of = string_hashes(self.data, self.first[asked], size)
@@ -184,8 +184,9 @@ def _ask_anchors(n_buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         keys, twice, _ = _Chunk(table).anchors()
         at = ex.bounds(keys, n_buckets, ANCHOR_BITS)
-        blobs = [ex.bundle([ex.squeeze_sorted(keys[at[b] : at[b + 1]]), np.packbits(twice[at[b] : at[b + 1]]).tobytes()]) for b in range(n_buckets)]
-        return ex.messages([key[0].as_py()] * n_buckets, list(range(n_buckets)), blobs)
+        used = np.flatnonzero(np.diff(at)).tolist()
+        blobs = [ex.bundle([ex.squeeze_sorted(keys[at[b] : at[b + 1]]), np.packbits(twice[at[b] : at[b + 1]]).tobytes()]) for b in used]
+        return ex.messages([key[0].as_py()] * len(used), used, blobs)
 
     return run
 
@@ -217,13 +218,12 @@ def _ask_windows(n_buckets: int):
         at = ex.bounds(chunk.key[rep], n_buckets, ANCHOR_BITS)
         pack = zstandard.ZstdCompressor(level=3)
         bucket, blobs = [], []
-        for b in range(n_buckets):
+        for b in np.flatnonzero(np.diff(at)).tolist():
             own = rep[at[b] : at[b + 1]]
-            if len(own):
-                size = chunk.last[own] - chunk.first[own] + LENGTH
-                low = ids[at[b] : at[b + 1]]
-                blobs.append(ex.bundle([pack.compress(gather(chunk.data, chunk.first[own], size).tobytes()), ex.squeeze(size.astype(np.uint64)), ex.squeeze_sorted(chunk.key[own]), ex.squeeze(low.astype(np.uint64))]))
-                bucket.append(b)
+            size = chunk.last[own] - chunk.first[own] + LENGTH
+            low = ids[at[b] : at[b + 1]]
+            blobs.append(ex.bundle([pack.compress(gather(chunk.data, chunk.first[own], size).tobytes()), ex.squeeze(size.astype(np.uint64)), ex.squeeze_sorted(chunk.key[own]), ex.squeeze(low.astype(np.uint64))]))
+            bucket.append(b)
         return ex.messages([key[0].as_py()] * len(bucket), bucket, blobs)
 
     return run
