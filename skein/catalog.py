@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import graph, more, relational  # noqa: F401  more adds to graph.QUERIES
+from skein.plans import extra, graph, more, relational  # noqa: F401  extra and more add to graph.QUERIES
 
 _relational = relational.catalogue()
 QUERIES = {**graph.QUERIES, **_relational[0]}

@@ -121,3 +121,41 @@ def orbits(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     per = symmetric(across).groupBy("node").agg(F.sum("ally").alias("cross_ally"), F.countDistinct("other").alias("neighbours")).withColumnRenamed("node", "comp")
     out = membership.groupBy("comp").agg(F.count("*").alias("members")).join(per, "comp", "left").fillna(0, ["cross_ally", "neighbours"])
     return out.withColumn("score", F.log1p("cross_ally") + 0.6 * F.log1p("neighbours") + 0.25 * F.log1p("members"))
+
+
+def landmark_budget(nodes: int, least: int = 8, most: int = 64) -> int:
+    """Half the root of the number of nodes, rounded up to a power of two, within bounds; 0 for no nodes."""
+    if not nodes:
+        return 0
+    want = max(1, -(-int(nodes**0.5 * 1000) // 2000))
+    return min(most, max(least, 1 << (want - 1).bit_length()))
+
+
+def landmarks(pairs: DataFrame, membership: DataFrame, bridge_nodes: DataFrame, budget: int) -> DataFrame:
+    """turn, comp, node: landmarks taken in turns from the components of the traversal graph: bridges first, then clustered nodes, then by
+    strength, degree and id.  Components take turns by falling size."""
+    parts = connected_components(pairs.select("src", "dst"))
+    strength = symmetric(pairs).groupBy("node").agg(F.sum("total").alias("strength"), F.count("*").alias("degree"))
+    own = parts.join(strength, "node").join(membership.select("node", F.lit(True).alias("clustered")), "node", "left").join(bridge_nodes.select("node", F.lit(True).alias("bridge")), "node", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).desc()
+    turn = F.row_number().over(Window.partitionBy("comp").orderBy(flag("bridge"), flag("clustered"), F.desc("strength"), F.desc("degree"), "node"))
+    size = parts.groupBy("comp").agg(F.count("*").alias("size"))
+    return own.withColumn("turn", turn).filter(F.col("turn") <= budget).join(size, "comp").orderBy("turn", F.desc("size"), "comp").limit(budget).select("turn", "comp", "node")
+
+
+def strongest_members(pairs: DataFrame, membership: DataFrame, k: int = 10) -> DataFrame:
+    """comp, node, strength, place: the k strongest nodes of each cluster."""
+    strength = symmetric(pairs).groupBy("node").agg(F.sum("total").alias("strength"))
+    place = F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("strength"), "node"))
+    return membership.join(strength, "node").withColumn("place", place).filter(F.col("place") <= k).select("comp", "node", "strength", "place")
+
+
+def snapshot(pairs: DataFrame, membership: DataFrame, path: list, visited: list, k: int = 10, most_visited: int = 200) -> DataFrame:
+    """Edges to show with a path: among its nodes, the first visited ones, and the k strongest of each cluster that the path touches."""
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["src"]
+    named = spark.createDataFrame([(x,) for x in dict.fromkeys([*path, *visited[:most_visited]])], f"node {kind}")
+    on_path = spark.createDataFrame([(x,) for x in path], f"node {kind}")
+    touched = membership.join(on_path, "node", "left_semi").select("comp").distinct()
+    near = strongest_members(pairs, membership.join(touched, "comp", "left_semi"), k).select("node")
+    kept = named.union(near).distinct()
+    return pairs.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*pairs.columns)
