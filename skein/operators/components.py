@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ranking import position
 from skein.operators.projection import symmetric
 from skein.session import cut
 
 
+def _with_least(edges: DataFrame, least: DataFrame, salts: int = 16) -> DataFrame:
+    """edges (u, v) with the m of their u; the edges of a hub are spread over `salts` tasks."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    return edges.select("u", "v", salt).join(least.select("u", "m", every), ["u", "salt"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the ends of edges (src, dst); comp is the smallest node reached.
 
@@ -20,9 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        small = _with_least(large, low).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         now = cut(small.distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state or not new[0]:
@@ -36,7 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def sizes(membership: DataFrame, least: int = 2) -> DataFrame:
     """comp, size and rank (by falling size, then smallest member), of components of at least `least` members."""
     out = membership.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "comp")))
+    return position(out, [F.desc("size"), F.asc("comp")])
 
 
 def with_singletons(membership: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.ranking import position
 from skein.operators.components import connected_components, with_singletons
 from skein.session import cut
 
@@ -64,7 +65,7 @@ def bounded_groups(pairs: DataFrame, players: DataFrame, least: int = 2, most: i
 
     kind = dict(membership.dtypes)["node"]
     divided = nodes.groupBy("comp").cogroup(edges.groupBy("group_comp")).applyInPandas(run, f"node {kind}, head {kind}")
-    every = small.unionAll(divided)
+    every = cut(small.unionAll(divided))
     size = every.groupBy("head").agg(F.count("*").alias("size"))
-    numbered = size.withColumn("group", F.row_number().over(Window.orderBy(F.desc("size"), "head")))
+    numbered = position(size, [F.desc("size"), F.asc("head")], "group")
     return every.join(numbered, "head").select("node", "group", "size")

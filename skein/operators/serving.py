@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ranking import total_before
+
 
 def js_round(x: Column, digits: int = 0) -> Column:
     """Halves round up, negative ones too."""
@@ -15,11 +17,11 @@ def js_round(x: Column, digits: int = 0) -> Column:
 
 
 def midrank_percentile(df: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
-    """(smaller + half of equals) / n * 100, one decimal.  Values are counted before they are ranked, so the ordered window sees distinct values only."""
+    """(smaller + half of equals) / n * 100, one decimal.  Values are counted before they are ranked, and ranked by ranges."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    before = Window.orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = counts.select(value, js_round((F.coalesce(F.sum("_c").over(before), F.lit(0)) + 0.5 * F.col("_c")) / F.sum("_c").over(every.orderBy(value)) * 100, 1).alias(out))
+    ranked = total_before(counts, [F.desc(value) if descending else F.asc(value)], F.col("_c"), "_less")
+    n = counts.agg(F.sum("_c").alias("_n"))
+    p = ranked.crossJoin(F.broadcast(n)).select(value, js_round((F.col("_less") + 0.5 * F.col("_c")) / F.col("_n") * 100, 1).alias(out))
     return df.join(p, value, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
