@@ -25,7 +25,7 @@ from skein.llm.common import cut
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path), fixed by the contract.
-RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -307,6 +307,17 @@ def test_url_rules(spark, sf):
     assert {r.verdict for r in url_filter.op6_url_filter(spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.net/")], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_url_rules_as_the_contract_writes_them(spark):
+    """The rules are literals here, not read from the operator."""
+    want = {
+        "http://a.org/x": ("org/", "allow"), "http://example.org/": ("org/", "allow"), "http://example.org/en/2": ("org/", "allow"), "http://example.org/es/1": ("example.org/es/", "block"),
+        "http://example.org/en/1": ("example.org/en/1", "block"), "https://therhe.example.org/en/177.html": ("example.org/en/1", "block"), "http://notexample.org/en/1": ("org/", "allow"),
+        "http://a.com/fr/x": ("com/fr/", "allow"), "http://a.com/de/x": ("com/de/", "block"),
+    }
+    out = url_filter.op6_url_filter(spark.createDataFrame(list(enumerate(want)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in out] == list(want.values())
+
+
 def test_trees_learn_lexical_labels(spark):
     rng = random.Random(2)
     rows = []
