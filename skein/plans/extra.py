@@ -47,9 +47,9 @@ def landmark_nodes(spark, sf):
 @query("path_snapshot")
 def path_snapshot(spark, sf):
     p = kept_pairs(spark, sf)
-    strong = p.filter("total >= 2")
-    ends = strong.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    found = paths.search(paths.Graph.of(strong, "battle-path"), "dijkstra", ends.a, ends.b)
+    ends = p.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
+    g = paths.Graph.of(p, "battle-path")
+    found = paths.search(g, "dijkstra", ends.a, ends.b, max_steps=len(g.near))
     return components.snapshot(p, strong_members(p), found.path, [n for a, n in found.steps if a == "expand"])
 
 

@@ -183,6 +183,13 @@ def cluster_hops(spark, sf):
     return components.hops(components.quotient(p.filter("total >= 3"), strong_members(p)))
 
 
+@query("cluster_hops_all")
+def cluster_hops_all(spark, sf):
+    """As cluster_hops, over all pairs; its SQL keeps those of total 3 or more."""
+    p = kept_pairs(spark, sf)
+    return components.hops(components.quotient(p, strong_members(p)))
+
+
 @query("legacy_groups")
 def legacy_groups(spark, sf):
     return components.legacy_groups(kept_pairs(spark, sf))
@@ -290,15 +297,22 @@ def bfs_levels(spark, sf):
     return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")))
 
 
+@query("bfs_levels_all")
+def bfs_levels_all(spark, sf):
+    """As bfs_levels, over all pairs; its SQL keeps those of total 2 or more."""
+    p = kept_pairs(spark, sf)
+    return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")))
+
+
 @query("weighted_distance")
 def weighted_distance(spark, sf):
-    p = kept_pairs(spark, sf).filter("total >= 2")
+    p = kept_pairs(spark, sf)
     return paths.distances(paths.allowed(p, "battle-path"), p.agg(F.min("src").alias("node")))
 
 
 @query("path_comparison")
 def path_comparison(spark, sf):
-    p = kept_pairs(spark, sf).filter("total >= 2")
+    p = kept_pairs(spark, sf)
     ends = p.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
     return paths.run(spark, p, ends.a, ends.b) if ends.a is not None else spark.createDataFrame([], paths.RUN)
 
