@@ -235,8 +235,8 @@ HEX = "t AS (SELECT p_partkey AS tile, p_partkey % 20 AS c, p_partkey // 20 AS r
 NEAR = "near AS (SELECT a.tile, b.tile AS other, a.owner AS ao, b.owner AS bo FROM t a JOIN t b ON (a.r = b.r AND abs(a.c - b.c) = 1) OR (abs(a.r - b.r) = 1 AND ((a.r % 2 = 1 AND b.c - a.c IN (0, 1)) OR (a.r % 2 = 0 AND b.c - a.c IN (-1, 0)))))"
 
 
-def _tiles(spark, sf):
-    return tables.table(spark, sf, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") % 20).alias("col"), F.floor(F.col("p_partkey") / 20).alias("row"), (F.col("p_size") % 6).alias("owner"))
+def _tiles(spark, sf, ids="p_partkey < 200"):
+    return tables.table(spark, sf, "part").filter(ids).select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") % 20).alias("col"), F.floor(F.col("p_partkey") / 20).alias("row"), (F.col("p_size") % 6).alias("owner"))
 
 
 @query("hex_neighbours", f"WITH {HEX}, {NEAR} SELECT tile, other FROM near")
@@ -250,6 +250,22 @@ def border_pairs(spark, sf):
     return simulation_log.adjacent_tribes(t, simulation_log.hex_neighbours(t, 20, 10))
 
 
+def _grid(spark, sf):
+    """Every part as a tile, and the neighbours on a grid as high as the largest id needs; the SQL of the two queries above keeps ids under 200."""
+    t = _tiles(spark, sf, "true")
+    return t, simulation_log.hex_neighbours(t, 20, (t.agg(F.max("row")).first()[0] or 0) + 1)
+
+
+@query("hex_neighbours_all")
+def hex_neighbours_all(spark, sf):
+    return _grid(spark, sf)[1]
+
+
+@query("border_pairs_all")
+def border_pairs_all(spark, sf):
+    return simulation_log.adjacent_tribes(*_grid(spark, sf))
+
+
 @query("tile_ownership", "WITH t AS (SELECT l_suppkey AS tile, l_partkey % 9 AS tribe, l_orderkey * 10 + l_linenumber AS place FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY place, tribe) AS n, count(*) OVER (PARTITION BY tile) AS held FROM t) SELECT tile, tribe AS owner, held > 1 AS contested FROM n WHERE n = 1")
 def tile_ownership(spark, sf):
     t = tables.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("tile"), (F.col("l_partkey") % 9).alias("tribe"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
