@@ -96,6 +96,12 @@ def neighbour_lists(spark, sf):
     return projection.neighbours(pairs_of(spark, sf), 8).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
+@query("neighbour_lists_all")
+def neighbour_lists_all(spark, sf):
+    """As neighbour_lists, with all neighbours; its SQL keeps the first 8."""
+    return projection.neighbours(pairs_of(spark, sf)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
 @query("traversal_costs", f"WITH {REL} SELECT src, dst, (1000000 + greatest(ally, 1) - 1) // greatest(ally, 1) AS social_cost, (1000000 + greatest(total, 1) - 1) // greatest(total, 1) AS battle_cost FROM rel")
 def traversal_costs(spark, sf):
     return pairs_of(spark, sf).select("src", "dst", projection.traversal_cost(F.col("ally")).alias("social_cost"), projection.traversal_cost(F.col("total")).alias("battle_cost"))
