@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ranking import position
 from skein.operators.projection import symmetric
-from skein.session import cut
+from skein.session import cut, joined
 
 
 def _with_least(edges: DataFrame, least: DataFrame, salts: int = 16) -> DataFrame:
@@ -99,17 +101,17 @@ def quotient(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return symmetric(across).select(F.col("node").alias("src"), F.col("other").alias("dst"))
 
 
-def hops(links: DataFrame, most: int = 64) -> DataFrame:
+def hops(links: DataFrame) -> DataFrame:
     """src, dst, hops between all clusters that links (both directions) connect."""
     seen = cut(links.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("hops")))
     edge = links.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     edge = cut(edge)
-    for step in range(1, most + 1):
+    for step in count(1):
         front = seen.filter(F.col("hops") == step - 1).join(edge, "dst").select("src", F.col("next").alias("dst")).distinct()
         new = cut(front.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(step)))
         if new.isEmpty():
             break
-        seen = cut(seen.unionAll(new))
+        seen = cut(joined(seen, new))
     return seen
 
 

@@ -21,3 +21,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both in no more partitions than a shuffle has, so that loops of many rounds do not pile them up."""
+    return a.unionAll(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
