@@ -1,12 +1,13 @@
-"""Removal of repeated byte strings with a logarithmic family of suffix arrays.
+"""Removal of repeated byte strings with a logarithmic family of sorted windows.
 
 Every byte that lies in a `length`-byte string which also starts in a text with a smaller id is removed; strings are judged on the
 input and never cross texts.
 
 Suffixes are dealt out by content.  Each `length`-byte window belongs to its anchor, the leftmost `gram`-byte string of least hash in it, so equal
 windows have equal anchors wherever they stand, and the anchor's hash names the bucket that compares them.  In a bucket, the windows
-of each chunk of texts arrive as a batch, get a suffix array of their own, and are merge-scanned against the levels that
-are there; levels of like size merge, so there are about log(n) of them and each window is moved about log(n) times.
+of each chunk of texts arrive as a batch and become a level of sorted, distinct windows; levels of like size merge, so there
+are about log(n) of them and each window is moved about log(n) times.  This stands in for suffix arrays that are merge-scanned as
+batches arrive: when all batches are in, each window is looked up in every level by binary search.
 
 Three rounds of questions and answers between chunks and buckets (see exchange.py): which anchors occur in more than one
 text; for the runs of windows at those alone, the smallest id that has each window; and the texts, cut.
