@@ -189,7 +189,8 @@ def cluster_hops(spark, sf):
     return components.hops(components.quotient(p.filter("total >= 3"), strong_members(p)))
 
 
-@query("cluster_hops_all")
+@query("cluster_hops_all", f"""WITH RECURSIVE {STRONG}, q AS (SELECT DISTINCT a.comp AS s, b.comp AS d FROM rel JOIN member a ON a.node = src JOIN member b ON b.node = dst WHERE a.comp <> b.comp), l AS (SELECT s, d FROM q UNION SELECT d, s FROM q),
+ h(src, dst, hops) USING KEY (src, dst) AS (SELECT DISTINCT s, s, 0 FROM l UNION SELECT h.src, l.d, h.hops + 1 FROM h JOIN l ON l.s = h.dst LEFT JOIN recurring.h AS r ON r.src = h.src AND r.dst = l.d WHERE r.src IS NULL) SELECT src, dst, hops FROM h""")
 def cluster_hops_all(spark, sf):
     """As cluster_hops, over all pairs; its SQL keeps those of total 3 or more."""
     p = kept_pairs(spark, sf)
