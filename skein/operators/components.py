@@ -12,11 +12,20 @@ from skein.operators.projection import symmetric
 from skein.session import cut, joined
 
 
-def _with_least(edges: DataFrame, least: DataFrame, salts: int = 16) -> DataFrame:
-    """edges (u, v) with the m of their u; the edges of a hub are spread over `salts` tasks."""
-    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    return edges.select("u", "v", salt).join(least.select("u", "m", every), ["u", "salt"]).select("u", "v", "m")
+#: Edges of one node that a task joins.  Of `total` edges at most total / max(HUB, total / MOST_HUBS) <= MOST_HUBS nodes have more, so their list may be broadcast.
+HUB, MOST_HUBS = 50_000, 100_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with the m of their u.  least has u, m and the number n of its edges; a hub is spread over a salt for every HUB of them."""
+    hub = max(HUB, total // MOST_HUBS)
+    if total <= hub:
+        return edges.join(least.select("u", "m"), "u").select("u", "v", "m")
+    salts = F.ceil(F.col("n") / hub).cast("int")
+    hubs = least.filter(F.col("n") > hub).select(F.col("u").alias("hub"), salts.alias("salts"))
+    dealt = edges.join(F.broadcast(hubs), edges["u"] == hubs["hub"], "left").select("u", "v", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("salts"))).cast("int").alias("salt"))
+    every = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    return dealt.join(least.select("u", "m", every), ["u", "salt"]).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,17 +36,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     loops = now.filter("u = v").select(F.col("u").alias("node"))
     now, state = now.filter("u <> v"), None
-    while True:
+    total = now.count()
+    while total:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
-        large = _with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(large, low).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select("u", F.least("u", "least").alias("m"), "n")
+        large = _with_least(both.filter("v > u"), low, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         now = cut(small.distinct())
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == state or not new[0]:
+        if new == state:
             break
-        state = new
+        state, total = new, new[0]
     found = now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("comp"))
     return found.unionAll(alone)

@@ -15,11 +15,19 @@ def session(name: str = "skein", cores: str = "*", partitions: int = 8) -> Spark
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine serves a local master; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="skein-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, with its lineage cut by a reliable checkpoint in spark.checkpoint.dir; a local folder is set only where none is configured."""
+    """df computed once, with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
