@@ -1,8 +1,7 @@
-"""Helpers shared by the text operators: checkpoints, word kernels and table access."""
+"""Helpers shared by the text operators: word kernels and table access."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import cut  # noqa: F401  for the operators of this package
+
 #: ASCII white space that separates words in the word contracts (space, \t \n \v \f \r); bytes.split() uses the same set.
 WHITE = b" \t\n\r\x0b\x0c"
 #: Odd multipliers of a 64-bit mixing step.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder (spark.checkpoint.dir).
-
-    Spark deletes the files when nothing refers to them any more.  A folder of our own is set only where none is configured."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,39 +1,48 @@
 """Join of near-duplicate texts: Jaccard similarity of 5-word shingles of `threshold` or more, found by a MinHash LSH forest.
 
-Texts with equal shingle sets are one class, with its smallest id as representative.  Representatives enter `trees` prefix tries of min-hash
-labels: each trie is its labels in sorted order, cut into ranges, and a node is a run of labels with a common prefix.  Matching starts
-from full labels and shortens the prefix to the longest length at which the forest still reaches the target recall; crowded
-nodes are taken at longer prefixes.  Members of a node whose sketches agree well enough are joined into candidate groups,
-and inside a group every pair is verified exactly, so a link needs no more of the forest than that its ends meet in one group.
-Groups beyond `block` members are verified block against block, and no list of pairs is ever made: a task counts the
-links of each text and keeps one edge from each text to its root.
+Texts with equal shingle sets are one class.  Classes enter `TREES` prefix tries of min-hash labels: each trie is its labels in sorted
+order, and a node is a run of labels with a common prefix.  Matching starts from full labels.  How often pairs of each (sketched) similarity
+s meet there tells how many such pairs there are, for one pair meets in TREES * s**DEPTH tries; prefixes are then shortened
+to the longest length at which the forest is to find `recall` of those pairs.  A node of more than HOT members, or one that a range of the
+sorted labels ends in, is a list of blocks, and its blocks are compared one with another in tasks of their own, so nothing is left out.
+
+Members of a node whose sketches agree well enough are candidates.  Candidate groups (connected candidates) of up to `block` members
+are verified exactly, each pair.  Larger groups are cut into blocks of neighbouring labels, and only those pairs of blocks
+that met in some node are verified, each pair of texts in them.  No list of pairs of texts is ever made: a task counts the links of each text
+and keeps one edge from each text to its root.
 
 Result: one row for each row of docs with class_id (smallest id of the group of texts connected by links), exact_id (smallest id with
 an equal shingle set) and n_links (other documents at or above the threshold, equal ones included).
 
 Defined cases: words are separated by ASCII white space; a text of 1 to 4 words has one shingle, all of it; null, empty and blank texts
-have none and link to nothing, as do rows with a null id (class_id and exact_id null).  Rows with one id are one document.
+have none and link to nothing, as do rows with a null id (class_id and exact_id null).  Repeated rows of one id and one shingle set
+are one document; rows of one id with different shingle sets are a document each.  Very long texts are blocks of their own (MOST_SHINGLES).
 Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, mix, rows
+from skein.llm.common import mix, rows
+from skein.operators.components import connected_components
+from skein.session import cut
 
 WIDTH, TREES, DEPTH = 5, 16, 6
 N_HASHES = TREES * DEPTH
 _draw = np.random.default_rng(20240101)
 MULTIPLY = _draw.integers(1, 2**63, N_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _draw.integers(0, 2**63, N_HASHES, np.uint64)
-CROWD = 1024
+#: Members of a node that are compared at once; shingles of a block at most, if it has more than one text.
+HOT, MOST_SHINGLES = 4096, 2_000_000
 
 
 class _Hashes(dict):
@@ -60,6 +69,10 @@ def shingles(data: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
+def print_of(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def min_hashes(s: np.ndarray) -> np.ndarray:
     out = np.full(N_HASHES, np.uint64(2**64 - 1))
     for at in range(0, len(s), 512):
@@ -67,37 +80,51 @@ def min_hashes(s: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def prefix_length(threshold: float, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with at least the target recall."""
-    fits = [p for p in range(1, DEPTH + 1) if 1 - (1 - threshold**p) ** TREES >= recall]
-    return max(fits, default=1)
+def found_at(similarity: float, depth: int) -> float:
+    """The probability that a pair meets in some trie at prefixes of `depth`."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def depth_for(met: dict[int, float], threshold: float, recall: float) -> int:
+    """The longest prefix at which the forest is to find `recall` of the pairs at the threshold or above.
+
+    met: how often pairs with so many different sketch bits met at full labels.  Ten pairs at the threshold itself are added, so that few
+    sightings do not decide alone; pairs whose sketches differ more than two deviations beyond the threshold's are not counted."""
+    expected = N_HASHES * (1 - threshold) / 2
+    most = expected + 2 * (expected * (1 + threshold) / 2) ** 0.5
+    pairs = Counter({threshold: 10.0})
+    for differ, times in met.items():
+        if differ <= most:
+            s = min(1.0, max(threshold, 1 - 2 * differ / N_HASHES))
+            pairs[s] += times / (TREES * s**DEPTH)
+    total = sum(pairs.values())
+    return max((p for p in range(1, DEPTH + 1) if sum(n * found_at(s, p) for s, n in pairs.items()) >= recall * total), default=1)
+
+
+SKETCH = "doc_id long, text_hash long, fp binary, labels binary, bits binary, n long"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprint of the shingle set, trie labels (2 bytes a level) and a sketch of one bit for each hash."""
+    """Fingerprint and size of the shingle set, trie labels (2 bytes a level) and a sketch of one bit for each hash."""
     for batch, texts in rows(batches):
         out: list[tuple] = []
-        for doc, data in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+        for data in texts:
             s = shingles(data)
             if len(s):
                 m = min_hashes(s)
-                fp = xxhash.xxh3_128_digest(s.tobytes())
                 bits = np.packbits((m >> np.uint64(40) & np.uint64(1)).astype(np.uint8)).tobytes()
-                out.append((doc, fp, (m & np.uint64(0xFFFF)).astype(">u2").tobytes(), bits))
+                out.append((print_of(s), (m & np.uint64(0xFFFF)).astype(">u2").tobytes(), bits, len(s)))
             else:
-                out.append((doc, None, None, None))
+                out.append((None, None, None, 0))
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["doc_id", "fp", "labels", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, pa.binary()) for c in cols[:3]), pa.array(cols[3], pa.int64())], ["doc_id", "text_hash", "fp", "labels", "bits", "n"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each tree: the tree and the label as key."""
-    for batch in batches:
-        reps, labels, bits = (batch.column(c).to_pylist() for c in ("rep", "labels", "bits"))
-        for at in range(0, len(reps), 2000):
-            part = range(at, min(at + 2000, len(reps)))
-            keys = [bytes([t]) + labels[k][2 * DEPTH * t : 2 * DEPTH * (t + 1)] for k in part for t in range(TREES)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([reps[k] for k in part for _ in range(TREES)], pa.int64()), pa.array([bits[k] for k in part for _ in range(TREES)], pa.binary())], ["key", "rep", "bits"])
+def entries(classes: DataFrame) -> DataFrame:
+    """key (tree and label), node and bits: one row for each class and tree."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    every = classes.select("node", "labels", "bits", tree)
+    return every.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))).alias("key"), "node", "bits")
 
 
 def _root(parent: list[int], k: int) -> int:
@@ -114,110 +141,164 @@ def _join(parent: list[int], pairs: Iterator[tuple[int, int]]) -> None:
             parent[max(a, b)] = min(a, b)
 
 
-def node_groups(keys: list[bytes], sketch: np.ndarray, depth: int, differ: int) -> list[int]:
-    """The parent of each member of a trie node, members with at most `differ` different sketch bits being joined.  keys are sorted."""
-    parent = list(range(len(keys)))
-
-    def link(own: np.ndarray) -> None:
-        left = own
+def near_roots(bits: list[bytes], differ: int) -> list[int]:
+    """The root of each sketch, those with at most `differ` different bits being joined.  Every pair is compared, but for pairs already joined."""
+    parent = list(range(len(bits)))
+    if len(bits) <= 6:
+        x = [int.from_bytes(b, "big") for b in bits]
+        _join(parent, ((a, b) for a in range(len(x)) for b in range(a) if (x[a] ^ x[b]).bit_count() <= differ))
+    else:
+        sketch = np.frombuffer(b"".join(bits), np.uint32).reshape(len(bits), -1)
+        sketch, first, where = np.unique(sketch, axis=0, return_index=True, return_inverse=True)
+        _join(parent, ((k, int(first[w])) for k, w in enumerate(where.reshape(-1))))
+        left = np.arange(len(sketch))
         while len(left) > 1:  # spread from one member at a time; what is joined needs no more comparing among itself
             seeds, left = [left[0]], left[1:]
+            head = int(first[seeds[0]])
             while seeds and len(left):
                 near = np.zeros(len(left), bool)
                 for s in seeds[:64]:
                     near |= np.bitwise_count(sketch[left] ^ sketch[s]).sum(1) <= differ
                 new, left = left[near], left[~near]
-                _join(parent, ((int(seeds[0]), int(x)) for x in new))
+                _join(parent, ((head, int(first[x])) for x in new))
                 seeds = [*seeds[64:], *new]
+    return [_root(parent, k) for k in range(len(bits))]
 
-    def walk(lo: int, hi: int, depth: int) -> None:
-        if hi - lo <= CROWD or depth >= DEPTH:
-            heads = []
-            for at in range(lo, hi, CROWD):
-                link(np.arange(at, min(at + CROWD, hi)))
-                heads.append(at)
-            if len(heads) > 1:
-                link(np.array(heads))
-            return
-        heads, at, size = [], lo, 1 + 2 * (depth + 1)
-        while at < hi:
-            to = at + 1
-            while to < hi and keys[to][:size] == keys[at][:size]:
-                to += 1
-            walk(at, to, depth + 1)
-            heads.append(at)
-            at = to
-        for k in range(0, len(heads), CROWD):
-            link(np.array(heads[k : k + CROWD]))
-
-    walk(0, len(keys), depth)
-    return [_root(parent, k) for k in range(len(keys))]
-
-
-def _match(depth: int, differ: int):
+
+def _count_pairs(bits: list[bytes], met: Counter, seeds: int = 32) -> None:
+    """Adds how many pairs of a node have each number of different bits; of a crowded node `seeds` members stand for all (this only chooses the depth)."""
+    if len(bits) <= 6:
+        x = [int.from_bytes(b, "big") for b in bits]
+        met.update((x[a] ^ x[b]).bit_count() for a in range(len(x)) for b in range(a))
+        return
+    sketch = np.frombuffer(b"".join(bits), np.uint32).reshape(len(bits), -1)
+    own = np.unique(np.linspace(0, len(bits) - 1, min(seeds, len(bits))).astype(int))
+    for s in own:
+        apart = np.bincount(np.bitwise_count(np.delete(sketch, s, 0) ^ sketch[s]).sum(1))
+        for d in np.flatnonzero(apart).tolist():
+            met[d] += float(apart[d]) * len(bits) / (2 * len(own))
+
+
+MATCH = "u long, v long, prefix binary, block long, bits binary, differ int, times double"
+
+
+def _match(depth: int, differ: int, hot: int):
+    """Edges (u, v) between near members of a node; the members of nodes that are lists of blocks; and, of full labels, what pairs met."""
     size = 1 + 2 * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        reps: list[int] = []
-        bits: list[bytes] = []
-
-        def flush() -> pa.RecordBatch | None:
-            a: list[int] = []
-            b: list[int] = []
-            at = 0
-            while at < len(keys):
-                to = at + 1
-                while to < len(keys) and keys[to][:size] == keys[at][:size]:
-                    to += 1
-                if to - at > 1:
-                    sketch = np.frombuffer(b"".join(bits[at:to]), np.uint32).reshape(to - at, -1)
-                    for k, root in enumerate(node_groups(keys[at:to], sketch, depth, differ)):
-                        if reps[at + root] != reps[at + k]:
-                            a.append(reps[at + k])
-                            b.append(reps[at + root])
-                at = to
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"]) if a else None
-
+        task = TaskContext.get()
+        base = (task.partitionId() if task else 0) << 32
+        out: list[tuple] = []
+        met: Counter = Counter()
+        blocks = 0
+
+        def close(prefix: bytes, nodes: list[int], bits: list[bytes], divided: bool) -> None:
+            nonlocal blocks
+            if len(nodes) > 1:
+                out.extend((nodes[k], nodes[r], None, None, None, None, None) for k, r in enumerate(near_roots(bits, differ)) if r != k)
+                if depth == DEPTH:
+                    _count_pairs(bits, met)
+            if divided:
+                out.extend((n, None, prefix, base + blocks, b, None, None) for n, b in zip(nodes, bits, strict=True))
+                blocks += 1
+
+        def written() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.float64())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["u", "v", "prefix", "block", "bits", "differ", "times"])
+
+        prefix, nodes, bits, divided = b"", [], [], True  # the first run may have begun in the range before
         for batch in batches:
-            k, r, s = (batch.column(c).to_pylist() for c in ("key", "rep", "bits"))
-            for at in range(len(k)):
-                if len(keys) > 20_000 and k[at][:size] != keys[-1][:size]:
-                    if (out := flush()) is not None:
-                        yield out
-                    keys, reps, bits = [], [], []
-                keys.append(k[at])
-                reps.append(r[at])
-                bits.append(s[at])
-        if (out := flush()) is not None:
-            yield out
+            for key, node, b in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "bits")), strict=True):
+                if key[:size] != prefix:
+                    if nodes:
+                        close(prefix, nodes, bits, divided)
+                        divided = False
+                    prefix, nodes, bits = key[:size], [], []
+                elif len(nodes) >= hot:
+                    divided = True
+                    close(prefix, nodes, bits, True)
+                    nodes, bits = [], []
+                nodes.append(node)
+                bits.append(b)
+            if len(out) > 20_000:
+                yield written()
+        if nodes:
+            close(prefix, nodes, bits, True)  # and the last may go on in the next
+        out.extend((None, None, None, None, None, d, float(n)) for d, n in met.items())
+        yield written()
 
     return run
 
 
-def _at_low(edges: DataFrame, low: DataFrame, salts: int = 16) -> DataFrame:
-    """edges (u, v) with the m of their u; a node that many edges share is spread over `salts` tasks."""
-    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    return edges.select("u", "v", salt).join(low.select("u", "m", every), ["u", "salt"]).select("u", "v", "m")
+def _across(differ: int):
+    """Edges between near members of two blocks of a node, which are near within their own blocks already."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, bits = table.column("u").to_pylist(), table.column("bits").to_pylist()
+        edges = [(nodes[k], nodes[r]) for k, r in enumerate(near_roots(bits, differ)) if r != k]
+        return pa.table({"u": pa.array([a for a, _ in edges], pa.int64()), "v": pa.array([b for _, b in edges], pa.int64())})
+
+    return run
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that each node of edges (u, v) is connected with.  Stars are made smaller by turns (large-star, small-star)."""
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = None
-    while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = _at_low(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _at_low(large, low2).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionAll(low2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == state or new[0] == 0:
-            break
-        state = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+def block_pairs(blocks: DataFrame, by: list[str], same: bool) -> DataFrame:
+    """The pairs i <= j (i < j unless `same`) of the blocks that stand in one node; blocks has the columns `by` and block."""
+    own = blocks.select(*by, "block").distinct()
+    return own.withColumnRenamed("block", "i").join(own.withColumnRenamed("block", "j"), by).filter(F.col("i") <= F.col("j") if same else F.col("i") < F.col("j"))
+
+
+def in_pairs(members: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """members (with `by` and block) once for each pair (i, j) that has their block."""
+    sides = pairs.select(*by, F.col("i").alias("block"), "i", "j").unionAll(pairs.filter("i <> j").select(*by, F.col("j").alias("block"), "i", "j"))
+    return members.join(sides, [*by, "block"])
+
+
+def candidates(forest: DataFrame, threshold: float, recall: float, differ: int, hot: int = HOT) -> tuple[DataFrame, int]:
+    """Edges (src, dst) that connect each node with all nodes that are near it in some trie node, and the prefix length.  forest: as entries() gives, in ranges of sorted keys."""
+    found = cut(forest.mapInArrow(_match(DEPTH, differ, hot), MATCH))
+    depth = depth_for({r.differ: r.times for r in found.filter("differ is not null").groupBy("differ").agg(F.sum("times").alias("times")).collect()}, threshold, recall)
+    if depth < DEPTH:
+        found = cut(forest.mapInArrow(_match(depth, differ, hot), MATCH))
+    blocks = found.filter("prefix is not null").select("prefix", "block", "u", "bits")
+    across = in_pairs(blocks, block_pairs(blocks, ["prefix"], same=False), ["prefix"]).select("prefix", "i", "j", "u", "bits").groupBy("prefix", "i", "j").applyInArrow(_across(differ), "u long, v long")
+    return found.filter("v is not null").select("u", "v").unionAll(across).toDF("src", "dst"), depth
+
+
+def _numbered(block: int):
+    """Blocks of up to `block` members of one group (comp), in the order given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        at = ((task.partitionId() if task else 0) << 32) - 1
+        last, members, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for comp, n in zip(batch.column("comp").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if comp != last or members >= block or held + n > MOST_SHINGLES:
+                    at, last, members, held = at + 1, comp, 0, 0
+                members, held = members + 1, held + n
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("node"), pa.array(out, pa.int64())], ["comp", "node", "block"])
+
+    return run
+
+
+def to_verify(groups: DataFrame, classes: DataFrame, depth: int, block: int) -> DataFrame:
+    """(comp, i, j, block, node): the members of each pair of blocks that is to be verified."""
+    groups = cut(groups.join(classes.select("node", "n", "labels"), "node"))
+    size = groups.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    large = (F.col("members") > block) | (F.col("shingles") > MOST_SHINGLES)
+    whole = groups.join(size.filter(~large), "comp").select("comp", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(-1).cast("long").alias("block"), "node")
+    ordered = groups.join(size.filter(large), "comp", "left_semi").repartitionByRange("comp", "labels", "node").sortWithinPartitions("comp", "labels", "node")
+    blocks = cut(ordered.select("comp", "node", "n").mapInArrow(_numbered(block), "comp long, node long, block long"))
+    if blocks.isEmpty():
+        return whole
+    of_nodes = entries(classes.join(blocks.select("node"), "node", "left_semi")).select(F.substring("key", F.lit(1), F.lit(1 + 2 * depth)).alias("prefix"), "node").join(blocks, "node")
+    pairs = block_pairs(of_nodes, ["prefix", "comp"], same=True).select("comp", "i", "j").distinct()
+    return whole.unionAll(in_pairs(blocks, pairs, ["comp"]).select("comp", "i", "j", "block", "node"))
 
 
 def verified(sets: list[np.ndarray], sizes: list[int], left: int, cross: bool, top: int, bottom: int) -> tuple[list[int], list[int]]:
@@ -248,60 +329,81 @@ def verified(sets: list[np.ndarray], sizes: list[int], left: int, cross: bool, t
     return links.tolist(), [_root(parent, k) for k in range(n)]
 
 
+def _texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of rep, without the repeated rows of one node and text."""
+    last, seen = None, set()
+    for batch in batches:
+        keep = []
+        for rep, node, text in zip(batch.column("rep").to_pylist(), batch.column("node").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+            if rep != last:
+                last, seen = rep, set()
+            keep.append((node, text) not in seen)
+            seen.add((node, text))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(top: int, bottom: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("comp", "i", "j", "block", "rep", "size")}
+        cols = {c: table.column(c).to_pylist() for c in ("comp", "i", "j", "block", "node", "fp", "size")}
         texts = table.column("text").cast(pa.binary()).to_pylist()
-        groups: dict[tuple, list[int]] = {}
+        groups: dict[tuple, dict[int, int]] = {}
+        known: dict[int, np.ndarray] = {}
         for k, g in enumerate(zip(cols["comp"], cols["i"], cols["j"], strict=True)):
-            groups.setdefault(g, []).append(k)
-        rep, links, root = [], [], []
-        for (_, i, j), own in groups.items():
-            own.sort(key=lambda k: (cols["block"][k], cols["rep"][k]))
-            left = sum(cols["block"][k] == i for k in own)
-            n, r = verified([shingles(texts[k]) for k in own], [cols["size"][k] for k in own], left, i != j, top, bottom)
-            rep += [cols["rep"][k] for k in own]
+            node = cols["node"][k]
+            if node not in known and print_of(s := shingles(texts[k])) == cols["fp"][k]:  # else another text of that id
+                known[node] = s
+            if node in known:
+                groups.setdefault(g, {})[node] = k
+        nodes, links, root = [], [], []
+        for (_, i, j), at in groups.items():
+            own = sorted(at.values(), key=lambda k: (cols["block"][k] != i, cols["node"][k]))
+            names = [cols["node"][k] for k in own]
+            n, r = verified([known[x] for x in names], [cols["size"][k] for k in own], sum(cols["block"][k] == i for k in own), i != j, top, bottom)
+            nodes += names
             links += n
-            root += [min(cols["rep"][own[x]], cols["rep"][own[y]]) for x, y in zip(r, range(len(own)), strict=True)]
-        return pa.table({"rep": pa.array(rep, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
+            root += [names[x] for x in r]
+        return pa.table({"node": pa.array(nodes, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(root, pa.int64())})
 
     return run
 
 
-def join(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.999, block: int = 512, pack_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.9995, block: int = 512, pack_shingles: int = 500_000, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, exact_id, n_links for each row of docs; the threshold is top / bottom."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    depth = prefix_length(top / bottom, recall)
+    return _joined(docs, top, bottom, recall, block, pack_shingles, hot, id_col, text_col).drop("text_hash")
+
+
+def _joined(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.9995, block: int = 512, pack_shingles: int = 500_000, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     agree = (1 + top / bottom) / 2  # of one-bit sketches at the threshold
-    differ = int(N_HASHES * (1 - agree) + 4 * (N_HASHES * agree * (1 - agree)) ** 0.5)
-    sketches = cut(own.mapInArrow(_sketch, "doc_id long, fp binary, labels binary, bits binary"))
-    classes = cut(sketches.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    reps = sketches.join(classes, (sketches.fp == classes.fp) & (sketches.doc_id == classes.rep)).select("rep", "labels", "bits")
-    entries = reps.mapInArrow(_entries, "key binary, rep long, bits binary").repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
-    groups = cut(components(entries.mapInArrow(_match(depth, differ), "u long, v long")))
-
-    # members of each candidate group, in blocks, each block against each
-    sized = groups.join(classes.groupBy("rep").agg(F.sum("size").alias("size")), groups.node == F.col("rep")).select("comp", "rep", "size")
-    counts = sized.groupBy("comp").agg(F.count("*").alias("members"))
-    with_blocks = sized.join(counts, "comp").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = with_blocks.join(own.filter("doc_id is not null"), with_blocks.rep == own.doc_id).select("comp", "rep", "size", "blocks", "block", "text")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = texts.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    n_bytes = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    packs = max(1, -(-n_bytes // pack_bytes))
-    found = cut(members.withColumn("pack", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(packs))).select("pack", "comp", "i", "j", "block", "rep", "size", "text").groupBy("pack").applyInArrow(_verify(top, bottom), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    final = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    of_rep = classes.join(links, "rep", "left").join(final, F.col("rep") == F.col("node"), "left").select("fp", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("class_id"))
-    out = sketches.select("doc_id", "fp").join(of_rep, "fp", "left")
+    differ = int(N_HASHES * (1 - agree) + 4.5 * (N_HASHES * agree * (1 - agree)) ** 0.5)
+    sketches = cut(own.select("doc_id", "text_hash", "text").mapInArrow(_sketch, SKETCH))
+    each = sketches.filter("fp is not null and doc_id is not null")
+    classes = each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("size"), F.first("labels").alias("labels"), F.first("bits").alias("bits"), F.first("n").alias("n"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers hold, since what is read is what was written
+    edges, depth = candidates(entries(classes).repartitionByRange("key", "node").sortWithinPartitions("key", "node"), top / bottom, recall, differ, hot)
+    work = cut(to_verify(connected_components(edges), classes, depth, block))
+    shipped = work.join(classes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
+    packs = max(1, -(-shipped // pack_shingles))
+
+    members = classes.select("node", "rep", "fp", "size").join(work.select("node").distinct(), "node")
+    texts = own.filter("doc_id is not null").join(members, own.doc_id == members.rep).select("rep", "node", "fp", "size", "text_hash", "text").mapInArrow(_texts_once, "rep long, node long, fp binary, size long, text_hash long, text string")
+    packed = texts.join(work, "node").select(F.pmod(F.xxhash64("comp", "i", "j"), F.lit(packs)).alias("pack"), "comp", "i", "j", "block", "node", "fp", "size", "text")
+    found = cut(packed.groupBy("pack").applyInArrow(_verify(top, bottom), "node long, links long, root long"))
+
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    comps = connected_components(found.filter("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    named = classes.select("node", "fp", "rep", "size").join(links, "node", "left").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = cut(named.select("comp", "fp", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    of_class = named.join(named.groupBy("comp").agg(F.min("rep").alias("class_id")), "comp").select("fp", "rep", "n_links", "class_id")
+    out = sketches.select("doc_id", "text_hash", "fp").join(of_class, "fp", "left")
     linked = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.when(linked, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("rep", "doc_id")).alias("exact_id"), F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select("doc_id", "text_hash", F.when(linked, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(linked, F.coalesce("rep", "doc_id")).alias("exact_id"), F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those that share a class with a smaller id."""
-    gone = cut(join(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """The rows of docs, all columns, without those whose text shares a class with a smaller id.  Repeated rows of one id and text stay together."""
+    gone = cut(_joined(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct())
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_text"]), "left_anti")
 
 
 def op8_ngram_jaccard(docs: DataFrame) -> DataFrame:

@@ -397,39 +397,41 @@ def test_items_that_never_meet_end_early(spark):
 # --- near duplicates ----------------------------------------------------------------------------------------------------
 
 def jaccard_brute(rows):
-    sets = []
-    for _, t in rows:
+    """doc_id, class_id, n_links of each row; rows of one id and one shingle set are one document."""
+    def shingle_set(t):
         w = (t or "").encode().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    parent, links, posting = list(range(len(rows))), [0] * len(rows), collections.defaultdict(list)
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    each = [(i, shingle_set(t)) for i, t in rows]
+    docs = list(dict.fromkeys(x for x in each if x[0] is not None))
+    number = {x: k for k, x in enumerate(docs)}
+    parent, links, posting = list(range(len(docs))), [0] * len(docs), collections.defaultdict(list)
 
     def root(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    for k, s in enumerate(sets):
-        if rows[k][0] is None:
-            continue
+    for k, (_, s) in enumerate(docs):
         for x, n in collections.Counter(x for g in s for x in posting[g]).items():
-            if 5 * n >= 4 * (len(s) + len(sets[x]) - n):
-                links[k] += 1
-                links[x] += 1
+            if 5 * n >= 4 * (len(s) + len(docs[x][1]) - n):
+                links[k] += docs[k][0] != docs[x][0] or s != docs[x][1]
+                links[x] += docs[k][0] != docs[x][0] or s != docs[x][1]
                 parent[root(k)] = root(x)
         for g in s:
             posting[g].append(k)
     low = {}
-    for k in range(len(rows)):
-        if rows[k][0] is not None:
-            low[root(k)] = min(low.get(root(k), rows[k][0]), rows[k][0])
-    return sorted(((rows[k][0], low.get(root(k)) if rows[k][0] is not None else None, links[k]) for k in range(len(rows))), key=repr)
+    for k, (i, _) in enumerate(docs):
+        low[root(k)] = min(low.get(root(k), i), i)
+    return sorted(((x[0], low[root(number[x])], links[number[x]]) if x[0] is not None else (None, None, 0) for x in each), key=repr)
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_jaccard_join(spark, mixed, none, block):
+@pytest.mark.parametrize(("block", "hot"), [(512, 4096), (3, 4)])
+def test_jaccard_join(spark, mixed, none, block, hot):
     base = " ".join(f"w{k}" for k in range(80))
-    rows = [r for r in mixed[0] if r[1] is not LONG and r[0] != 9004] + [(9100 + k, base + f" z{k}") for k in range(25)] + [(9200, "one two"), (9201, "one two")]
-    got = near_duplicates.join(docs_of(spark, rows), block=block).collect()
+    near = base.replace("w79", "v79")
+    rows = mixed[0] + [(9100 + k, base + f" z{k}") for k in range(25)] + [(9200, "one two"), (9201, "one two"), (9300, base), (9300, base), (9300, near), (9301, near), (9301, near), (9006, LONG), (9302, LONG + " more")]
+    got = near_duplicates.join(docs_of(spark, rows), block=block, hot=hot).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == jaccard_brute(rows)
     if block == 512:
         df = docs_of(spark, rows)
@@ -440,17 +442,49 @@ def test_jaccard_join(spark, mixed, none, block):
         assert near_duplicates.join(none).count() == 0
 
 
-def test_prefix_length_meets_the_recall():
-    p = near_duplicates.prefix_length(0.8, 0.999)
-    assert 1 - (1 - 0.8**p) ** near_duplicates.TREES >= 0.999 > 1 - (1 - 0.8 ** (p + 1)) ** near_duplicates.TREES
-
-
-def test_crowded_nodes_stay_connected():
-    rng = np.random.default_rng(0)
-    n = 3000
-    keys = sorted(bytes([0]) + rng.integers(0, 3, 12, np.uint8).tobytes() for _ in range(n))
-    sketch = np.zeros((n, 3), np.uint32)
-    assert set(near_duplicates.node_groups(keys, sketch, 1, 10)) == {0}
+def test_repeated_rows_are_one_document(spark):
+    a = "a b c d e f g h i j k l m n o p"
+    rows = [(1, a), (1, a), (2, a.replace("p", "q")), (3, "s"), (3, "s")]
+    assert sorted(r.n_links for r in near_duplicates.join(docs_of(spark, rows)).collect()) == [0, 0, 1, 1, 1]
+
+
+def test_recall_in_a_crowded_node(spark):
+    """5,000 different near copies, of which many share every prefix; links counted by brute force over bit rows."""
+    rng = np.random.default_rng(5)
+    n, words = 5000, 60
+    swapped = rng.random((n, words)) < rng.choice([0.002, 0.01, 0.02], n)[:, None]
+    rows = [(k, " ".join(f"x{j}" if not s else f"y{j}.{rng.integers(4)}" for j, s in enumerate(own))) for k, own in enumerate(swapped)]
+    sets = [near_duplicates.shingles(t.encode()) for _, t in rows]
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((n, len(values)), np.float32)
+    held[np.repeat(np.arange(n), [len(s) for s in sets]), where] = 1
+    size = held.sum(1)
+    want = np.zeros(n, np.int64)
+    for at in range(0, n, 500):
+        both = held[at : at + 500] @ held.T
+        want[at : at + 500] = (5 * both >= 4 * (size[at : at + 500, None] + size[None] - both)).sum(1) - 1
+    got = {r.doc_id: r.n_links for r in near_duplicates.join(docs_of(spark, rows), hot=1000).collect()}
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.999 * want.sum() and want.sum() > 1_000_000
+
+
+def test_prefixes_shorten_with_the_pairs_that_are_there():
+    assert near_duplicates.depth_for({}, 0.8, 0.9995) == 4
+    assert near_duplicates.depth_for({0: 1e6}, 0.8, 0.9995) == near_duplicates.DEPTH
+    assert near_duplicates.depth_for({0: 1e6, 8: 2e6}, 0.8, 0.9995) == 5
+    assert near_duplicates.depth_for({0: 1e6, 9: 2e7}, 0.8, 0.9995) == 4
+    assert near_duplicates.found_at(0.8, 4) >= 0.9995
+
+
+def test_divided_nodes_lose_no_pair(spark):
+    """Every pair of equal sketches in one node is joined, whatever the size of its blocks and ranges."""
+    n = 1500
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 256, (n // 2, 12), np.uint8)
+    rows = [(b"\0" + bytes(12), k, sketch[k % (n // 2)].tobytes()) for k in range(n)]
+    forest = spark.createDataFrame(rows, "key binary, node long, bits binary").repartitionByRange(3, "key", "node").sortWithinPartitions("key", "node")
+    edges, _ = near_duplicates.candidates(forest, 0.8, 0.9995, 5, hot=100)
+    assert {tuple(sorted((r.src, r.dst))) for r in edges.collect()} == {(k, k + n // 2) for k in range(n // 2)}
 
 
 # --- language -----------------------------------------------------------------------------------------------------------
