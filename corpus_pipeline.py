@@ -9,13 +9,13 @@ Defined cases are those of the operators; a document with a null id is kept by t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontamination, near_duplicates, packing, pii, quality_rules
 from skein.llm.common import table
+from skein.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-pipeline-")
+    base = shared_folder(spark)
     base, docs = f"{base}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
