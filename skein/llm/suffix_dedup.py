@@ -1,25 +1,31 @@
-"""Removal of repeated byte strings with a logarithmic family of sorted windows.
+"""Removal of repeated byte strings with a logarithmic family of suffix arrays.
 
 Every byte that lies in a `length`-byte string which also starts in a text with a smaller id is removed; strings are judged on the
 input and never cross texts.
 
 Suffixes are dealt out by content.  Each `length`-byte window belongs to its anchor, the leftmost `gram`-byte string of least hash in it, so equal
-windows have equal anchors wherever they stand, and the anchor's hash names the bucket that compares them.  In a bucket, the windows
-of each chunk of texts arrive as a batch and become a level of sorted, distinct windows; levels of like size merge, so there
-are about log(n) of them and each window is moved about log(n) times.  This stands in for suffix arrays that are merge-scanned as
-batches arrive: when all batches are in, each window is looked up in every level by binary search.
+windows have equal anchors wherever they stand, and the anchor's hash names the bucket that compares them.  An anchor that more than
+`hot` runs of windows have (a common phrase) would fill one bucket; its windows are dealt out one by one, by hashes of their own.
 
-Three rounds of questions and answers between chunks and buckets (see exchange.py): which anchors occur in more than one
-text; for the runs of windows at those alone, the smallest id that has each window; and the texts, cut.
+A bucket takes its windows in batches.  A batch gets a suffix array: positions in order of the `length` bytes that begin there.  It is
+merge-scanned against the suffix array of every level that is there: both are walked in order, and a window that the level has takes its place
+(slot) there, with the smaller of both ids.  The windows that no level has become a new level, and levels of like size are merged,
+two sorted arrays into one, so there are about log(n) of them and each window is moved about log(n) times.
+
+`remove_repeats` judges a whole corpus: three rounds of questions and answers between chunks and buckets (see exchange.py): which anchors
+occur in more than one text; for the runs of windows at those alone, the smallest id that has each window; and the texts, cut.
+`append` keeps the levels of all buckets as a table: a new batch of texts is scanned against them, and no earlier text is read again.
 
 Defined cases: null is the empty text, from which nothing is removed; rows with equal ids do not remove from each other, rows
-with a null id count as larger than all others and do not remove from each other; texts under `length` bytes are kept whole.
-Only the id and text columns are read.  Anchors are told apart by 48 bits of hash, which only adds questions; runs are
-grouped by 64-bit hashes, windows compared byte by byte.
+with a null id count as larger than all others and do not remove from each other; texts under `length` bytes are kept whole.  A text longer than
+a chunk is a chunk of its own.  Only the id and text columns are read.  Anchors are told apart by 48 bits of hash, which only adds
+questions; runs are grouped by 64-bit hashes, windows compared byte by byte.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import exchange as ex
-from skein.llm.common import mix
+from skein.llm.common import cut, mix
 
 LENGTH, GRAM = 50, 24
 ANCHOR_BITS = 48
 BLOCK = 1 << 17
+#: Runs of windows that one anchor may have; beyond that each window goes by its own hash.
+HOT_RUNS = 20_000
 NO_ID = np.int64(2**63 - 1)
 NONE64 = np.zeros(0, np.int64)
 
@@ -87,39 +95,118 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first[begin], last[np.append(begin[1:], len(first)) - 1] if len(begin) else last, text[begin], key[begin]
 
 
+def windows_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The windows that begin at these positions, as strings that compare byte by byte."""
+    every = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - LENGTH + 1), LENGTH), (1, 1))
+    return np.ascontiguousarray(every[at]).view(f"S{LENGTH}").reshape(-1)
+
+
+@dataclass
+class Level:
+    """A suffix array: positions in data, in order of the windows that begin there, all different; and the slot of each."""
+
+    data: np.ndarray
+    at: np.ndarray
+    slot: np.ndarray
+
+    def first_not_below(self, key: bytes, side: str) -> int:
+        lo, hi = 0, len(self.at)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            own = windows_at(self.data, self.at[mid : mid + 1])[0]
+            if own < key or (side == "right" and own == key):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Walks this level and sorted keys together: where each key belongs, and whether the level has it."""
+        place, held, j = np.empty(len(keys), np.int64), np.zeros(len(keys), bool), 0
+        lo, hi = (self.first_not_below(keys[0], "left"), self.first_not_below(keys[-1], "right")) if len(keys) else (0, 0)
+        for at in range(lo, hi, BLOCK):
+            own = windows_at(self.data, self.at[at : min(at + BLOCK, hi)])
+            to = j + int(np.searchsorted(keys[j:], own[-1], "right"))
+            found = np.searchsorted(own, keys[j:to])
+            place[j:to], held[j:to] = at + found, own[found] == keys[j:to]
+            j = to
+        place[j:] = hi
+        return place, held
+
+    def merged(self, other: Level) -> Level:
+        """Two sorted arrays as one; they have no window in common."""
+        data, shift = (self.data, 0) if self.data is other.data else (np.concatenate((self.data, other.data)), len(self.data))
+        places = [self.scan(windows_at(other.data, other.at[k : k + BLOCK]))[0] for k in range(0, len(other.at), BLOCK)]
+        to = np.concatenate([*places, NONE64]) + np.arange(len(other.at))
+        at, slot = np.empty(len(self.at) + len(other.at), np.int64), np.empty(len(self.at) + len(other.at), np.int64)
+        mine = np.ones(len(at), bool)
+        mine[to] = False
+        at[mine], slot[mine], at[to], slot[to] = self.at, self.slot, other.at + shift, other.slot
+        return Level(data, at, slot)
+
+
 class SuffixFamily:
-    """Levels of sorted windows, each with the smallest id that has it."""
+    """Levels of suffix arrays over disjoint windows, and the smallest id of each slot."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[Level] = []
+        self.best = NONE64
+
+    def add(self, data: np.ndarray, start: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes the windows of data at `start` in batches, and gives the slot of each."""
+        return np.concatenate([*(self._batch(data, start[k : k + BLOCK], ids[k : k + BLOCK]) for k in range(0, len(start), BLOCK)), NONE64])
 
-    @staticmethod
-    def _sorted(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, data: np.ndarray, start: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        keys = windows_at(data, start)
         order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
-        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else NONE64
-        return keys[begin], np.minimum.reduceat(ids, begin) if len(keys) else ids
-
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> None:
-        """A batch becomes the smallest level; while the level before it is not larger than twice its size, the two merge."""
-        if not len(keys):
-            return
-        self.levels.append(self._sorted(keys, ids))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
+        keys, at = keys[order], start[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        group, (keys, at) = np.cumsum(new) - 1, (keys[new], at[new])
+        slot = np.full(len(keys), -1)
+        for level in self.levels:
+            place, held = level.scan(keys)
+            slot[held] = level.slot[place[held]]
+        fresh = slot < 0
+        slot[fresh] = len(self.best) + np.arange(fresh.sum())
+        self.best = np.concatenate((self.best, np.full(fresh.sum(), NO_ID)))
+        out = np.empty(len(start), np.int64)
+        out[order] = slot[group]
+        np.minimum.at(self.best, out, ids)
+        if fresh.any():
+            self.levels.append(Level(data, at[fresh], slot[fresh]))
+        while len(self.levels) > 1 and len(self.levels[-2].at) <= 2 * len(self.levels[-1].at):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._sorted(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))))
-
-    def smallest(self, keys: np.ndarray) -> np.ndarray:
-        """The smallest id of each window, over all levels."""
-        order = np.argsort(keys, kind="stable")  # sorted questions walk each level once
-        keys, found = keys[order], np.full(len(keys), NO_ID)
-        for level, ids in self.levels:
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            found = np.where(level[at] == keys, np.minimum(found, ids[at]), found)
-        out = np.empty_like(found)
-        out[order] = found
+            self.levels.append(a.merged(b))
         return out
 
+    def packed(self) -> list[bytes]:
+        """Each level in bytes: its text, positions and ids."""
+        pack = zstandard.ZstdCompressor(level=3)
+        return [ex.bundle([pack.compress(x.data.tobytes()), ex.squeeze(x.at.astype(np.uint64)), ex.squeeze(self.best[x.slot].astype(np.uint64))]) for x in self.levels]
+
+    @classmethod
+    def unpacked(cls, levels: list[bytes]) -> SuffixFamily:
+        out = cls()
+        for data, at, best in map(ex.unbundle, levels):
+            ids = ex.unsqueeze(best).astype(np.int64)
+            out.levels.append(Level(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), ex.unsqueeze(at).astype(np.int64), len(out.best) + np.arange(len(ids))))
+            out.best = np.concatenate((out.best, ids))
+        return out
+
+
+@dataclass
+class Questions:
+    """The runs of a chunk that are asked about (a hot anchor's runs window by window), the number of each run's string, and for each string
+    a run that is it and its smallest id.  Strings are in order of key."""
+
+    first: np.ndarray
+    last: np.ndarray
+    text: np.ndarray
+    key: np.ndarray
+    number: np.ndarray
+    rep: np.ndarray
+    low: np.ndarray
+
 
 class _Chunk:
     """The texts of a chunk as one array of bytes, with their runs."""
@@ -132,31 +219,40 @@ class _Chunk:
         self.offsets = np.concatenate(([0], np.cumsum([len(t or b"") for t in texts], dtype=np.int64))).astype(np.int64)
         self.first, self.last, self.text, self.key = runs(self.data, self.offsets) if len(texts) else (NONE64, NONE64, NONE64, np.zeros(0, np.uint64))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, whether each occurs in two texts here, and the number of each run's key."""
-        keys, where = np.unique(self.key, return_inverse=True)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, whether each occurs in two texts here, how many runs have it, and the number of each run's key."""
+        keys, where, n = np.unique(self.key, return_inverse=True, return_counts=True)
         low, high = np.full(len(keys), len(self.ids)), np.full(len(keys), -1)
         np.minimum.at(low, where, self.text)
         np.maximum.at(high, where, self.text)
-        return keys, low != high, where
-
-    def questions(self, n_buckets: int, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The runs whose anchor occurs in two texts: representative run of each distinct string, smallest id of each, and the number of each asked run's string
-        (-1: not asked).  Strings are in order of key."""
-        keys, _, where = self.anchors()
-        held = np.diff(ex.bounds(keys, n_buckets, ANCHOR_BITS))
-        bits = np.concatenate([np.unpackbits(np.frombuffer(a, np.uint8), count=n) for n, a in zip(held[held > 0], answers, strict=True)] + [np.zeros(0, np.uint8)])
-        asked = np.flatnonzero(bits[where] > 0) if len(where) else NONE64
-        size = self.last[asked] - self.first[asked] + LENGTH
-        print_of = string_hashes(self.data, self.first[asked], size)
-        order = np.lexsort((self.order[self.text[asked]], print_of, self.key[asked]))
-        ks, ps = self.key[asked][order], print_of[order]
+        return keys, low != high, n, where
+
+    def questions(self, n_buckets: int, answers: list[bytes] | None) -> Questions:
+        """Of the runs whose anchor occurs in two texts; without answers, of all runs."""
+        keys, _, _, where = self.anchors()
+        shared, hot = np.ones(len(keys), bool), np.zeros(len(keys), bool)
+        if answers is not None:
+            held = np.diff(ex.bounds(keys, n_buckets, ANCHOR_BITS))
+            each = [[np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x in ex.unbundle(a)] for n, a in zip(held[held > 0], answers, strict=True)]
+            shared, hot = (np.concatenate([*(x[k] for x in each), np.zeros(0, np.uint8)]) > 0 for k in (0, 1))
+        asked = np.flatnonzero(shared[where]) if len(where) else NONE64
+        first, last, text, key = self.first[asked], self.last[asked], self.text[asked], self.key[asked]
+        if hot.any():
+            single = hot[where[asked]]
+            n = np.where(single, last - first + 1, 1)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            one = np.repeat(single, n)
+            first, text, key = np.repeat(first, n) + step, np.repeat(text, n), np.repeat(key, n)
+            last = np.where(one, first, np.repeat(last, n))
+            key[one] = string_hashes(self.data, first[one], np.full(one.sum(), LENGTH)) >> np.uint64(64 - ANCHOR_BITS)
+        print_of = string_hashes(self.data, first, last - first + LENGTH)
+        order = np.lexsort((self.order[text], print_of, key))
+        ks, ps = key[order], print_of[order]
         new = np.concatenate(([True], (ks[1:] != ks[:-1]) | (ps[1:] != ps[:-1]))) if len(order) else np.zeros(0, bool)
-        begin = np.flatnonzero(new)
-        number = np.full(len(self.first), -1)
-        number[asked[order]] = np.cumsum(new) - 1
-        rep = asked[order][begin]
-        return rep, self.order[self.text[rep]], number
+        number = np.empty(len(first), np.int64)
+        number[order] = np.cumsum(new) - 1
+        rep = order[np.flatnonzero(new)]
+        return Questions(first, last, text, key, number, rep, self.order[text[rep]])
 
 
 def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -183,92 +279,89 @@ def string_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.n
 
 def _ask_anchors(n_buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, twice, _ = _Chunk(table).anchors()
+        keys, twice, n, _ = _Chunk(table).anchors()
         at = ex.bounds(keys, n_buckets, ANCHOR_BITS)
         used = np.flatnonzero(np.diff(at)).tolist()
-        blobs = [ex.bundle([ex.squeeze_sorted(keys[at[b] : at[b + 1]]), np.packbits(twice[at[b] : at[b + 1]]).tobytes()]) for b in used]
+        blobs = [ex.bundle([ex.squeeze_sorted(keys[at[b] : at[b + 1]]), np.packbits(twice[at[b] : at[b + 1]]).tobytes(), ex.squeeze(n[at[b] : at[b + 1]].astype(np.uint64))]) for b in used]
         return ex.messages([key[0].as_py()] * len(used), used, blobs)
 
     return run
 
 
-def _answer_anchors(key: tuple, table: pa.Table) -> pa.Table:
-    """For each anchor a chunk has: does another chunk have it, or any chunk twice?"""
-    asked = [ex.unbundle(b) for b in table.column("blob").to_pylist()]
-    keys = [ex.unsqueeze_sorted(a[0]) for a in asked]
-    twice = [np.unpackbits(np.frombuffer(a[1], np.uint8), count=len(k)) for a, k in zip(asked, keys, strict=True)]
-    where = np.unique(np.concatenate(keys), return_inverse=True)[1]
-    many = np.bincount(where, 1.0 + np.concatenate(twice)) > 1 if len(where) else np.zeros(0, bool)
-    out, at = [], 0
-    for k in keys:
-        out.append(np.packbits(many[where[at : at + len(k)]]).tobytes())
-        at += len(k)
-    return ex.messages(table.column("chunk").to_pylist(), [key[0].as_py()] * len(out), out)
+def _answer_anchors(hot: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """For each anchor a chunk has: does another chunk have it, or any chunk twice?  And do more than `hot` runs have it?"""
+        asked = [ex.unbundle(b) for b in table.column("blob").to_pylist()]
+        keys = [ex.unsqueeze_sorted(a[0]) for a in asked]
+        twice = [np.unpackbits(np.frombuffer(a[1], np.uint8), count=len(k)) for a, k in zip(asked, keys, strict=True)]
+        where = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        many = np.bincount(where, 1.0 + np.concatenate(twice)) > 1
+        crowded = np.bincount(where, np.concatenate([ex.unsqueeze(a[2]) for a in asked]).astype(np.float64)) > hot
+        out, at = [], 0
+        for k in keys:
+            own = where[at : at + len(k)]
+            out.append(ex.bundle([np.packbits(many[own]).tobytes(), np.packbits(crowded[own]).tobytes()]))
+            at += len(k)
+        return ex.messages(table.column("chunk").to_pylist(), [key[0].as_py()] * len(out), out)
+
+    return run
 
 
 def _in_order(answers: pa.Table) -> list[bytes]:
     return [b for _, b in sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
 
 
+def _windows(number: int, docs: pa.Table, n_buckets: int, answers: list[bytes] | None) -> pa.Table:
+    """The strings a chunk asks about, with their keys and smallest ids, bucket by bucket."""
+    chunk = _Chunk(docs)
+    q = chunk.questions(n_buckets, answers)
+    at = ex.bounds(q.key[q.rep], n_buckets, ANCHOR_BITS)
+    pack = zstandard.ZstdCompressor(level=3)
+    bucket, blobs = [], []
+    for b in np.flatnonzero(np.diff(at)).tolist():
+        own = q.rep[at[b] : at[b + 1]]
+        size = q.last[own] - q.first[own] + LENGTH
+        blobs.append(ex.bundle([pack.compress(gather(chunk.data, q.first[own], size).tobytes()), ex.squeeze(size.astype(np.uint64)), ex.squeeze_sorted(q.key[own]), ex.squeeze(q.low[at[b] : at[b + 1]].astype(np.uint64))]))
+        bucket.append(b)
+    return ex.messages([number] * len(bucket), bucket, blobs)
+
+
 def _ask_windows(n_buckets: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return ex.messages([], [], [])
-        chunk = _Chunk(docs)
-        rep, ids, _ = chunk.questions(n_buckets, _in_order(answers))
-        at = ex.bounds(chunk.key[rep], n_buckets, ANCHOR_BITS)
-        pack = zstandard.ZstdCompressor(level=3)
-        bucket, blobs = [], []
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            own = rep[at[b] : at[b + 1]]
-            size = chunk.last[own] - chunk.first[own] + LENGTH
-            low = ids[at[b] : at[b + 1]]
-            blobs.append(ex.bundle([pack.compress(gather(chunk.data, chunk.first[own], size).tobytes()), ex.squeeze(size.astype(np.uint64)), ex.squeeze_sorted(chunk.key[own]), ex.squeeze(low.astype(np.uint64))]))
-            bucket.append(b)
-        return ex.messages([key[0].as_py()] * len(bucket), bucket, blobs)
+        return _windows(key[0].as_py(), docs, n_buckets, _in_order(answers)) if docs.num_rows else ex.messages([], [], [])
 
     return run
 
 
-def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
-    """The smallest id of each window of each run that a chunk has."""
-    asked = [ex.unbundle(b) for b in table.column("blob").to_pylist()]
+def _ask_all_windows(n_buckets: int):
+    return lambda key, docs: _windows(key[0].as_py(), docs, n_buckets, None)
+
+
+def _arrive(family: SuffixFamily, blobs: list[bytes], alone: bool) -> list[bytes]:
+    """Takes the strings of some chunks into a bucket's family; gives each chunk the smallest id of each window of each of its strings.
+    alone: the family holds nothing else, so that an anchor with a single string has nothing to compare."""
+    asked = [ex.unbundle(b) for b in blobs]
     unpack = zstandard.ZstdDecompressor()
     size = [ex.unsqueeze(a[1]).astype(np.int64) for a in asked]
-    data = [np.frombuffer(unpack.decompress(a[0]), np.uint8) for a in asked]
+    every = np.concatenate([np.frombuffer(unpack.decompress(a[0]), np.uint8) for a in asked])
     keys = np.concatenate([ex.unsqueeze_sorted(a[2]) for a in asked])
     ids = np.concatenate([ex.unsqueeze(a[3]).astype(np.int64) for a in asked])
-    batch = np.repeat(np.arange(len(asked)), [len(s) for s in size])
     sizes = np.concatenate(size)
-    every = np.concatenate(data)
     first = np.cumsum(sizes) - sizes
-    # equal runs of several batches are one: all their windows have the smallest of their ids
-    where = np.unique(mix(keys * np.uint64(0x9E3779B97F4A7C15)) ^ string_hashes(every, first, sizes), return_index=True, return_inverse=True)
-    rep, number = where[1], where[2]
+    # equal strings of several chunks are one: all their windows have the smallest of their ids
+    _, rep, number = np.unique(mix(keys * np.uint64(0x9E3779B97F4A7C15)) ^ string_hashes(every, first, sizes), return_index=True, return_inverse=True)
     low = np.full(len(rep), NO_ID)
     np.minimum.at(low, number, ids)
-    # an anchor with a single run has nothing to compare; the windows of the others go through the family, batch by batch
     _, anchor, runs_of = np.unique(keys[rep], return_inverse=True, return_counts=True)
-    open_runs = np.flatnonzero(runs_of[anchor] > 1)
-    open_runs = open_runs[np.argsort(batch[rep[open_runs]], kind="stable")]
+    compared = np.flatnonzero(runs_of[anchor] > 1) if alone else np.arange(len(rep))
+    compared = compared[np.argsort(rep[compared], kind="stable")]  # as they arrived
     n_windows = sizes[rep] - LENGTH + 1
     result_at = np.cumsum(n_windows) - n_windows
     result = np.repeat(low, n_windows)
-    family = SuffixFamily()
-    windows = np.lib.stride_tricks.as_strided(every, (max(0, len(every) - LENGTH + 1), LENGTH), (1, 1))
-    groups = []
-    for own in np.split(open_runs, np.flatnonzero(np.diff(batch[rep[open_runs]])) + 1) if len(open_runs) else []:
-        n = n_windows[own]
-        start = np.repeat(first[rep[own]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        for a in range(0, len(start), BLOCK):
-            cut_at = slice(a, a + BLOCK)
-            family.add(np.ascontiguousarray(windows[start[cut_at]]).view(f"S{LENGTH}").reshape(-1), np.repeat(low[own], n)[cut_at])
-        groups.append((own, start, n))
-    for own, start, n in groups:
-        to = np.repeat(result_at[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        for a in range(0, len(start), BLOCK):
-            cut_at = slice(a, a + BLOCK)
-            result[to[cut_at]] = family.smallest(np.ascontiguousarray(windows[start[cut_at]]).view(f"S{LENGTH}").reshape(-1))
+    n = n_windows[compared]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    slots = family.add(every, np.repeat(first[rep[compared]], n) + step, np.repeat(low[compared], n))
+    result[np.repeat(result_at[compared], n) + step] = family.best[slots]
     out, at = [], 0
     for s in size:
         mine = number[at : at + len(s)]
@@ -276,9 +369,30 @@ def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
         values = result[np.repeat(result_at[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         out.append(zstandard.ZstdCompressor(level=3).compress(squeeze_runs(values)))
         at += len(s)
+    return out
+
+
+def _answer_windows(key: tuple, table: pa.Table) -> pa.Table:
+    """The smallest id of each window of each run that a chunk has."""
+    out = _arrive(SuffixFamily(), table.column("blob").to_pylist(), alone=True)
     return ex.messages(table.column("chunk").to_pylist(), [key[0].as_py()] * len(out), out)
 
 
+LEVELS = "bucket int, level int, blob binary"
+
+
+def _append(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
+    """Answers to the chunks of a new batch, and the bucket's levels after it (chunk null)."""
+    have = sorted(zip(old.column("level").to_pylist(), old.column("blob").to_pylist(), strict=True))
+    levels, chunk, out = [b for _, b in have], [], []
+    if new.num_rows:
+        family = SuffixFamily.unpacked(levels)
+        chunk, out = new.column("chunk").to_pylist(), _arrive(family, new.column("blob").to_pylist(), alone=False)
+        levels = family.packed()
+    m = len(out) + len(levels)
+    return pa.table({"chunk": pa.array([*chunk, *[None] * len(levels)], pa.int32()), "bucket": pa.array([key[0].as_py()] * m, pa.int32()), "level": pa.array([*[None] * len(out), *range(len(levels))], pa.int32()), "blob": pa.array([*out, *levels], pa.binary())})
+
+
 def squeeze_runs(values: np.ndarray) -> bytes:
     """Run lengths and values."""
     begin = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else NONE64
@@ -293,24 +407,23 @@ def unsqueeze_runs(blob: bytes) -> np.ndarray:
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept binary"
 
 
-def _cut(n_buckets: int):
+def _cut(n_buckets: int, every: bool = False):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(docs)
         kind = np.array(answers.column("kind").to_pylist(), int)
         anchors, found = (answers.filter(pa.array(kind == k)) for k in (1, 2))
         gone = np.zeros(len(chunk.data) + 1, np.int64)
         if docs.num_rows and len(chunk.first):
-            rep, _, number = chunk.questions(n_buckets, _in_order(anchors))
-            if len(rep):
+            q = chunk.questions(n_buckets, None if every else _in_order(anchors))
+            if len(q.rep):
                 unpack = zstandard.ZstdDecompressor()
                 values = np.concatenate([unsqueeze_runs(unpack.decompress(b)) for b in _in_order(found)])
-                n = chunk.last[rep] - chunk.first[rep] + 1
+                n = q.last[q.rep] - q.first[q.rep] + 1
                 value_at = np.cumsum(n) - n
-                mine = np.flatnonzero(number >= 0)
-                m = n[number[mine]]
+                m = n[q.number]
                 step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                earlier = values[np.repeat(value_at[number[mine]], m) + step] < np.repeat(chunk.order[chunk.text[mine]], m)
-                start = (np.repeat(chunk.first[mine], m) + step)[earlier]
+                earlier = values[np.repeat(value_at[q.number], m) + step] < np.repeat(chunk.order[q.text], m)
+                start = (np.repeat(q.first, m) + step)[earlier]
                 np.add.at(gone, start, 1)
                 np.add.at(gone, start + LENGTH, -1)
         covered = np.cumsum(gone)[:-1] > 0
@@ -326,15 +439,33 @@ def _cut(n_buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT_RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (of removed bytes) and kept (the bytes left) for each row of docs."""
     dealt, n = ex.chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    known = dealt.groupBy("chunk").applyInArrow(_ask_anchors(n), ex.MESSAGE).groupBy("bucket").applyInArrow(_answer_anchors, ex.MESSAGE)
+    known = dealt.groupBy("chunk").applyInArrow(_ask_anchors(n), ex.MESSAGE).groupBy("bucket").applyInArrow(_answer_anchors(hot), ex.MESSAGE)
     asks = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask_windows(n), ex.MESSAGE)
     found = asks.groupBy("bucket").applyInArrow(_answer_windows, ex.MESSAGE)
     answers = known.withColumn("kind", F.lit(1)).unionAll(found.withColumn("kind", F.lit(2)))
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(n), RESULT)
 
 
+def append(docs: DataFrame, levels: DataFrame | None, n_buckets: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of remove_repeats for a new batch of texts against all batches before it, and the levels with the new batch.
+
+    levels: what the batch before gave (bucket, level, blob; the caller writes them, for they outlive the session), None for the first.  n_buckets
+    is the same for all batches.  Ids of a batch must be larger than all ids before, so that no earlier result changes."""
+    dealt, _ = ex.chunks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    asks = dealt.groupBy("chunk").applyInArrow(_ask_all_windows(n_buckets), ex.MESSAGE)
+    levels = docs.sparkSession.createDataFrame([], LEVELS) if levels is None else levels
+    out = cut(asks.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(_append, "chunk int, bucket int, level int, blob binary"))
+    answers = out.filter("chunk is not null").select("chunk", "bucket", "blob", F.lit(2).alias("kind"))
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(n_buckets, every=True), RESULT), out.filter("chunk is null").select("bucket", "level", "blob")
+
+
+def digest(out: DataFrame) -> DataFrame:
+    """The results of remove_repeats with the number of spans and a digest of the bytes left."""
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_suffix_dedup(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return digest(remove_repeats(docs))

@@ -152,15 +152,32 @@ def repeats_brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk_bytes", [60_000, 10**9])
-def test_suffix_dedup(spark, mixed, none, monkeypatch, chunk_bytes):
-    rows = [r for r in mixed[0] if r[1] is not LONG] + [(7, "q" * 49), (8, "q" * 49), (9, "q" * 120), (-3, mixed[0][5][1][20:300])]
+REPEATS = [(7, "q" * 49), (8, "q" * 49), (9, "q" * 120), *((20_000 + k, f"{k * k:07d} a phrase that very many texts have in common {k * 37:09d}" * 2) for k in range(60))]
+
+
+@pytest.mark.parametrize(("chunk_bytes", "hot"), [(60_000, 20_000), (10**9, 20_000), (60_000, 10)])
+def test_suffix_dedup(spark, mixed, none, monkeypatch, chunk_bytes, hot):
+    rows = mixed[0] + REPEATS + [(-3, mixed[0][5][1][20:300]), (9009, LONG[1000:90_000])]
     plain = exchange.chunks
     monkeypatch.setattr(exchange, "chunks", lambda d: plain(d, chunk_bytes))
-    assert sorted(map(tuple, suffix_dedup.op3_suffix_dedup(docs_of(spark, rows)).collect()), key=repr) == repeats_brute(rows)
+    out = suffix_dedup.remove_repeats(docs_of(spark, rows), hot)
+    assert sorted(map(tuple, suffix_dedup.digest(out).collect()), key=repr) == repeats_brute(rows)
     assert suffix_dedup.op3_suffix_dedup(none).count() == 0
 
 
+def test_second_batch_does_not_need_the_first(spark, mixed, tmp_path):
+    rows = sorted((r for r in mixed[0] + REPEATS if r[0] is not None), key=lambda r: r[0])
+    ids = sorted({r[0] for r in rows})
+    edges = [ids[0], ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1] + 1]
+    got, levels = [], None
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        out, new = suffix_dedup.append(docs_of(spark, [r for r in rows if a <= r[0] < b]), levels, n_buckets=5)
+        new.write.parquet(str(tmp_path / f"{k}"))
+        levels = spark.read.parquet(str(tmp_path / f"{k}"))
+        got += map(tuple, suffix_dedup.digest(out).collect())
+    assert sorted(got, key=repr) == repeats_brute(rows)
+
+
 def test_spans_and_kept_bytes_make_the_text(spark, documents):
     texts = {r.doc_id: r.text.encode() for r in documents.collect()}
     for r in suffix_dedup.remove_repeats(documents).collect():
@@ -173,20 +190,23 @@ def test_spans_and_kept_bytes_make_the_text(spark, documents):
 
 
 def test_levels_merge_geometrically():
-    family = suffix_dedup.SuffixFamily()
-    rng = np.random.default_rng(1)
-    best = {}
-    for batch in range(40):
-        keys = rng.integers(97, 101, (50, suffix_dedup.LENGTH), np.uint8)
-        keys[:, 4:] = 97
-        flat = np.ascontiguousarray(keys).view(f"S{suffix_dedup.LENGTH}").reshape(-1)
-        ids = rng.integers(0, 1000, 50)
-        for k, i in zip(flat.tolist(), ids.tolist(), strict=True):
-            best[k] = min(best.get(k, i), i)
-        family.add(flat, ids)
-    assert len(family.levels) <= 8
-    got = family.smallest(np.array(list(best)))
-    assert got.tolist() == list(best.values())
+    family, rng, best, slots = suffix_dedup.SuffixFamily(), np.random.default_rng(1), {}, {}
+    for _ in range(40):
+        data = rng.integers(97, 99, 120, np.uint8)
+        start = np.arange(len(data) - suffix_dedup.LENGTH + 1)
+        data[20:] = 97
+        ids = rng.integers(0, 1000, len(start))
+        windows = suffix_dedup.windows_at(data, start).tolist()
+        for w, i, s in zip(windows, ids.tolist(), family.add(data, start, ids).tolist(), strict=True):
+            best[w] = min(best.get(w, i), i)
+            assert slots.setdefault(w, s) == s
+        for level in family.levels:
+            keys = suffix_dedup.windows_at(level.data, level.at)
+            assert (keys[1:] > keys[:-1]).all()
+    assert len(family.levels) <= 10 and sum(len(x.at) for x in family.levels) == len(best)
+    assert {w: family.best[s] for w, s in slots.items()} == best
+    again = suffix_dedup.SuffixFamily.unpacked(family.packed())
+    assert sorted(again.best.tolist()) == sorted(best.values())
 
 
 # --- decontamination ----------------------------------------------------------------------------------------------------
