@@ -579,18 +579,83 @@ def test_language_model(spark, mixed, none, monkeypatch):
     assert language_model.op10_language_model(none).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
-    rows = [(k, t) for k, t in enumerate(["a b a c", "b a", "c c a b"]) if zlib.crc32(str(k).encode()) % 7 != 2]
-    words = sorted({w for _, t in rows for w in t.split()})
-    model = [(100 + k, w) for k, w in enumerate([*words, "unseen"])]
-    df = docs_of(spark, rows + model)
-    out = {r.doc_id: r.score for r in language_model.score(df, F.col("doc_id") < 100).collect()}
-    assert all(s < 0 for s in out.values())
-
-
-def test_weights_are_mixtures():
-    w = language_model.learn_weights(np.array([5 * language_model.GRID * language_model.GRID + 3 * language_model.GRID + 2]), np.array([4.0]), 100, 10)
-    assert w.shape == (language_model.N_BUCKETS, 3) and np.allclose(w.sum(1), 1) and (w > 0).all()
+class Model:
+    """The model by its definition, with counters; weights learned token by token."""
+
+    def __init__(self, texts):
+        self.c = collections.Counter()
+        self.seen = [x for t in texts for x in self.grams(t)]
+        for u, v, w in self.seen:
+            self.c.update([(w,), (v, w), (u, v, w), ("ctx", u, v)])
+        self.n, self.words = len(self.seen), len({w for _, _, w in self.seen})
+        groups = collections.defaultdict(list)
+        for g in self.seen:
+            groups[self.bucket(*g)].append(self.parts(*g, 1))
+        self.weights = {}
+        for b, rows in groups.items():
+            w = np.where(language_model.parts_of(b), np.maximum(language_model.em(np.array(rows), np.ones(len(rows))), 1e-6), 0)
+            self.weights[b] = w / w.sum()
+        for b in range(language_model.N_BUCKETS):
+            if b not in self.weights:
+                parts = language_model.parts_of(b)
+                self.weights[b] = self.weights[b - 1] if b and (language_model.parts_of(b - 1) == parts).all() else parts / parts.sum()
+
+    @staticmethod
+    def grams(text):
+        t = [None, None, *tokens_of(text)]
+        return list(zip(t, t[1:], t[2:], strict=False))
+
+    def bucket(self, u, v, w):
+        two, one = self.c["ctx", u, v], self.c[v,]
+        return language_model.POWERS + int(math.log2(two)) if two >= 2 else 1 + int(math.log2(one)) if one else 0
+
+    def parts(self, u, v, w, less=0):
+        share = lambda x, y: max(0, x - less) / (y - less) if y > less else 0.0
+        two = self.c["ctx", u, v]
+        return 1 / (self.words + 1), share(self.c[w,], self.n), share(self.c[v, w], self.c[v,]), share(self.c[u, v, w], two) if two >= 2 else 0.0
+
+    def p(self, u, v, w):
+        return float(np.dot(self.weights[self.bucket(u, v, w)], self.parts(u, v, w)))
+
+
+def test_score_against_the_definition(spark, documents, monkeypatch):
+    plain = exchange.chunks
+    monkeypatch.setattr(exchange, "chunks", lambda d: plain(d, 200_000))
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(7001, None), (7001, ""), (7003, "Never seen before zzqx")]
+    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    model = Model([t for i, t in rows if train(i)])
+    got = collections.defaultdict(list)
+    for r in language_model.op10_language_model(docs_of(spark, rows)).collect():
+        got[r.doc_id].append(r.score)
+    off = []
+    for i, t in rows:
+        want = sum(math.log10(model.p(*g)) for g in model.grams(t))
+        off.append(min(abs(x - want) for x in got[i]) / len(model.grams(t)))
+    assert max(off) < 0.05 and np.mean(off) < 0.005  # a token's logarithm, for weights come from a grid
+
+
+def test_probabilities_sum_to_one():
+    """Those of the definition, which the operator is held to above."""
+    texts = ["a b a c", "b a", "c c a b a b a c"]
+    model = Model(texts)
+    words = [*sorted({w for t in texts for w in t.split()}), None, "unseen"]
+    for u, v in (("b", "a"), ("a", "b"), (None, None), (None, "b"), ("c", "c"), ("unseen", "a"), ("a", "unseen")):
+        assert sum(model.p(u, v, w) for w in words) == pytest.approx(1)
+
+
+def test_weights_of_the_grid_are_near_those_of_single_tokens(documents):
+    texts = [r.text for r in documents.collect()]
+    model = Model(texts)
+    rows = collections.defaultdict(list)
+    for g in model.seen:
+        _, one, after, after_two = model.parts(*g, 1)
+        rows[model.bucket(*g)].append((round(one * (model.n - 1)), after, after_two))
+    for b, own in rows.items():
+        if len(own) >= 500:
+            x = np.array(own)
+            s = language_model._steps
+            cells, hits = np.unique(((b * language_model.GRID + s(x[:, 0] * 2.0**-31)) * language_model.GRID + s(x[:, 1])) * language_model.GRID + s(x[:, 2]), return_counts=True)
+            assert np.abs(language_model.learn_weights(b, cells, hits.astype(float), model.n, model.words) - model.weights[b]).max() < 0.02
 
 
 # --- exchange -----------------------------------------------------------------------------------------------------------
