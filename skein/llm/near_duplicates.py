@@ -7,7 +7,7 @@ to the longest length at which the forest is to find `recall` of those pairs.  A
 sorted labels ends in, is a list of blocks, and its blocks are compared one with another in tasks of their own, so nothing is left out.
 
 Members of a node whose sketches agree well enough are candidates.  Candidate groups (connected candidates) of up to `block` members
-are verified exactly, each pair.  Larger groups are cut into blocks of neighbouring labels, and only those pairs of blocks
+are verified exactly, each pair.  Larger groups are cut into blocks of neighbours, and only those pairs of blocks
 that met in some node are verified, each pair of texts in them.  No list of pairs of texts is ever made: a task counts the links of each text
 and keeps one edge from each text to its root.
 
@@ -16,7 +16,7 @@ an equal shingle set) and n_links (other documents at or above the threshold, eq
 
 Defined cases: words are separated by ASCII white space; a text of 1 to 4 words has one shingle, all of it; null, empty and blank texts
 have none and link to nothing, as do rows with a null id (class_id and exact_id null).  Repeated rows of one id and one shingle set
-are one document; rows of one id with different shingle sets are a document each.  Very long texts are blocks of their own (MOST_SHINGLES).
+are one document; rows of one id with different shingle sets are a document each.  Texts of any length are compared whole.
 Only the id and text columns are read.
 """
 
@@ -41,8 +41,8 @@ N_HASHES = TREES * DEPTH
 _draw = np.random.default_rng(20240101)
 MULTIPLY = _draw.integers(1, 2**63, N_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _draw.integers(0, 2**63, N_HASHES, np.uint64)
-#: Members of a node that are compared at once; shingles of a block at most, if it has more than one text.
-HOT, MOST_SHINGLES = 4096, 2_000_000
+#: Members of a node that are compared at once; members and shingles of a block.
+HOT, BLOCK, MOST_SHINGLES = 4096, 2048, 500_000
 
 
 class _Hashes(dict):
@@ -267,33 +267,24 @@ def candidates(forest: DataFrame, threshold: float, recall: float, differ: int,
     return found.filter("v is not null").select("u", "v").unionAll(across).toDF("src", "dst"), depth
 
 
-def _numbered(block: int):
-    """Blocks of up to `block` members of one group (comp), in the order given."""
+def blocks_of(groups: DataFrame, size: DataFrame, block: int, most: int) -> DataFrame:
+    """(comp, node, block): each group dealt out into blocks of about `block` members and `most` shingles at most, neighbours in the first trie together where they fit.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        at = ((task.partitionId() if task else 0) << 32) - 1
-        last, members, held = None, 0, 0
-        for batch in batches:
-            out = []
-            for comp, n in zip(batch.column("comp").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if comp != last or members >= block or held + n > MOST_SHINGLES:
-                    at, last, members, held = at + 1, comp, 0, 0
-                members, held = members + 1, held + n
-                out.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("node"), pa.array(out, pa.int64())], ["comp", "node", "block"])
-
-    return run
+    A group is cut by the value of its members' first min-hash; what still holds too much (a value that most members share) is dealt out by a hash."""
+    fits = lambda members, n: F.greatest(F.ceil(F.col(members) / block), F.ceil(F.col(n) / most))
+    first = F.conv(F.hex(F.substring("labels", 1, 2)), 16, 10).cast("long")
+    cut_up = groups.join(size, "comp").withColumn("part", F.floor(first * fits("members", "shingles") / 65536))
+    held = cut_up.groupBy("comp", "part").agg(F.count("*").alias("own"), F.sum("n").alias("own_shingles")).select("comp", "part", fits("own", "own_shingles").alias("deals"))
+    return cut_up.join(held, ["comp", "part"]).select("comp", "node", (F.col("part") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("deals"))).alias("block"))
 
 
-def to_verify(groups: DataFrame, classes: DataFrame, depth: int, block: int) -> DataFrame:
+def to_verify(groups: DataFrame, classes: DataFrame, depth: int, block: int, most: int) -> DataFrame:
     """(comp, i, j, block, node): the members of each pair of blocks that is to be verified."""
     groups = cut(groups.join(classes.select("node", "n", "labels"), "node"))
     size = groups.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    large = (F.col("members") > block) | (F.col("shingles") > MOST_SHINGLES)
+    large = (F.col("members") > block) | (F.col("shingles") > most)
     whole = groups.join(size.filter(~large), "comp").select("comp", F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(-1).cast("long").alias("block"), "node")
-    ordered = groups.join(size.filter(large), "comp", "left_semi").repartitionByRange("comp", "labels", "node").sortWithinPartitions("comp", "labels", "node")
-    blocks = cut(ordered.select("comp", "node", "n").mapInArrow(_numbered(block), "comp long, node long, block long"))
+    blocks = cut(blocks_of(groups, size.filter(large), block, most))
     if blocks.isEmpty():
         return whole
     of_nodes = entries(classes.join(blocks.select("node"), "node", "left_semi")).select(F.substring("key", F.lit(1), F.lit(1 + 2 * depth)).alias("prefix"), "node").join(blocks, "node")
@@ -367,12 +358,12 @@ def _verify(top: int, bottom: int):
     return run
 
 
-def join(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.9995, block: int = 512, pack_shingles: int = 500_000, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.9995, block: int = BLOCK, most: int = MOST_SHINGLES, pack_shingles: int = 500_000, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, exact_id, n_links for each row of docs; the threshold is top / bottom."""
-    return _joined(docs, top, bottom, recall, block, pack_shingles, hot, id_col, text_col).drop("text_hash")
+    return _joined(docs, top, bottom, recall, block, most, pack_shingles, hot, id_col, text_col).drop("text_hash")
 
 
-def _joined(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.9995, block: int = 512, pack_shingles: int = 500_000, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.9995, block: int = BLOCK, most: int = MOST_SHINGLES, pack_shingles: int = 500_000, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     agree = (1 + top / bottom) / 2  # of one-bit sketches at the threshold
     differ = int(N_HASHES * (1 - agree) + 4.5 * (N_HASHES * agree * (1 - agree)) ** 0.5)
@@ -381,7 +372,7 @@ def _joined(docs: DataFrame, top: int = 4, bottom: int = 5, recall: float = 0.99
     classes = each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("size"), F.first("labels").alias("labels"), F.first("bits").alias("bits"), F.first("n").alias("n"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers hold, since what is read is what was written
     edges, depth = candidates(entries(classes).repartitionByRange("key", "node").sortWithinPartitions("key", "node"), top / bottom, recall, differ, hot)
-    work = cut(to_verify(connected_components(edges), classes, depth, block))
+    work = cut(to_verify(connected_components(edges), classes, depth, block, most))
     shipped = work.join(classes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
     packs = max(1, -(-shipped // pack_shingles))
 
