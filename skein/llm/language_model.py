@@ -25,50 +25,114 @@ chunk of its own.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import exchange as ex
-from skein.llm.common import id_remainder, mix
+from skein.llm.common import WHITE, id_remainder, mix
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 KEY_BITS = 56
 #: Context buckets: 0 never seen; then by c(v); then by c(u v).  Cells of the grid of left-out counts.
-POWERS, GRID, STEPS = 40, 128, 4
+POWERS, GRID, STEPS = 40, 128, 3
 N_BUCKETS = 2 * POWERS
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end "))
 
+#: Words of up to LONG bytes have polynomial hashes, taken from sums over PIECE bytes at a time; longer ones are hashed one by one.
+LONG, PIECE = 64, 1 << 20
+BYTE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
+IS_WHITE = np.zeros(256, bool)
+IS_WHITE[list(WHITE)] = True
+_powers: list[np.ndarray] = []
+
+
+def _power_tables() -> list[np.ndarray]:
+    """Powers of ODD and of its inverse, modulo 2**64."""
+    if not _powers:
+        for base in (int(ODD), pow(int(ODD), -1, 1 << 64)):
+            out = np.ones(PIECE, np.uint64)
+            have = 1
+            while have < PIECE:
+                out[have : 2 * have] = out[:have] * np.uint64(pow(base, have, 1 << 64))
+                have *= 2
+            _powers.append(out)
+    return _powers
+
+
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word data[start:end]; words are in order."""
+    power, inverse = _power_tables()
+    flat, out, at = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, base + PIECE - LONG, "right")))
+        part = flat[base : min(int(ends[to - 1]), int(base) + PIECE)]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[part] * power[: len(part)], dtype=np.uint64)))
+        first = starts[at:to] - base
+        out[at:to] = (sums[np.minimum(ends[at:to] - base, len(part))] - sums[first]) * inverse[first]
+        at = to
+    size = ends - starts
+    out = mix(out + size.astype(np.uint64))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch, chunk by chunk: lower-cased and compressed, with their lengths, ids and whether they are learned from."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).take(pa.array(order)).to_pylist()]
+        ids = batch.column("doc_id").take(pa.array(order))
+        have, number, train = np.array(ids.is_valid()), np.array(ids.fill_null(0)), np.array(batch.column("train").take(pa.array(order)))
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(chunk[order]) != 0, [True]))) if len(order) else np.zeros(1, int)
+        out = []
+        for a, b in zip(edge, edge[1:], strict=False):
+            sizes = np.fromiter(map(len, texts[a:b]), np.uint64, b - a)
+            flags = have[a:b].astype(np.uint8) + 2 * train[a:b].astype(np.uint8)
+            out.append(ex.bundle([pack.compress(b"".join(texts[a:b]).translate(LOWER)), ex.squeeze(sizes), number[a:b].astype("<i8").tobytes(), flags.tobytes()]))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[order][edge[:-1]], pa.int32()), pa.array(out, pa.binary())], ["chunk", "texts"])
 
-class Tokens:
-    """The tokens of some texts, one text after the other.  size and first: of each text."""
 
-    def __init__(self, texts: list[str | None]):
-        words = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in texts]
-        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(self.size)
-        self.first = ends - self.size
+class Tokens:
+    """The tokens of some packed texts, one text after the other.  Of each text: its size in tokens, its first token, its id and whether it is learned from."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [ex.unbundle(b) for b in texts]
+        data = b"".join(zstandard.ZstdDecompressor().decompress(p[0]) for p in parts)
+        bytes_of = np.concatenate([*(ex.unsqueeze(p[1]) for p in parts), np.zeros(0, np.uint64)]).astype(np.int64)
+        flags = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+        self.ids, self.train = pa.array(np.frombuffer(b"".join(p[2] for p in parts), "<i8"), mask=flags & 1 == 0), flags & 2 > 0
+        offsets = np.concatenate(([0], np.cumsum(bytes_of)))
+        inside = ~IS_WHITE[np.frombuffer(data, np.uint8)]
+        edge = np.zeros(len(data) + 1, bool)  # a text begins here
+        edge[offsets] = True
+        starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+        ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
+        self.size = np.diff(np.searchsorted(starts, offsets)) + 1
+        last = np.cumsum(self.size)
+        self.first = last - self.size
         self.w = np.full(self.size.sum(), END)
-        inner = np.ones(len(self.w), bool)
-        inner[ends - 1] = False
-        self.w[inner] = np.fromiter((_hashes[w] for own in words for w in own), np.uint64, inner.sum())
+        words = np.ones(len(self.w), bool)
+        words[last - 1] = False
+        self.w[words] = word_hashes(data, starts, ends)
         self.v = np.concatenate(([END], self.w[:-1])) if len(self.w) else self.w
 
+    def trained(self) -> np.ndarray:
+        """Of each token: is it learned from?"""
+        return np.repeat(self.train, self.size)
+
     def pairs(self) -> np.ndarray:
         """The key of each token with the one before it."""
         return mix(self.v * ODD + self.w) >> np.uint64(64 - KEY_BITS)
@@ -92,14 +156,10 @@ def _asked(chunk: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return ex.messages([chunk] * len(used), used, blobs)
 
 
-def _train(docs: pa.Table, size: np.ndarray) -> np.ndarray:
-    return np.repeat(np.array(docs.column("train").to_pylist(), bool), size)
-
-
 def _ask_pairs(n_buckets: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        t = Tokens(docs.column("text").to_pylist())
-        train = _train(docs, t.size)
+        t = Tokens(docs.column("texts").to_pylist())
+        train = t.trained()
         return _asked(key[0].as_py(), [_question(t.w, train, n_buckets, 64), _question(t.pairs(), train, n_buckets, KEY_BITS)])
 
     return run
@@ -154,9 +214,9 @@ def _ask_triples(n_buckets: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return ex.messages([], [], [])
-        t = Tokens(docs.column("text").to_pylist())
+        t = Tokens(docs.column("texts").to_pylist())
         twice = Counts(t, _of_kind(answers, 1)).twice
-        return _asked(key[0].as_py(), [_question(t.triples()[twice], _train(docs, t.size)[twice], n_buckets, KEY_BITS)])
+        return _asked(key[0].as_py(), [_question(t.triples()[twice], t.trained()[twice], n_buckets, KEY_BITS)])
 
     return run
 
@@ -168,7 +228,7 @@ def _of_kind(answers: pa.Table, kind: int) -> list[bytes]:
 
 
 def _counted(docs: pa.Table, answers: pa.Table) -> tuple[Tokens, Counts]:
-    t = Tokens(docs.column("text").to_pylist())
+    t = Tokens(docs.column("texts").to_pylist())
     c = Counts(t, _of_kind(answers, 1))
     c.add_triples(t, _of_kind(answers, 2))
     return t, c
@@ -197,7 +257,7 @@ def _count_left_out(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table({"cell": pa.array([], pa.int64()), "hits": pa.array([], pa.int64())})
     t, c = _counted(docs, answers)
-    train = _train(docs, t.size)
+    train = t.trained()
     bucket, own, after, after_two = left_out(c, train)
     cell = ((bucket * GRID + _steps(own * 2.0**-31)) * GRID + _steps(after)) * GRID + _steps(after_two)
     cells, hits = np.unique(cell, return_counts=True)
@@ -274,14 +334,14 @@ def _score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
     p = probabilities(c, np.frombuffer(model[16:], "<f8").reshape(-1, 4), n, v)
     each = lambda x: pa.array(np.add.reduceat(x, t.first))
     base = np.add.reduceat(np.log10(c.c_w + 1.0), t.first) - t.size * np.log10(n + v + 1.0)
-    return pa.table([docs.column("doc_id"), pa.array(t.size), each((c.c_w > 0).astype(np.int64)), pa.array(np.full(len(t.size), n, np.int64)), pa.array(base), each(np.log10(p))], names)
+    return pa.table([t.ids, pa.array(t.size), each((c.c_w > 0).astype(np.int64)), pa.array(np.full(len(t.size), n, np.int64)), pa.array(base), each(np.log10(p))], names)
 
 
 def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs; train says which rows are learned from."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt, n_chunks = ex.chunks(own)
-    dealt = dealt.withColumn("train", F.coalesce(train, F.lit(False)))
+    dealt = dealt.withColumn("train", F.coalesce(train, F.lit(False))).mapInArrow(packed, "chunk int, texts binary")
     by_chunk = lambda answers: dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     pairs = dealt.groupBy("chunk").applyInArrow(_ask_pairs(n_chunks), ex.MESSAGE).groupBy("bucket").applyInArrow(_answer, ex.MESSAGE).withColumn("kind", F.lit(1))
     triples = by_chunk(pairs).applyInArrow(_ask_triples(n_chunks), ex.MESSAGE).groupBy("bucket").applyInArrow(_answer, ex.MESSAGE).withColumn("kind", F.lit(2))

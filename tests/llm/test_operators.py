@@ -446,14 +446,14 @@ def jaccard_brute(rows):
     return sorted(((x[0], low[root(number[x])], links[number[x]]) if x[0] is not None else (None, None, 0) for x in each), key=repr)
 
 
-@pytest.mark.parametrize(("block", "hot"), [(512, 4096), (3, 4)])
+@pytest.mark.parametrize(("block", "hot"), [(2048, 4096), (3, 4)])
 def test_jaccard_join(spark, mixed, none, block, hot):
     base = " ".join(f"w{k}" for k in range(80))
     near = base.replace("w79", "v79")
     rows = mixed[0] + [(9100 + k, base + f" z{k}") for k in range(25)] + [(9200, "one two"), (9201, "one two"), (9300, base), (9300, base), (9300, near), (9301, near), (9301, near), (9006, LONG), (9302, LONG + " more")]
     got = near_duplicates.join(docs_of(spark, rows), block=block, hot=hot).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == jaccard_brute(rows)
-    if block == 512:
+    if block == 2048:
         df = docs_of(spark, rows)
         kept = near_duplicates.keep_one(df)
         assert kept.columns == df.columns
