@@ -5,8 +5,9 @@ window).  Patterns of one length share a shift table: for each block of two word
 pattern can end before.  Where a block can end a pattern, its bucket, keyed by that suffix block, gives the patterns to
 compare word by word.  Patterns of one word have no block of two and are looked up directly.
 
-The benchmark is read in blocks of a stated size: each block's patterns are broadcast on their own and searched in turn, so its
-growth adds passes, not memory.
+The benchmark is read in blocks of BLOCK_BYTES: the driver holds one at a time, broadcasts it (the bound of a broadcast) and goes on.  A task keeps the
+search tables of TABLES blocks.  Where there are more, it takes its texts by WINDOW_BYTES and searches them block by block, so each table is built once
+for a window: the benchmark's growth adds time, not memory.
 
 Defined cases: null and empty texts have no words and no hits; items that are null or without words give no window; of
 repeated item ids each row counts as the same item.  Repeated documents each get a row.  Only named columns are read.
@@ -14,18 +15,16 @@ repeated item ids each row counts as the same item.  Repeated documents each get
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import rows
-
 WIDTH = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, WINDOW_BYTES, TABLES = 8 << 20, 32 << 20, 4
 
 
 def _word_table() -> bytes:
@@ -99,33 +98,64 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_bytes, read row by row."""
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of about block_bytes (a longer item is a block), one at a time; one empty block of an empty benchmark."""
+    block: list[tuple[str, bytes]] = []
     held = 0
     for r in benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).filter("item is not null and text is not null").toLocalIterator():
-        if held + len(r.text) > block_bytes and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.item, bytes(r.text)))
+        if held + len(r.text) > block_bytes and block:
+            yield block
+            block, held = [], 0
+        block.append((r.item, bytes(r.text)))
         held += len(r.text)
-    return blocks
-
-
-_tables: dict[str, WuManber] = {}
+    yield block
+
+
+class Tables:
+    """The search tables of broadcast blocks in a task; those of the first TABLES are kept."""
+
+    def __init__(self, shared: list, width: int):
+        self.shared, self.width, self.kept, self.built = shared, width, {}, 0
+        self.window = 0 if len(shared) <= TABLES else WINDOW_BYTES
+
+    def each(self) -> Iterator[WuManber]:
+        for k, block in enumerate(self.shared):
+            if (table := self.kept.get(k)) is None:
+                table = WuManber([(i, words(t)) for i, t in block.value], self.width)
+                self.built += 1
+                if k < TABLES:
+                    self.kept[k] = table
+            yield table
+
+    def search(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """Number of words, spans and items of each text."""
+        lists = [words(t) for t in texts]
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        for table in self.each():
+            for k, own in enumerate(lists):
+                s, f = table.search(own)
+                spans[k] += s
+                items[k].update(table.names[x] for x in f)
+        return [(len(w), s, i) for w, s, i in zip(lists, spans, items, strict=True)]
 
 
-def _tables_of(key: str, block, width: int) -> WuManber:
-    """The search tables of a broadcast block; a worker keeps those of a few blocks."""
-    if key not in _tables:
-        if len(_tables) > 3:
-            _tables.clear()
-        _tables[key] = WuManber([(i, words(t)) for i, t in block.value], width)
-    return _tables[key]
+def windows(batches: Iterator, bytes_of, limit: int) -> Iterator[list]:
+    """Batches together, as long as they hold no more than limit bytes."""
+    held, size = [], 0
+    for batch in batches:
+        n = bytes_of(batch)
+        if held and size + n > limit:
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield held
 
 
-def _share(docs: DataFrame, benchmark: DataFrame) -> list[tuple]:
-    return [(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in benchmark_blocks(benchmark)]
+def _share(docs: DataFrame, benchmark: DataFrame) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,26 +163,23 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str
     shared = _share(docs, benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in rows(batches):
-            lists = [words(t) for t in texts]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for key, block in shared:
-                tables = _tables_of(key, block, width)
-                for k, own in enumerate(lists):
-                    s, f = tables.search(own)
-                    spans[k] += s
-                    items[k].update(tables.names[x] for x in f)
-            hit, runs = [], []
-            for own, s in zip(lists, spans, strict=True):
-                mask = covered(s, len(own)) if s else np.zeros(0, bool)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                hit.append(int(mask.sum()))
-                runs.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+        tables = Tables(shared, width)
+        for held in windows(batches, lambda b: b.nbytes, tables.window):
+            found = iter(tables.search([t for b in held for t in b.column("text").cast(pa.binary()).to_pylist()]))
+            for batch in held:
+                n_words, hit, items, runs = [], [], [], []
+                for _ in range(batch.num_rows):
+                    n, s, own = next(found)
+                    mask = covered(s, n) if s else np.zeros(0, bool)
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+                    n_words.append(n)
+                    hit.append(int(mask.sum()))
+                    items.append(sorted(own))
+                    runs.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                    ["doc_id", "n_words", "n_hit", "items", "spans"],
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: bigint, end: bigint>>")
 
@@ -166,17 +193,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = _share(docs, benchmark)
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
-        lists = [words(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
-        spans: list[list[tuple[int, int]]] = [[] for _ in lists]
-        for key, block in shared:
-            tables = _tables_of(key, block, WIDTH)
-            for k, own in enumerate(lists):
-                spans[k] += tables.search(own)[0]
-        hits = [int(covered(s, len(own)).sum()) if s else 0 for s, own in zip(spans, lists, strict=True)]
-        return pd.Series([not (h and 20 * h >= len(own)) for h, own in zip(hits, lists, strict=True)], dtype=bool)
+    def clean(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables = Tables(shared, WIDTH)
+        for held in windows(series, lambda x: int(x.str.len().sum()), tables.window):
+            found = iter(tables.search([t.encode("utf-8", "surrogatepass") if t else None for x in held for t in x]))
+            for x in held:
+                kept = []
+                for _ in range(len(x)):
+                    n, s, _items = next(found)
+                    h = int(covered(s, n).sum()) if s else 0
+                    kept.append(not (h and 20 * h >= n))
+                yield pd.Series(kept, dtype=bool)
 
     return docs.filter(clean(F.col("text")))
 
