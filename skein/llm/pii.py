@@ -8,8 +8,9 @@ one.  Names get generated names of the same script, letter case and gender (from
 surrogate under every title.
 
 Collisions are checked over the whole corpus: no two entities of a type may share a surrogate, and no surrogate may be some
-other entity that the corpus holds.  Entities that fail are keyed anew until none does; those exceptions, a vanishing part,
-are broadcast in blocks of bounded size.
+other entity that the corpus holds.  Entities that fail are keyed anew until none does.  Where WIDE attempts did not help, the format is full or
+nearly so, and the surrogate gets a character (names: a syllable) more with each further attempt, so that the rounds end.  Up to FEW of those
+exceptions are broadcast; beyond that they are joined with the texts that hold them.
 
 Defined cases: null text stays null, empty text stays empty; repeated rows get equal results; other columns are not read by
 `entities` and `replace` and pass unchanged through `redact`.
@@ -18,7 +19,9 @@ Defined cases: null text stays null, empty text stays empty; repeated rows get e
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,6 +55,10 @@ PLACE = {c: (a, k) for a in ALPHABETS for k, c in enumerate(a)}
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 
 
+#: Attempts within an entity's own format; exceptions that may be broadcast.
+WIDE, FEW = 8, 50_000
+
+
 def _keyed(key: bytes, label: str, size: int) -> int:
     return int.from_bytes(hashlib.shake_256(key + b"\0" + label.encode("utf-8", "surrogatepass")).digest(size), "big")
 
@@ -111,12 +118,12 @@ def script_of(word: str) -> str:
     return "cyrillic" if re.search("[А-яЁё]", word) else "greek" if re.search("[Α-ωά-ώ]", word) else "latin"
 
 
-def make_name(key: bytes, label: str, word: str, gender: str) -> str:
-    """A made-up name of three syllables and an ending, in the script and letter case of word."""
+def make_name(key: bytes, label: str, word: str, gender: str, syllables: int = 3) -> str:
+    """A made-up name of three syllables (or more) and an ending, in the script and letter case of word."""
     script = script_of(word)
-    x = _keyed(key, f"name/{label}/{gender}/{word.casefold()}", 8)
+    x = _keyed(key, f"name/{label}/{gender}/{word.casefold()}", 8 + 2 * syllables)
     out = []
-    for _ in range(3):
+    for _ in range(syllables):
         x, c = divmod(x, len(CONSONANTS[script]))
         x, v = divmod(x, len(VOWELS[script]))
         out.append(CONSONANTS[script][c] + VOWELS[script][v])
@@ -133,7 +140,11 @@ def make_name(key: bytes, label: str, word: str, gender: str) -> str:
 @lru_cache(200_000)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The surrogate of an entity; attempts give other ones."""
-    tweak = f"{kind}/{attempt}"
+    tweak, more = f"{kind}/{attempt}", max(0, attempt + 1 - WIDE)
+    if more and kind == "email":
+        value = ("a" * more + "@").join(value.rsplit("@", 1))
+    elif more and kind in ("secret", "iban", "phone", "ssn", "card"):
+        value += "0" * more
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         reserved = re.search(r"(?:^|\.)(?:example(?:\.(?:com|net|org))?|test|invalid)$", domain.lower())
@@ -166,7 +177,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         body = digits[0] + permute_text(key, tweak + digits[0], digits[1:-1])
         return _refill(value, body + str((luhn(body) + off) % 10))
     gender = {"given-m": "m", "given-f": "f"}.get(kind, "")
-    return make_name(key, f"{kind}/{attempt}", value, gender)
+    return make_name(key, f"{kind}/{attempt}", value, gender, 3 + more)
 
 
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -212,47 +223,56 @@ def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, value string, surrogate string").distinct()
 
 
-def exceptions(found: DataFrame, key: bytes, block: int = 50_000, most: int = 30) -> list[dict[tuple[str, str], int]]:
-    """Attempts other than 0, in blocks.  found: as entities() gives, computed once."""
+def exceptions(found: DataFrame, key: bytes) -> DataFrame:
+    """kind, value, attempt of the entities whose first surrogate does not do.  found: as entities() gives, computed once."""
     group = lambda c: F.when(F.col(c).startswith("given") | (F.col(c) == "family"), "name").otherwise(F.col(c))
     found = found.select("kind", "value", "surrogate", F.lit(0).alias("attempt"))
-    fixed: dict[tuple[str, str], int] = {}
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, values, attempts = (batch.column(c).to_pylist() for c in ("kind", "value", "attempt"))
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array([surrogate(key, k, v, a + 1) for k, v, a in zip(kinds, values, attempts, strict=True)], pa.string()), pa.array([a + 1 for a in attempts], pa.int32())], ["kind", "value", "surrogate", "attempt"])
 
-    for _ in range(most):
+    while True:
         named = found.select("kind", F.lower("value").alias("v"), F.lower("surrogate").alias("s"), "value", "surrogate", "attempt", group("kind").alias("g"))
         shared = named.groupBy("g", "s").agg(F.min(F.struct("attempt", "v", "kind")).alias("first"), F.countDistinct("v", "kind").alias("n")).filter("n > 1").select("g", "s", "first")
         twice = named.join(shared, ["g", "s"]).filter(F.struct("attempt", "v", "kind") != F.col("first")).select("kind", "value", "surrogate", "attempt")
         real = named.join(named.select(F.col("g").alias("g2"), F.col("v").alias("v2")).distinct(), (F.col("g") == F.col("g2")) & (F.col("s") == F.col("v2"))).select("kind", "value", "surrogate", "attempt")
         bad = cut(twice.unionAll(real).distinct())
         if bad.isEmpty():
-            break
-        moved = cut(bad.mapInArrow(again, "kind string, value string, surrogate string, attempt int"))
-        for r in moved.toLocalIterator():
-            fixed[r.kind, r.value] = r.attempt
+            return found.filter("attempt > 0").select("kind", "value", "attempt")
+        moved = bad.mapInArrow(again, "kind string, value string, surrogate string, attempt int")
         found = cut(found.join(bad.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "surrogate", "attempt").unionAll(moved))
-    pairs = sorted(fixed.items())
-    return [dict(pairs[at : at + block]) for at in range(0, len(pairs), block)]
 
 
-def _prepared(docs: DataFrame, key: bytes, text_col: str):
-    blocks = exceptions(cut(entities(docs, key, text_col)), key)
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+def _with_exceptions(docs: DataFrame, key: bytes, text_col: str, few: int = FEW):
+    """docs with a column _again of the exceptions in each text, or docs as they are and all exceptions as a broadcast."""
+    spark = docs.sparkSession
+    known = cut(exceptions(cut(entities(docs, key, text_col)), key))
+    if known.count() <= few:
+        return docs, spark.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in known.collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(h, k, v) for h, t in zip(batch.column("_hash").to_pylist(), batch.column("text").to_pylist(), strict=True) for k, v in {(k, v) for _, _, k, v in find(t)}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in own], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["_hash", "kind", "value"])
 
+    text = F.col(text_col).cast("string")
+    held = docs.select(F.xxhash64(text).alias("_hash"), text.alias("text")).mapInArrow(run, "_hash long, kind string, value string").distinct()
+    of_text = held.join(known, ["kind", "value"]).groupBy("_hash").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again"))  # texts of equal hash share their exceptions, which are by entity
+    return docs.join(of_text, F.xxhash64(docs[text_col].cast("string")) == of_text["_hash"], "left").drop(of_text["_hash"]), None
 
-def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """doc_id, text (with surrogates), n_entities and spans (kind, place in the input, place in the output) for each row of docs."""
-    shared = _prepared(docs, key, text_col)
+    docs, shared = _with_exceptions(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), key, "text", few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: v for b in shared for k, v in b.value.items()}
         for batch in batches:
             texts, spans = [], []
-            for t in batch.column("text").to_pylist():
+            again = batch.column("_again").to_pylist() if shared is None else [None] * batch.num_rows
+            for t, own_again in zip(batch.column("text").to_pylist(), again, strict=True):
+                known = shared.value if shared is not None else {(x["kind"], x["value"]): x["attempt"] for x in own_again or []}
                 new, found = replaced(t, key, known)
                 texts.append(new)
                 own, moved = [], 0
@@ -264,26 +284,36 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
             kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("new_start", pa.int64()), ("new_end", pa.int64())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, pa.list_(kind))], ["doc_id", "text", "n_entities", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_entities long, spans array<struct<kind: string, start: bigint, end: bigint, new_start: bigint, new_end: bigint>>")
+    return docs.mapInArrow(run, "doc_id long, text string, n_entities long, spans array<struct<kind: string, start: bigint, end: bigint, new_start: bigint, new_end: bigint>>")
 
 
-def redact(docs: DataFrame, key: bytes) -> DataFrame:
+def redact(docs: DataFrame, key: bytes, few: int = FEW) -> DataFrame:
     """docs, all columns, with surrogates in `text`."""
-    shared = _prepared(docs, key, "text")
+    with_again, shared = _with_exceptions(docs, key, "text", few)
+
+    @F.pandas_udf("string")
+    def by_all(texts):
+        import pandas as pd
+
+        return pd.Series([replaced(t, key, shared.value)[0] for t in texts], dtype=object)
 
     @F.pandas_udf("string")
-    def new(texts):
+    def by_own(texts, again):
         import pandas as pd
 
-        known = {k: v for b in shared for k, v in b.value.items()}
-        return pd.Series([replaced(t, key, known)[0] for t in texts], dtype=object)
+        return pd.Series([replaced(t, key, {tuple(x.split("\0", 1)): n for x, n in json.loads(own or "{}").items()})[0] for t, own in zip(texts, again, strict=True)], dtype=object)
 
-    return docs.withColumn("text", new("text"))
+    if shared is not None:
+        return docs.withColumn("text", by_all("text"))
+    named = F.to_json(F.map_from_entries(F.transform("_again", lambda x: F.struct(F.concat_ws("\0", x["kind"], x["value"]), x["attempt"]))))
+    return with_again.withColumn("text", by_own(F.col("text"), named)).select(*docs.columns)
 
 
 def corpus_key(spark) -> bytes:
-    """The key of the corpus: spark.skein.pii.key, or a fixed one where none is set, which keeps no secret."""
-    return spark.conf.get("spark.skein.pii.key", "not-a-secret").encode()
+    """The secret key of the corpus: spark.skein.pii.key.  Where none is set one is drawn for the session, so that nobody can invert the surrogates."""
+    if not spark.conf.get("spark.skein.pii.key", None):
+        spark.conf.set("spark.skein.pii.key", secrets.token_hex(32))
+    return spark.conf.get("spark.skein.pii.key").encode()
 
 
 def op5_pii(docs: DataFrame) -> DataFrame:
