@@ -4,8 +4,9 @@ Tokenizing: byte-pair ids of a public tokenizer file, then one end id.  A docume
 that length, of which the first may be shorter.
 
 Packing: each partition packs its pieces best-fit, largest first.  Bins that are nearly full (`slack` tokens or fewer left), or
-that not even the smallest other underfull bin fits, are final.  The rest are items of the next round, on fewer partitions, and so
-on up a tree; no task gets more than about `items_per_task` items, and the rounds end where they no longer merge anything.
+that not even the smallest other underfull bin fits, are final.  The rest are items of the next round, dealt anew over as
+many partitions as their number asks for, and so on up a tree; no task gets more than about `items_per_task` items.  The rounds end where one task has held all
+or where a round merged less than a hundredth of its items.
 
 Defined cases: null text is the empty text, which is its end id alone; a null id is kept as null; repeated rows are packed
 each on their own; an empty table gives no rows.  Only the id and text columns are read.
@@ -173,7 +174,7 @@ def _round(capacity: int, slack: int, turn: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int | None = None, items_per_task: int = 40_000, fan_in: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int | None = None, items_per_task: int = 40_000) -> DataFrame:
     """pieces with sequence_id and offset.  pieces must be computed once, as by cut()."""
     slack = capacity // 512 if slack is None else slack
 
@@ -200,7 +201,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int | None = None,
         fits = F.col("fill") + F.lit(least) <= capacity  # else no other open bin can join it
         final.append(out.filter(F.col("done") | ~fits))
         turn, before = turn + 1, alive
-        parts = max(1, min(math.ceil(parts / fan_in), math.ceil(alive / items_per_task)))
+        parts = math.ceil(alive / items_per_task)
         left = open_bins.filter(fits).select("fill", "members").repartition(parts)
     done = final[0]
     for more in final[1:]:
