@@ -9,7 +9,8 @@ are content; lines of bad ones begin as boilerplate and are decoded anew by the
 
 Defined cases: null is treated as the empty text, which has no words, fails the base rule and has a content share of 1;
 lines without a word take the state of their neighbours and carry no weight.  Without labels of both kinds all lines are
-content.  Repeated rows each get a row.  Only the named columns are read.
+content.  Repeated rows each get a row.  A text of very many lines is held with 11 numbers a line.  Only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -36,14 +37,11 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_window_words(words)
 
 
-def line_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each \\n-split line, and its number of words."""
-    lines = data.split(b"\n")
+def _features(lines: list[bytes], seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lines])[:-1])).astype(np.int64)
-    pairs = pair_counts(data + b"\n", starts).reshape(len(lines), N_CLASSES, N_CLASSES)
-    counts, size = pairs.sum(2), np.maximum(1.0, np.array([len(x) for x in lines], float))
+    counts = pair_counts(b"\n".join(lines) + b"\n", starts).reshape(len(lines), N_CLASSES, N_CLASSES).sum(2)
+    size = np.maximum(1.0, np.array([len(x) for x in lines], float))
     words = np.array([len(x.split()) for x in lines], float)
-    seen: set[bytes] = set()
     again = np.zeros(len(lines))
     for i, x in enumerate(lines):
         again[i] = x in seen
@@ -56,42 +54,67 @@ def line_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(out, 3.0), words
 
 
+def line_features(data: bytes, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each \\n-split line, and its number of words; counted for `block` lines at a time, so that many short lines stay small."""
+    lines, seen = data.split(b"\n"), set()
+    parts = [_features(lines[at : at + block], seen) for at in range(0, len(lines), block)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([w for _, w in parts])
+
+
+class Chains:
+    """Sequences of lines side by side, longest first: at each place, the lines of all sequences that are that long."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        size = np.array([len(x) for x in seqs])
+        order = np.argsort(-size, kind="stable")
+        self.x = np.concatenate([seqs[k] for k in order])
+        first = np.concatenate(([0], np.cumsum(size[order])[:-1])).astype(np.int64)
+        live = np.searchsorted(-size[order], -np.arange(1, size.max() + 1), "right")
+        self.at = [first[:n] + place for place, n in enumerate(live.tolist())]
+        self.size, self.order = size[order], order
+
+    def sums(self, score: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State marginals of each line, and the expected transitions of all, by scaled forward and backward sums."""
+        emit = np.stack([np.ones(len(score)), np.exp(np.clip(score, -30, 30))], 1)
+        move = np.exp(trans)
+        fwd, bwd = np.empty((len(score), 2)), np.ones((len(score), 2))
+        for place, at in enumerate(self.at):
+            f = emit[at] if not place else fwd[self.at[place - 1][: len(at)]] @ move * emit[at]
+            fwd[at] = f / f.sum(1, keepdims=True)
+        pair = np.zeros((2, 2))
+        for place in range(len(self.at) - 1, 0, -1):
+            at = self.at[place]
+            before = self.at[place - 1][: len(at)]
+            ahead = emit[at] * bwd[at]
+            b = ahead @ move.T
+            p = fwd[before][:, :, None] * move * ahead[:, None, :]
+            pair += (p / p.sum((1, 2), keepdims=True)).sum(0)
+            bwd[before] = b / b.sum(1, keepdims=True)
+        state = fwd * bwd
+        return state / state.sum(1, keepdims=True), pair
+
+
 class LineField:
     """A linear-chain field of two states, content (0) and boilerplate (1): w scores boilerplate, trans the neighbours."""
 
     def __init__(self):
         self.w, self.trans, self.trivial = np.zeros(N_FEATURES), np.zeros((2, 2)), True
 
-    def _sums(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State and transition marginals, by the forward and backward sums in logarithms."""
-        n, t = len(score), self.trans
-        emit = np.stack([np.zeros(n), score], 1)
-        fwd, bwd = np.empty((n, 2)), np.zeros((n, 2))
-        fwd[0] = emit[0]
-        for i in range(1, n):
-            fwd[i] = emit[i] + np.logaddexp(fwd[i - 1, 0] + t[0], fwd[i - 1, 1] + t[1])
-        for i in range(n - 2, -1, -1):
-            nxt = emit[i + 1] + bwd[i + 1]
-            bwd[i] = np.logaddexp(t[:, 0] + nxt[0], t[:, 1] + nxt[1])
-        total = np.logaddexp(fwd[-1, 0], fwd[-1, 1])
-        pair = np.exp(fwd[:-1, :, None] + t + (emit[1:] + bwd[1:])[:, None, :] - total).sum(0)
-        return np.exp(fwd + bwd - total), pair
-
     def fit(self, seqs: list[np.ndarray], bad: list[bool], rounds: int = 2, steps: int = 40, rate: float = 0.2, decay: float = 1e-3) -> LineField:
         if not seqs or len(set(bad)) < 2:
             return self
         self.trivial = False
+        chains = Chains(seqs)
+        weight = 1.0 / len(chains.x)
         for turn in range(rounds):
-            ys = [np.full(len(x), int(b)) if not turn or not b else self.decode(x) for x, b in zip(seqs, bad, strict=True)]
-            weight = 1.0 / sum(map(len, seqs))
+            ys = [np.full(len(seqs[k]), int(bad[k])) if not turn or not bad[k] else self.decode(seqs[k]) for k in chains.order]
+            y = np.concatenate(ys)
+            real = sum(np.bincount(own[:-1] * 2 + own[1:], minlength=4) for own in ys).reshape(2, 2)
             m, s = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
             for step in range(1, steps + 1):
-                grad, edge = decay * self.w, decay * self.trans
-                for x, y in zip(seqs, ys, strict=True):
-                    state, pair = self._sums(x @ self.w)
-                    grad = grad + weight * (x.T @ (state[:, 1] - y))
-                    real = np.bincount(y[:-1] * 2 + y[1:], minlength=4).reshape(2, 2)
-                    edge = edge + weight * (pair - real)
+                state, pair = chains.sums(chains.x @ self.w, self.trans)
+                grad = decay * self.w + weight * (chains.x.T @ (state[:, 1] - y))
+                edge = decay * self.trans + weight * (pair - real)
                 g = np.concatenate((grad, edge.ravel()))
                 m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
                 move = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
@@ -125,9 +148,8 @@ class LineField:
         return (float(words[states == 0].sum() / words.sum()) if words.sum() else 1.0), len(x), states
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 600, max_lines: int = 400) -> LineField:
-    """Fits on at most max_train labelled documents, half of each label where there are enough; a document of more than
-    max_lines lines gives that many, evenly spread."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 600) -> LineField:
+    """Fits on the whole line sequences of at most max_train labelled documents, half of each label where there are enough; of repeated rows of one id, on one."""
 
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     part = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2) for k in (0, 1)]
@@ -135,11 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows(batches):
-            found = [line_features(t or b"")[0] for t in texts]
-            found = [x if len(x) <= max_lines else x[np.linspace(0, len(x) - 1, max_lines).astype(int)] for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([line_features(t or b"")[0].tobytes() for t in texts], pa.binary())], ["doc_id", "label", "x"])
 
-    got = own.join(F.broadcast(part[0].unionByName(part[1])), "doc_id").mapInArrow(features, "doc_id long, label int, x binary").collect()
+    sample = own.join(F.broadcast(part[0].unionByName(part[1])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    got = sample.mapInArrow(features, "doc_id long, label int, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
     return LineField().fit([np.frombuffer(r.x, np.float64).reshape(-1, N_FEATURES) for r in got], [r.label == 0 for r in got])
 
