@@ -9,7 +9,8 @@ The fit takes a bounded sample (`max_train` labelled rows, in the order of a has
 
 Defined cases: null and empty texts are one passage without bytes and get the model's score for it; with no labels, or of
 one kind only, every score is the smoothed share of label 1.  A document with several labels counts with the largest; null
-labels are left out.  Repeated rows each get a row.  Only the named columns are read, so others may clash freely.
+labels are left out.  Repeated rows each get a row; of those of one
+labelled id, one is learned from.  Only the named columns are read, so others may clash freely.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # so few rows may be broadcast
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = own.join(F.broadcast(sample), "doc_id").mapInArrow(_encode_rows, "doc_id long, label int, bag binary").collect()
+    found = own.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").mapInArrow(_encode_rows, "doc_id long, label int, bag binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.bag))
     bags = [np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in found]
     return GatedAttention().fit(bags, np.array([r.label for r in found], np.float64))
@@ -142,8 +143,14 @@ def score(docs: DataFrame, model: GatedAttention, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in rows(batches):
             out: list[np.ndarray] = []
-            for at in range(0, len(texts), 64):
-                out.append(model.predict([encode(t) for t in texts[at : at + 64]]))
+            bags, held = [], 0
+            for t in texts:
+                bags.append(encode(t))
+                held += len(bags[-1])
+                if held > 4096:  # passages scored together; a longer text alone
+                    out.append(model.predict(bags))
+                    bags, held = [], 0
+            out.append(model.predict(bags) if bags else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
