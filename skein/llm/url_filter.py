@@ -4,8 +4,8 @@ All of it is DataFrame and SQL functions: features are column expressions, each
 aggregated histogram, and the finished trees are one expression that whole-stage code generation compiles.
 
 Features: lengths of url, host and path, path depth, parameters, digit ratio, character entropy, host labels, hyphens, and the
-smoothed share of blocked urls among the labelled ones with the same last host label and the same last two.  The trees are
-symmetric: one split for each level.  They are fitted on at most `max_train` labelled urls, chosen by a hash of the url, so the
+smoothed share of blocked urls among the other labelled ones with the same last host label and the same last two.  The trees are
+symmetric: one split for each level.  They are fitted on at most `max_train` different labelled urls, chosen by a hash of the url, so the
 suffix table has at most that many rows and may be broadcast.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule and is judged by the trees; with no
@@ -93,14 +93,16 @@ def _leaf_value(splits: list[tuple[int, float]], values: list[float]) -> Column:
 
 def fit(labelled: DataFrame, max_train: int = 20000, n_trees: int = 10, depth: int = 3, n_bins: int = 12, rate: float = 0.4, l2: float = 1.0) -> Trees:
     """labelled has url and label (1: block). Fits on at most max_train rows."""
-    sample = labelled.filter("url is not null and label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_train)
+    sample = labelled.filter("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(max_train)
     base = cut(lexical(sample.select("url", F.col("label").cast("double").alias("label"))).drop("_u", "host", "path"))
     n, blocked = base.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if n == 0 or blocked in (0, n):
         return Trees(-1.0 if blocked == 0 else 1.0, [], {})
-    suffixes = {k: base.groupBy(f"s{k}").agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"rate{k}")) for k in (1, 2)}
-    model = Trees(math.log((blocked + 1) / (n - blocked + 1)), [], {k: cut(v) for k, v in suffixes.items()})
-    data = cut(model.with_features(base))
+    sums = {k: cut(base.groupBy(f"s{k}").agg(F.sum("label").alias(f"b{k}"), F.count("*").alias(f"n{k}"))) for k in (1, 2)}
+    model = Trees(math.log((blocked + 1) / (n - blocked + 1)), [], {k: v.select(f"s{k}", ((F.col(f"b{k}") + 1) / (F.col(f"n{k}") + 2)).alias(f"rate{k}")) for k, v in sums.items()})
+    for k, v in sums.items():  # the trees see shares without the row's own label
+        base = base.join(F.broadcast(v), f"s{k}").withColumn(f"x{N_LEXICAL - 1 + k}", (F.col(f"b{k}") - F.col("label") + 1) / (F.col(f"n{k}") + 1))
+    data = cut(base.drop("s1", "s2", "b1", "b2", "n1", "n2").coalesce(8))
     names = [f"x{i}" for i in range(N_LEXICAL + 2)]
     quantiles = data.agg(*[F.percentile_approx(c, [i / n_bins for i in range(1, n_bins)], 10000).alias(c) for c in names]).first()
     edges = [sorted(set(quantiles[c])) for c in names]
