@@ -61,11 +61,11 @@ def score_normalised(spark, sf):
 
 
 @query("bootstrap_players", f"""WITH {LINE_STATS}, f AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY match_id * 10 + l_linenumber) AS n FROM st WHERE player_id NOT IN (SELECT p_partkey FROM part WHERE p_size < 25))
- SELECT player_id, match_id * 10 + l_linenumber AS seen, round(deaths - (kills + assists) * 0.35, 4) AS feedscore, round(kills + assists * 0.965 + gold / 560 + vision * 0.15, 4) AS opscore FROM f WHERE n = 1""")
+ SELECT player_id, match_id * 10 + l_linenumber AS seen, floor((deaths - (kills + assists) * 0.35) * 10000 + 0.5) / 10000 AS feedscore, floor((kills + assists * 0.965 + gold / 560 + vision * 0.15) * 10000 + 0.5) / 10000 AS opscore FROM f WHERE n = 1""")
 def bootstrap_players(spark, sf):
     known = tables.table(spark, sf, "part").filter("p_size < 25").select(F.col("p_partkey").alias("player_id"))
     s = line_stats(spark, sf).withColumn("seen", F.col("match_id") * 10 + F.col("l_linenumber"))
-    return scoring.new_players(s, known).withColumns({"feedscore": F.round("feedscore", 4), "opscore": F.round("opscore", 4)})
+    return scoring.new_players(s, known).withColumns({c: F.floor(F.col(c) * 10000 + 0.5) / 10000 for c in ("feedscore", "opscore")})
 
 
 @query("top_feeders", f"""WITH {LINE_STATS}, s AS (SELECT match_id, player_id, round(deaths - (kills + assists) * 0.35, 4) AS feedscore FROM st), k AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY feedscore DESC, player_id) AS n FROM s) SELECT match_id, player_id, feedscore FROM k WHERE n = 1""")
