@@ -20,37 +20,32 @@ def pearson(when: Column, x: Column, y: Column) -> Column:
     return F.when((n >= 2) & (spread > TINY), F.try_divide(n * p - s * s, spread))
 
 
-def classified(pairs: DataFrame, players: DataFrame, membership: DataFrame, mode: str, metric: str, min_support: int, min_matches: int) -> DataFrame:
-    """Edges of a mode with both values and why an edge is skipped: low support, then missing metric, then few matches."""
-    a, b = (players.select(F.col("id").alias(e), F.col(metric).cast("double").alias(f"{e}_value"), F.col("match_count").alias(f"{e}_matches")) for e in ("src", "dst"))
-    ca, cb = (membership.select(F.col("node").alias(e), F.col("comp").alias(f"{e}_comp")) for e in ("src", "dst"))
-    out = pairs.filter(support(mode) > 0).withColumn("support", support(mode)).join(a, "src", "left").join(b, "dst", "left").join(ca, "src", "left").join(cb, "dst", "left")
-    status = (
-        F.when(F.col("support") < min_support, "low_support")
-        .when(F.col("src_value").isNull() | F.col("dst_value").isNull(), "missing_metric")
-        .when((F.col("src_matches") < min_matches) | (F.col("dst_matches") < min_matches), "low_match_count")
-        .otherwise("analyzed")
-    )
-    return out.withColumn("status", status).withColumn("same_cluster", F.coalesce(F.col("src_comp") == F.col("dst_comp"), F.lit(False)))
+def classified(pairs: DataFrame, players: DataFrame, membership: DataFrame, min_support: int, min_matches: int) -> DataFrame:
+    """Edges once for each mode that allows them and each metric, with both values and why an edge is skipped: low support, then missing metric, then few matches.
+
+    Scores, matches and cluster are attached to both ends once; the four readings are made of the joined row."""
+    nodes = players.select(F.col("id").alias("node"), *(F.col(m).cast("double").alias(m) for m in METRICS), "match_count").join(membership.select("node", "comp"), "node", "full")
+    own = pairs.select("src", "dst", *(support(m).alias(m) for m in MODES))
+    for end in ("src", "dst"):
+        own = own.join(nodes.select(F.col("node").alias(end), F.struct("match_count", "comp", *METRICS).alias(f"{end}_own")), end, "left")
+    reading = F.explode(F.array(*(F.struct(F.lit(mode).alias("mode"), F.lit(metric).alias("metric"), F.col(mode).alias("support"), F.col(f"src_own.{metric}").alias("x"), F.col(f"dst_own.{metric}").alias("y")) for mode in MODES for metric in METRICS)))
+    same = F.coalesce(F.col("src_own.comp") == F.col("dst_own.comp"), F.lit(False)).alias("same_cluster")
+    few = ((F.col("src_own.match_count") < min_matches) | (F.col("dst_own.match_count") < min_matches)).alias("few_matches")
+    out = own.select(reading.alias("r"), same, few).select("r.*", "same_cluster", "few_matches").filter("support > 0")
+    status = F.when(F.col("support") < min_support, "low_support").when(F.col("x").isNull() | F.col("y").isNull(), "missing_metric").when(F.col("few_matches"), "low_match_count").otherwise("analyzed")
+    return out.withColumn("status", status)
 
 
 def assortativity(pairs: DataFrame, players: DataFrame, membership: DataFrame, min_support: int = 2, min_matches: int = 1, strong: int = 3) -> DataFrame:
-    """One row for each mode and metric: counters, and n and coefficient of each stratum.  One pass over the edges for each."""
-    rows = []
-    for mode in MODES:
-        for metric in METRICS:
-            e = classified(pairs, players, membership, mode, metric, min_support, min_matches)
-            used, x, y = F.col("status") == "analyzed", F.col("src_value"), F.col("dst_value")
-            within, tie = F.col("same_cluster"), F.col("support") >= strong
-            when = dict(zip(STRATA, (used, used & within, used & ~within, used & tie, used & ~tie), strict=True))
-            aggs = [F.count("*").alias("candidates"), *(F.count_if(F.col("status") == s).alias(s) for s in ("analyzed", "low_support", "missing_metric", "low_match_count"))]
-            for name, cond in when.items():
-                aggs += [F.count_if(cond).alias(f"{name}_edges"), pearson(cond, x, y).alias(f"{name}_r")]
-            rows.append(e.agg(*aggs).select(F.lit(mode).alias("mode"), F.lit(metric).alias("metric"), "*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionAll(r)
-    return out
+    """One row for each mode and metric: counters, and n and coefficient of each stratum, by one aggregate over the edges."""
+    e = classified(pairs, players, membership, min_support, min_matches)
+    used, within, tie = F.col("status") == "analyzed", F.col("same_cluster"), F.col("support") >= strong
+    when = dict(zip(STRATA, (used, used & within, used & ~within, used & tie, used & ~tie), strict=True))
+    aggs = [F.count("status").alias("candidates"), *(F.count_if(F.col("status") == s).alias(s) for s in ("analyzed", "low_support", "missing_metric", "low_match_count"))]
+    for name, cond in when.items():
+        aggs += [F.count_if(cond).alias(f"{name}_edges"), pearson(cond, F.col("x"), F.col("y")).alias(f"{name}_r")]
+    every = pairs.sparkSession.createDataFrame([(mode, metric) for mode in MODES for metric in METRICS], "mode string, metric string")
+    return F.broadcast(every).join(e, ["mode", "metric"], "left").groupBy("mode", "metric").agg(*aggs)
 
 
 def eligible_nodes(pairs: DataFrame, players: DataFrame, metric: str, min_matches: int) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.ranking import position
 from skein.operators.projection import COST_SCALE, support, symmetric
 
 
@@ -76,4 +77,4 @@ def betweenness(pairs: DataFrame, labels: DataFrame, mode: str = "social-path",
     scale = (n - 1) * (n - 2) / 2
     out = index.join(part, "k", "left").join(degree, "node").join(labels, "node", "left").select("node", F.coalesce("label", F.col("node").cast("string")).alias("label"), "degree", "strength", F.coalesce("raw", F.lit(0.0)).alias("raw"))
     out = out.withColumn("normalised", F.col("raw") / scale if scale > 0 else F.lit(0.0))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("raw"), F.desc("degree"), F.desc("strength"), "label", "node")))
+    return position(out, [F.desc("raw"), F.desc("degree"), F.desc("strength"), F.asc("label"), F.asc("node")])

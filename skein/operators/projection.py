@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COST_SCALE = 1_000_000
@@ -89,7 +89,10 @@ def edge_class(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def neighbours(pairs: DataFrame, k: int | None = None) -> DataFrame:
-    """Neighbours of each node, strongest first, ids breaking ties."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("minus"), "other")))
-    own = F.transform(ordered, lambda x: x["other"])
-    return symmetric(pairs).groupBy("node").agg((own if k is None else F.slice(own, 1, k)).alias("neighbours"))
+    """Neighbours of each node, strongest first, ids breaking ties; the first k where k is given, chosen before they are gathered."""
+    own = symmetric(pairs).select("node", (-F.col("total")).alias("minus"), "other")
+    if k is not None:
+        place = F.row_number().over(Window.partitionBy("node").orderBy("minus", "other"))
+        own = own.withColumn("_place", place).filter(F.col("_place") <= k)
+    ordered = F.array_sort(F.collect_list(F.struct("minus", "other")))
+    return own.groupBy("node").agg(F.transform(ordered, lambda x: x["other"]).alias("neighbours"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import scalars
+from skein.functions.ranking import position
 from skein.operators import components, paths, serving, simulation_log
 from skein.plans.graph import ACROSS, COUNTRY, PLAYERS, STRONG, kept_pairs, query, strong_members
 from skein.sources import tables
@@ -67,11 +68,9 @@ def autocomplete(spark, sf):
 
 @query("run_order", "SELECT tribe, CAST(row_number() OVER (ORDER BY alive DESC, CASE WHEN alive THEN territory ELSE age END DESC, tribe) AS INT) AS place FROM (SELECT p_partkey AS tribe, p_size % 3 > 0 AS alive, p_size AS territory, p_partkey % 17 AS age FROM part) t")
 def run_order(spark, sf):
-    from pyspark.sql import Window
-
     t = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("tribe"), (F.col("p_size") % 3 > 0).alias("alive"), F.col("p_size").alias("territory"), (F.col("p_partkey") % 17).alias("age"))
-    w = Window.orderBy(F.desc("alive"), F.when(F.col("alive"), F.col("territory")).otherwise(F.col("age")).desc(), "tribe")
-    return simulation_log.run_order(t).select("tribe", F.row_number().over(w).alias("place"))
+    standing = t.select("tribe", "alive", F.when(F.col("alive"), F.col("territory")).otherwise(F.col("age")).alias("held"))
+    return position(standing, [F.desc("alive"), F.desc("held"), F.asc("tribe")], "place").select("tribe", "place")
 
 
 @query("claim_costs", "SELECT p_partkey AS tribe, CAST(8 + 3 * (p_size % 9) + 2 * greatest(0, p_partkey % 5 - 1) + p_size % 4 + CASE WHEN p_size % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN p_size > 40 THEN 10 ELSE 0 END AS BIGINT) AS cost FROM part")

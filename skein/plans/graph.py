@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -197,7 +198,21 @@ def cluster_hops_all(spark, sf):
     return components.hops(components.quotient(p, strong_members(p)))
 
 
-@query("legacy_groups")
+def _renamed(sql: str, mark: str) -> str:
+    """The expressions of reach() under names of their own."""
+    return re.sub(r"\b(ce|reached|member)\b", rf"\g<1>{mark}", sql)
+
+
+LEGACY_SQL = f"""WITH RECURSIVE {REL}, firm AS (SELECT src, dst FROM rel WHERE total >= 3), {_renamed(reach('firm'), '1')},
+ held AS (SELECT comp, count(*) AS n FROM member1 GROUP BY comp), big AS (SELECT node FROM member1 JOIN held USING (comp) WHERE n > 15),
+ firmer AS (SELECT src, dst FROM rel WHERE total >= 5 AND src IN (SELECT node FROM big)), {_renamed(reach('firmer'), '2')},
+ held2 AS (SELECT comp, count(*) AS n FROM member2 GROUP BY comp HAVING count(*) >= 3), placed AS (SELECT node, comp, n, row_number() OVER (PARTITION BY comp ORDER BY node) - 1 AS k FROM member2 JOIN held2 USING (comp)),
+ parts AS (SELECT node, comp, CAST(CASE WHEN n > 20 THEN k // 12 ELSE 0 END AS INT) AS part FROM placed)
+ SELECT node, comp, 0 AS part FROM member1 JOIN held USING (comp) WHERE n <= 15
+ UNION ALL SELECT node, comp, part FROM parts JOIN (SELECT comp, part FROM parts GROUP BY comp, part HAVING count(*) >= 3) USING (comp, part)"""
+
+
+@query("legacy_groups", LEGACY_SQL)
 def legacy_groups(spark, sf):
     return components.legacy_groups(kept_pairs(spark, sf))
 
@@ -288,7 +303,18 @@ def triad_examples(spark, sf):
     return balance.examples(_found(spark, sf))
 
 
-@query("balance_sweep")
+def _sweep_sql() -> str:
+    parts = []
+    for least in (2, 3, 4):
+        for policy, tie in (("exclude", "NULL"), ("ally", "1"), ("enemy", "-1")):
+            n = f"{least}{policy}"
+            parts.append(f"""SELECT {least} AS min_support, '{policy}' AS tie_policy, (SELECT count(*) FROM e{n}) AS edges, count(*) AS triads, count(*) FILTER (s > 0) AS balanced, coalesce(count(*) FILTER (s > 0) / nullif(count(*), 0), 0.0) AS balanced_ratio
+ FROM (SELECT x.sign * y.sign * z.sign AS s FROM e{n} x JOIN e{n} y ON y.src = x.dst JOIN e{n} z ON z.src = x.src AND z.dst = y.dst)""")
+            parts[-1] = (f"e{n} AS (SELECT * FROM (SELECT src, dst, CASE WHEN ally > enemy THEN 1 WHEN ally < enemy THEN -1 ELSE {tie} END AS sign FROM rel WHERE total >= {least}) WHERE sign IS NOT NULL)", parts[-1])
+    return f"WITH {REL}, {', '.join(v for v, _ in parts)} {' UNION ALL '.join(q for _, q in parts)}"
+
+
+@query("balance_sweep", _sweep_sql())
 def balance_sweep(spark, sf):
     return balance.sweep(kept_pairs(spark, sf), [2, 3, 4], ["exclude", "ally", "enemy"])
 
@@ -311,7 +337,13 @@ def bfs_levels_all(spark, sf):
     return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")))
 
 
-@query("weighted_distance")
+DISTANCE_SQL = f"""WITH RECURSIVE {REL}, {SYM}, priced AS (SELECT node, other, CAST((1000000 + total - 1) // total AS BIGINT) AS cost FROM sym),
+ near(node, distance) USING KEY (node) AS (SELECT min(src), CAST(0 AS BIGINT) FROM rel
+ UNION SELECT p.other, min(near.distance + p.cost) FROM near JOIN priced p ON p.node = near.node LEFT JOIN recurring.near AS best ON best.node = p.other WHERE best.distance IS NULL OR near.distance + p.cost < best.distance GROUP BY p.other)
+ SELECT node, distance FROM near"""
+
+
+@query("weighted_distance", DISTANCE_SQL)
 def weighted_distance(spark, sf):
     p = kept_pairs(spark, sf)
     return paths.distances(paths.allowed(p, "battle-path"), p.agg(F.min("src").alias("node")))

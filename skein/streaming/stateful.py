@@ -120,7 +120,5 @@ def job_snapshot(lines: DataFrame, k: int = 80) -> DataFrame:
     """From prefixed JSON lines (at, value): the latest status, latest progress, and the last k log messages."""
     body = F.from_json(F.regexp_extract("value", r"^@@EVENT@@\s*(\{.*\})$", 1), "type string, message string, status string, saved long")
     ev = lines.select("at", body.alias("e")).filter("e.type is not null").select("at", "e.*")
-    from pyspark.sql import Window
-
-    logs = ev.filter("type = 'log'").withColumn("n", F.row_number().over(Window.orderBy(F.desc("at")))).filter(F.col("n") <= k)
+    logs = ev.filter("type = 'log'").orderBy(F.desc("at")).limit(k)
     return ev.agg(F.max_by("status", F.when(F.col("type") == "status", F.col("at"))).alias("status"), F.max_by("saved", F.when(F.col("type") == "progress", F.col("at"))).alias("saved")).crossJoin(logs.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "message"))), lambda x: x["message"]).alias("logs")))
