@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.functions import scalars
 from skein.functions.ranking import position
 from skein.operators import components, paths, serving, simulation_log
-from skein.plans.graph import ACROSS, COUNTRY, PLAYERS, STRONG, kept_pairs, query, strong_members
+from skein.plans.graph import ACROSS, COUNTRY, PLAYERS, STRONG, also, kept_pairs, query, strong_members
 from skein.sources import tables
 
 _TOPS = (("best_op", "mean_op", "DESC"), ("worst_op", "mean_op", "ASC"), ("worst_feed", "mean_feed", "DESC"), ("best_feed", "mean_feed", "ASC"))
@@ -80,18 +80,14 @@ def claim_costs(spark, sf):
     return p.select(F.col("p_partkey").alias("tribe"), cost.cast("long").alias("cost"))
 
 
-@query("hex_distances", """WITH t AS (SELECT p_partkey AS id, p_partkey % 20 AS c, p_partkey // 20 AS r, p_size % 20 AS c2, p_size // 4 AS r2 FROM part WHERE p_partkey < 200), q AS (SELECT *, c - (r - r % 2) // 2 AS qa, c2 - (r2 - r2 % 2) // 2 AS qb FROM t)
+@query("hex_distances", """WITH t AS (SELECT p_partkey AS id, p_partkey % 20 AS c, p_partkey // 20 AS r, p_size % 20 AS c2, p_size // 4 AS r2 FROM part), q AS (SELECT *, c - (r - r % 2) // 2 AS qa, c2 - (r2 - r2 % 2) // 2 AS qb FROM t)
  SELECT id, CAST((abs(qa - qb) + abs(r - r2) + abs(qa + r - qb - r2)) // 2 AS BIGINT) AS distance FROM q""")
 def hex_distances(spark, sf):
-    t = tables.table(spark, sf, "part").filter("p_partkey < 200").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("c"), F.floor(F.col("p_partkey") / 20).alias("r"), (F.col("p_size") % 20).alias("c2"), F.floor(F.col("p_size") / 4).alias("r2"))
+    t = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("c"), F.floor(F.col("p_partkey") / 20).alias("r"), (F.col("p_size") % 20).alias("c2"), F.floor(F.col("p_size") / 4).alias("r2"))
     return t.select("id", scalars.hex_distance(F.col("c"), F.col("r"), F.col("c2"), F.col("r2")).alias("distance"))
 
 
-@query("hex_distances_all")
-def hex_distances_all(spark, sf):
-    """As hex_distances, for every part; its SQL keeps ids under 200."""
-    t = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 20).alias("c"), F.floor(F.col("p_partkey") / 20).alias("r"), (F.col("p_size") % 20).alias("c2"), F.floor(F.col("p_size") / 4).alias("r2"))
-    return t.select("id", scalars.hex_distance(F.col("c"), F.col("r"), F.col("c2"), F.col("r2")).alias("distance"))
+also("hex_distances", "hex_distances_all")
 
 
 @query("population_metrics", "SELECT p_brand AS behaviour, count(*) AS tribes, round(avg(p_retailprice), 4) AS mean_fitness, max(p_retailprice) AS best_fitness FROM part GROUP BY p_brand")

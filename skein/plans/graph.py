@@ -44,6 +44,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def also(name: str, other: str) -> None:
+    """Registers a query under a second name."""
+    QUERIES[other], ORACLE_SQL[other] = QUERIES[name], ORACLE_SQL[name]
+
+
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.pair_relations(tables.participants(spark, sf_dir))
 
@@ -92,15 +97,12 @@ def dataset_summary(spark, sf):
     return p.agg(F.count("*").alias("edges"), F.count_if(ally).alias("ally_edges"), F.count_if(~ally).alias("enemy_edges"), F.count_if(F.col("ally") == F.col("enemy")).alias("ties"), F.sum("total").alias("evidence"), F.max("total").alias("strongest"), F.round(F.sum("total").cast("double") / F.count("*"), 6).alias("mean_support"))
 
 
-@query("neighbour_lists", f"WITH {REL}, {SYM} SELECT node, string_agg(CAST(other AS VARCHAR), ',' ORDER BY total DESC, other) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY total DESC, other) AS n FROM sym) s WHERE n <= 8 GROUP BY node")
+@query("neighbour_lists", f"WITH {REL}, {SYM} SELECT node, string_agg(CAST(other AS VARCHAR), ',' ORDER BY total DESC, other) AS neighbours FROM sym GROUP BY node")
 def neighbour_lists(spark, sf):
-    return projection.neighbours(pairs_of(spark, sf), 8).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+    return projection.neighbours(pairs_of(spark, sf)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@query("neighbour_lists_all")
-def neighbour_lists_all(spark, sf):
-    """As neighbour_lists, with all neighbours; its SQL keeps the first 8."""
-    return projection.neighbours(pairs_of(spark, sf)).select("node", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+also("neighbour_lists", "neighbour_lists_all")
 
 
 @query("traversal_costs", f"WITH {REL} SELECT src, dst, (1000000 + greatest(ally, 1) - 1) // greatest(ally, 1) AS social_cost, (1000000 + greatest(total, 1) - 1) // greatest(total, 1) AS battle_cost FROM rel")
@@ -183,19 +185,14 @@ def edge_class_counts(spark, sf):
     return projection.edge_class(p, strong_members(p)).groupBy("view").agg(F.count("*").alias("edges"))
 
 
-@query("cluster_hops", f"""WITH RECURSIVE {STRONG}, st AS (SELECT r.src, r.dst FROM rel r WHERE total >= 3), q AS (SELECT DISTINCT a.comp AS s, b.comp AS d FROM st JOIN member a ON a.node = src JOIN member b ON b.node = dst WHERE a.comp <> b.comp),
- l AS (SELECT s, d FROM q UNION SELECT d, s FROM q), h(src, dst, hops) AS (SELECT DISTINCT s, s, 0 FROM l UNION SELECT h.src, l.d, h.hops + 1 FROM h JOIN l ON l.s = h.dst WHERE h.hops < 24) SELECT src, dst, min(hops) AS hops FROM h GROUP BY src, dst""")
+@query("cluster_hops", f"""WITH RECURSIVE {STRONG}, q AS (SELECT DISTINCT a.comp AS s, b.comp AS d FROM rel JOIN member a ON a.node = src JOIN member b ON b.node = dst WHERE a.comp <> b.comp), l AS (SELECT s, d FROM q UNION SELECT d, s FROM q),
+ h(src, dst, hops) USING KEY (src, dst) AS (SELECT DISTINCT s, s, 0 FROM l UNION SELECT h.src, l.d, h.hops + 1 FROM h JOIN l ON l.s = h.dst LEFT JOIN recurring.h AS r ON r.src = h.src AND r.dst = l.d WHERE r.src IS NULL) SELECT src, dst, hops FROM h""")
 def cluster_hops(spark, sf):
     p = kept_pairs(spark, sf)
-    return components.hops(components.quotient(p.filter("total >= 3"), strong_members(p)))
+    return components.hops(components.quotient(p, strong_members(p)))
 
 
-@query("cluster_hops_all", f"""WITH RECURSIVE {STRONG}, q AS (SELECT DISTINCT a.comp AS s, b.comp AS d FROM rel JOIN member a ON a.node = src JOIN member b ON b.node = dst WHERE a.comp <> b.comp), l AS (SELECT s, d FROM q UNION SELECT d, s FROM q),
- h(src, dst, hops) USING KEY (src, dst) AS (SELECT DISTINCT s, s, 0 FROM l UNION SELECT h.src, l.d, h.hops + 1 FROM h JOIN l ON l.s = h.dst LEFT JOIN recurring.h AS r ON r.src = h.src AND r.dst = l.d WHERE r.src IS NULL) SELECT src, dst, hops FROM h""")
-def cluster_hops_all(spark, sf):
-    """As cluster_hops, over all pairs; its SQL keeps those of total 3 or more."""
-    p = kept_pairs(spark, sf)
-    return components.hops(components.quotient(p, strong_members(p)))
+also("cluster_hops", "cluster_hops_all")
 
 
 def _renamed(sql: str, mark: str) -> str:
@@ -324,19 +321,19 @@ def balance_sweep(spark, sf):
 SOURCE = "s0 AS (SELECT min(src) AS node FROM rel WHERE total >= 2)"
 
 
-@query("bfs_levels", f"""WITH RECURSIVE {REL}, {SYM}, {SOURCE}, lv(node, level) AS (SELECT node, 0 FROM s0 UNION SELECT sym.other, lv.level + 1 FROM lv JOIN sym ON sym.node = lv.node AND sym.total >= 2 WHERE lv.level < 14) SELECT node, min(level) AS level FROM lv GROUP BY node""")
-def bfs_levels(spark, sf):
-    p = kept_pairs(spark, sf).filter("total >= 2")
-    return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")))
+LEVELS_SQL = f"""WITH RECURSIVE {REL}, {SYM}, near(node, level) USING KEY (node) AS (SELECT min(src), 0 FROM rel
+ UNION SELECT sym.other, min(near.level) + 1 FROM near JOIN sym ON sym.node = near.node LEFT JOIN recurring.near AS known ON known.node = sym.other WHERE known.node IS NULL GROUP BY sym.other) SELECT node, level FROM near"""
 
 
-@query("bfs_levels_all")
-def bfs_levels_all(spark, sf):
-    """As bfs_levels, over all pairs; its SQL keeps those of total 2 or more."""
+@query("bfs_levels", LEVELS_SQL)
+def bfs_levels(spark, sf):
     p = kept_pairs(spark, sf)
     return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")))
 
 
+also("bfs_levels", "bfs_levels_all")
+
+
 DISTANCE_SQL = f"""WITH RECURSIVE {REL}, {SYM}, priced AS (SELECT node, other, CAST((1000000 + total - 1) // total AS BIGINT) AS cost FROM sym),
  near(node, distance) USING KEY (node) AS (SELECT min(src), CAST(0 AS BIGINT) FROM rel
  UNION SELECT p.other, min(near.distance + p.cost) FROM near JOIN priced p ON p.node = near.node LEFT JOIN recurring.near AS best ON best.node = p.other WHERE best.distance IS NULL OR near.distance + p.cost < best.distance GROUP BY p.other)

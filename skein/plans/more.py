@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars
 from skein.operators import components, layout, scoring, simulation_log
-from skein.plans.graph import STRONG, kept_pairs, query, strong_members
+from skein.plans.graph import STRONG, also, kept_pairs, query, strong_members
 from skein.sources import matches, sinks, tables
 from skein.streaming import stateful
 
@@ -231,39 +231,29 @@ def mutation_rates(spark, sf):
     return simulation_log.mutation_rate(p, "f", 0.2).select("tribe", F.round("mutation_rate", 6).alias("mutation_rate"))
 
 
-HEX = "t AS (SELECT p_partkey AS tile, p_partkey % 20 AS c, p_partkey // 20 AS r, p_size % 6 AS owner FROM part WHERE p_partkey < 200)"
-NEAR = "near AS (SELECT a.tile, b.tile AS other, a.owner AS ao, b.owner AS bo FROM t a JOIN t b ON (a.r = b.r AND abs(a.c - b.c) = 1) OR (abs(a.r - b.r) = 1 AND ((a.r % 2 = 1 AND b.c - a.c IN (0, 1)) OR (a.r % 2 = 0 AND b.c - a.c IN (-1, 0)))))"
+HEX = "t AS (SELECT p_partkey AS tile, p_partkey % 20 AS c, p_partkey // 20 AS r, p_size % 6 AS owner FROM part)"
+NEAR = """moves AS (SELECT tile, owner, unnest([c - 1, c + 1, c + r % 2 - 1, c + r % 2, c + r % 2 - 1, c + r % 2]) AS c, unnest([r, r, r - 1, r - 1, r + 1, r + 1]) AS r FROM t),
+ near AS (SELECT moves.tile, t.tile AS other, moves.owner AS ao, t.owner AS bo FROM moves JOIN t USING (c, r))"""
 
 
-def _tiles(spark, sf, ids="p_partkey < 200"):
-    return tables.table(spark, sf, "part").filter(ids).select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") % 20).alias("col"), F.floor(F.col("p_partkey") / 20).alias("row"), (F.col("p_size") % 6).alias("owner"))
+def _grid(spark, sf):
+    """Every part as a tile, and the neighbours on a grid as high as the largest id needs."""
+    t = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("tile"), (F.col("p_partkey") % 20).alias("col"), F.floor(F.col("p_partkey") / 20).alias("row"), (F.col("p_size") % 6).alias("owner"))
+    return t, simulation_log.hex_neighbours(t, 20, (t.agg(F.max("row")).first()[0] or 0) + 1)
 
 
 @query("hex_neighbours", f"WITH {HEX}, {NEAR} SELECT tile, other FROM near")
 def hex_neighbours(spark, sf):
-    return simulation_log.hex_neighbours(_tiles(spark, sf), 20, 10)
+    return _grid(spark, sf)[1]
 
 
 @query("border_pairs", f"WITH {HEX}, {NEAR} SELECT DISTINCT ao AS a, bo AS b FROM near WHERE ao < bo")
 def border_pairs(spark, sf):
-    t = _tiles(spark, sf)
-    return simulation_log.adjacent_tribes(t, simulation_log.hex_neighbours(t, 20, 10))
-
-
-def _grid(spark, sf):
-    """Every part as a tile, and the neighbours on a grid as high as the largest id needs; the SQL of the two queries above keeps ids under 200."""
-    t = _tiles(spark, sf, "true")
-    return t, simulation_log.hex_neighbours(t, 20, (t.agg(F.max("row")).first()[0] or 0) + 1)
-
-
-@query("hex_neighbours_all")
-def hex_neighbours_all(spark, sf):
-    return _grid(spark, sf)[1]
+    return simulation_log.adjacent_tribes(*_grid(spark, sf))
 
 
-@query("border_pairs_all")
-def border_pairs_all(spark, sf):
-    return simulation_log.adjacent_tribes(*_grid(spark, sf))
+also("hex_neighbours", "hex_neighbours_all")
+also("border_pairs", "border_pairs_all")
 
 
 @query("tile_ownership", "WITH t AS (SELECT l_suppkey AS tile, l_partkey % 9 AS tribe, l_orderkey * 10 + l_linenumber AS place FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY place, tribe) AS n, count(*) OVER (PARTITION BY tile) AS held FROM t) SELECT tile, tribe AS owner, held > 1 AS contested FROM n WHERE n = 1")
