@@ -40,7 +40,7 @@ from skein.llm.common import WHITE, id_remainder, mix
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 KEY_BITS = 56
 #: Context buckets: 0 never seen; then by c(v); then by c(u v).  Cells of the grid of left-out counts.
-POWERS, GRID, STEPS = 40, 128, 3
+POWERS, GRID, STEPS, OWN_STEPS = 40, 128, 3, 1
 N_BUCKETS = 2 * POWERS
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -234,13 +234,18 @@ def _counted(docs: pa.Table, answers: pa.Table) -> tuple[Tokens, Counts]:
     return t, c
 
 
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Numbers from 2**-31 to 1 on a logarithmic grid of STEPS steps a doubling; 0 for 0."""
-    return np.where(x > 0, np.clip(1 - np.rint(STEPS * np.log2(np.maximum(x, 2.0**-60))), 1, GRID - 1), 0).astype(np.int64)
+def _steps(x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Numbers from 2**-31 to 1 on a logarithmic grid of so many steps a doubling; 0 for 0."""
+    return np.where(x > 0, np.clip(1 - np.rint(steps * np.log2(np.maximum(x, 2.0**-60))), 1, GRID - 1), 0).astype(np.int64)
 
 
-def _of_step(k: np.ndarray) -> np.ndarray:
-    return np.where(k > 0, 2.0 ** ((1 - k) / STEPS), 0.0)
+def _of_step(k: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    return np.where(k > 0, 2.0 ** ((1 - k) / steps), 0.0)
+
+
+def cells_of(bucket: np.ndarray, own: np.ndarray, after: np.ndarray, after_two: np.ndarray) -> np.ndarray:
+    """The cell of each token's left-out counts; its own count, of least weight, on OWN_STEPS steps a doubling."""
+    return ((bucket * GRID + _steps(own * 2.0**-31, OWN_STEPS)) * GRID + _steps(after)) * GRID + _steps(after_two)
 
 
 def left_out(c: Counts, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,8 +264,7 @@ def _count_left_out(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
     t, c = _counted(docs, answers)
     train = t.trained()
     bucket, own, after, after_two = left_out(c, train)
-    cell = ((bucket * GRID + _steps(own * 2.0**-31)) * GRID + _steps(after)) * GRID + _steps(after_two)
-    cells, hits = np.unique(cell, return_counts=True)
+    cells, hits = np.unique(cells_of(bucket, own, after, after_two), return_counts=True)
     return pa.table({"cell": pa.array([TOKENS, WORDS, *cells.tolist()], pa.int64()), "hits": pa.array([int(train.sum()), c.known, *hits.tolist()], pa.int64())})
 
 
@@ -282,7 +286,7 @@ def learn_weights(bucket: int, cells: np.ndarray, hits: np.ndarray, n: int, v: i
     """The weights of a bucket; none (zeros) where no left-out token falls into it."""
     if not len(cells):
         return np.zeros(4)
-    own, after, after_two = _of_step(cells // GRID // GRID % GRID) * 2.0**31, _of_step(cells // GRID % GRID), _of_step(cells % GRID)
+    own, after, after_two = _of_step(cells // GRID // GRID % GRID, OWN_STEPS) * 2.0**31, _of_step(cells // GRID % GRID), _of_step(cells % GRID)
     p = np.stack([np.full(len(cells), 1 / (v + 1)), own / max(1, n - 1), np.minimum(1, after), np.minimum(1, after_two)], 1)
     out = np.where(parts_of(bucket), np.maximum(em(p, hits), 1e-6), 0)
     return out / out.sum()
