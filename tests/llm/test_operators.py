@@ -779,8 +779,7 @@ def test_weights_of_the_grid_are_near_those_of_single_tokens(documents):
     for b, own in rows.items():
         if len(own) >= 500:
             x = np.array(own)
-            s = language_model._steps
-            cells, hits = np.unique(((b * language_model.GRID + s(x[:, 0] * 2.0**-31)) * language_model.GRID + s(x[:, 1])) * language_model.GRID + s(x[:, 2]), return_counts=True)
+            cells, hits = np.unique(language_model.cells_of(b, x[:, 0], x[:, 1], x[:, 2]), return_counts=True)
             assert np.abs(language_model.learn_weights(b, cells, hits.astype(float), model.n, model.words) - model.weights[b]).max() < 0.02
 
 
