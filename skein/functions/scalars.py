@@ -38,6 +38,22 @@ def fnv1a32(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(2166136261).cast("long")).otherwise(folded)
 
 
+#: Fixed values of the 64-bit name hash.
+HASH_START, HASH_FACTOR = 1469598103934665603, 1099511628211
+_WORD = "decimal(38,0)"
+
+
+def name_hash64(text: Column) -> Column:
+    """64-bit hash of the UTF-8 bytes as decimal(38,0): multiply, then add, wrapping; null for null.  Decimals hold each product whole."""
+    hexed = F.hex(F.encode(text, "UTF-8"))
+    size = F.floor(F.length(hexed) / 2).cast("int")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: i <= size)
+    data = F.transform(places, lambda i: F.conv(F.substr(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast(_WORD))
+    factor, wrap = (F.lit(str(x)).cast("decimal(20,0)") for x in (HASH_FACTOR, 2**64))
+    folded = F.aggregate(data, F.lit(HASH_START).cast(_WORD), lambda h, b: ((h.cast("decimal(20,0)") * factor.cast("decimal(13,0)") + b.cast("decimal(3,0)")) % wrap).cast(_WORD))
+    return F.when(text.isNotNull(), folded)
+
+
 def pack_edge(weight: Column, is_enemy: Column) -> Column:
     """Bit 0 tells the relation, the rest the weight."""
     return F.shiftleft(weight.cast("long"), 1).bitwiseOR(is_enemy.cast("long"))

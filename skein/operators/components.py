@@ -179,3 +179,9 @@ def snapshot(pairs: DataFrame, membership: DataFrame, path: list, visited: list,
     near = strongest_members(pairs, membership.join(touched, "comp", "left_semi"), k).select("node")
     kept = named.union(near).distinct()
     return pairs.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*pairs.columns)
+
+
+def representatives(membership: DataFrame, k: int = 8) -> DataFrame:
+    """comp, node, place: the first k members of each cluster by id."""
+    place = F.row_number().over(Window.partitionBy("comp").orderBy("node"))
+    return membership.select("comp", "node", place.alias("place")).filter(F.col("place") <= k)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.scalars import fnv1a32
+from skein.functions.scalars import fnv1a32, name_hash64
 
 GOLDEN = 2.3999631
 RADIUS = 100.0
@@ -97,3 +97,17 @@ def orbit_angles(orbits: list[dict], links: dict[tuple, int], candidates: int =
                 best = (value, turn, at)
         angle[o["comp"]], where[o["comp"]] = best[1], best[2]
     return angle
+
+
+def hidden_position(df: DataFrame, name: str) -> DataFrame:
+    """df with x, y: a place on an outer ring that depends on the name alone."""
+    h = name_hash64(F.col(name))
+    angle = F.radians((h % 360).cast("double"))
+    radius = 700.0 + (F.floor(h / 512) % 180).cast("double")
+    return df.withColumns({"x": radius * F.cos(angle), "y": radius * F.sin(angle)})
+
+
+def along_path(start: Column, end: Column, index: Column, total: Column, height: float = 0.0) -> Column:
+    """The coordinate of point `index` (from 0) of `total` on a line from start to end, lifted by half a sine wave of `height`, centred."""
+    progress = index.cast("double") / F.greatest(total - 1, F.lit(1))
+    return start + (end - start) * progress + (F.sin(progress * math.pi) - 0.5) * height

@@ -94,3 +94,29 @@ def autocomplete(players: DataFrame, text: str, k: int = 8) -> DataFrame:
 
 def preview(column: str, longest: int = 240) -> Column:
     return F.when(F.length(column) > longest, F.concat(F.substring(column, 1, longest), F.lit("…"))).otherwise(F.col(column))
+
+
+def share_of_max(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column divided by its largest value, or by 1e-9 where that is less, and held to 1 at most; null is 0."""
+    top = df.agg(*(F.greatest(F.coalesce(F.max(c).cast("double"), F.lit(0.0)), F.lit(1e-9)).alias(f"_top_{c}") for c in columns))
+    shares = {c: F.least(F.lit(1.0), F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / F.col(f"_top_{c}")) for c in columns}
+    return df.crossJoin(F.broadcast(top)).withColumns(shares).select(*df.columns)
+
+
+def cluster_export(profiles: DataFrame, artifacts: list[str]) -> DataFrame:
+    """The exported form of cluster_profiles: clusters of two or more, artifacts as shares of their maxima, four decimals; nulls are 0."""
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    own = share_of_max(profiles.filter("size >= 2").withColumns({f"a_{a}": F.col(a) for a in artifacts}), [f"a_{a}" for a in artifacts])
+    return own.select(
+        "comp", "size", js_round(zero("size_share"), 4).alias("size_ratio"), js_round(zero("mean_op"), 4).alias("mean_opscore"), js_round(1 - zero("bridge_ratio"), 4).alias("cohesion"),
+        js_round(held(1 - held(zero("op_spread") * 2)), 4).alias("internal_edge_ratio"), js_round(held(zero("mean_feed") / 10), 4).alias("feed_risk"), *(js_round(F.col(f"a_{a}"), 4).alias(f"a_{a}") for a in artifacts),
+    )
+
+
+def run_metadata(pairs: DataFrame, players: DataFrame, membership: DataFrame, analysis: str, schema_version: str, seed: int | None, runs: int) -> DataFrame:
+    """One row on an experiment: what ran, its seed, and the sizes of the players, the graph and the clusters it ran on."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().agg(F.count("*").alias("runtime_nodes"))
+    sizes = [players.agg(F.count("*").alias("filtered_nodes")), nodes, pairs.agg(F.count("*").alias("pair_relations")), membership.agg(F.countDistinct("comp").alias("runtime_clusters"))]
+    named = [F.lit(analysis).alias("analysis_type"), F.lit(schema_version).alias("schema_version"), F.lit(seed).cast("long").alias("seed"), F.lit(runs).cast("long").alias("run_count")]
+    return reduce(DataFrame.crossJoin, sizes).select(*named, "filtered_nodes", "runtime_nodes", "pair_relations", "runtime_clusters")

@@ -99,16 +99,18 @@ def nearest(df: DataFrame) -> DataFrame:
     return df.withColumn("distance", d).withColumn("_n", F.row_number().over(Window.partitionBy("tribe").orderBy("distance", "other"))).filter("_n = 1").select("tribe", "other", "distance")
 
 
-def lineage(parents: DataFrame, most: int = 4096) -> DataFrame:
-    """entity, seed, depth along the first parent (entity_id, parent_a), by doubling: each round follows as many steps as all before."""
+def lineage(parents: DataFrame) -> DataFrame:
+    """entity, seed, depth along the first parent (entity_id, parent_a), by doubling: each round follows as many steps as all before.
+
+    Chains of any depth are followed to their end; parents that form a cycle are an error."""
     now = cut(parents.select(F.col("entity_id").alias("entity"), F.nullif("parent_a", F.lit(ABSENT)).alias("up")).select("entity", F.coalesce("up", "entity").alias("seed"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(most.bit_length()):
+    for _ in range(now.count().bit_length() + 1):
         nxt = now.select(F.col("entity").alias("seed"), F.col("seed").alias("further"), F.col("depth").alias("more"))
         new = cut(now.join(nxt, "seed", "left").select("entity", F.coalesce("further", "seed").alias("seed"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")))
         now = new.select("entity", "seed", "depth")
         if new.filter("moved").isEmpty():
-            break
-    return now
+            return now
+    raise ValueError("the parents form a cycle")
 
 
 def winners(summaries: DataFrame) -> DataFrame:
@@ -119,3 +121,31 @@ def winners(summaries: DataFrame) -> DataFrame:
     for n in reversed(names):
         first = F.when(F.col(n) == top, n).otherwise(first)
     return summaries.groupBy(first.alias("leading")).agg(F.count("*").alias("runs"))
+
+
+#: What a compact lineage keeps, and causes of extinction; {} is the other tribe.
+KEPT_LINEAGE = ["seed-", "gen-", "merged-", "merge-parent-"]
+CAUSES = {"starved": "starved", "conquered": "conquered-by-{}", "absorbed": "absorbed-by-{}", "imploded": "imploded"}
+
+
+def cause_of(kind: Column, other: Column) -> Column:
+    out = F.lit("unknown")
+    for name, text in CAUSES.items():
+        said = F.concat(F.lit(text.removesuffix("{}")), other.cast("string")) if text.endswith("{}") else F.lit(text)
+        out = F.when(kind == name, said).otherwise(out)
+    return out
+
+
+def tombstones(deaths: DataFrame, stored: DataFrame) -> DataFrame:
+    """stored (tribe, tick, cause, lineage) with the first death of each tribe that it lacks.  deaths: tribe, tick, kind, other, lineage (names).
+
+    Of deaths in one tick, the least by (kind, other, lineage) stands; an unknown kind is `unknown`, a null lineage is empty."""
+    first = deaths.groupBy("tribe").agg(F.min(F.struct("tick", "kind", "other", "lineage")).alias("d"))
+    known = lambda x: F.exists(F.array(*[F.lit(k) for k in KEPT_LINEAGE]), lambda k: F.startswith(x, k))
+    new = first.select("tribe", "d.tick", cause_of(F.col("d.kind"), F.col("d.other")).alias("cause"), F.filter(F.coalesce("d.lineage", F.array().cast("array<string>")), known).alias("lineage"))
+    return stored.select("tribe", "tick", "cause", "lineage").unionByName(new.join(stored, "tribe", "left_anti"))
+
+
+def active_wars(wars: DataFrame, tick: int) -> DataFrame:
+    """The wars that go on, with duration: ticks since start_tick, not below 0."""
+    return wars.filter("status = 'active'").withColumn("duration", F.greatest(F.lit(0).cast("long"), F.lit(tick) - F.col("start_tick")))
