@@ -37,8 +37,13 @@ def latest_replays(replays: DataFrame, runs: DataFrame, k: int = 24) -> DataFram
     return top.join(own, "replay_id", "left").orderBy(F.desc("saved_at"), F.desc("replay_id"))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> dict:
-    """Little-endian buffers of a graph that fits the driver: positions (2 x f32), metrics (6 x u32), edges (2 x u32), packed weights (u32), and a manifest."""
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, most: int = 5_000_000) -> dict:
+    """Little-endian buffers of a graph that fits the driver: positions (2 x f32), metrics (6 x u32), edges (2 x u32), packed weights (u32), and a manifest.
+
+    The folder is the driver's; graphs of more than `most` nodes and edges are refused before anything is collected."""
+    size = nodes.count() + edges.count()
+    if size > most:
+        raise ValueError(f"{size} nodes and edges are more than the {most} that are written through the driver")
     os.makedirs(folder, exist_ok=True)
     n = nodes.orderBy("node").toPandas()
     place = {x: k for k, x in enumerate(n["node"])}

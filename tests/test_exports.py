@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars
 from skein.operators import components, layout, serving, simulation_log
+from skein.sources import sinks
 
 
 def test_name_hash_wraps_like_64_bit_words(spark):
@@ -71,6 +72,13 @@ def test_lineage_beyond_any_round_count_and_of_cycles(spark):
         simulation_log.lineage(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "entity_id long, parent_a long")).count()
 
 
+def test_graph_buffers_refuse_what_is_too_large(spark, tmp_path):
+    nodes, edges = spark.range(3).withColumnRenamed("id", "node"), spark.createDataFrame([(0, 1)], "src long, dst long")
+    with pytest.raises(ValueError, match="more than the 3"):
+        sinks.write_graph(nodes, edges, str(tmp_path / "g"), most=3)
+    assert not (tmp_path / "g").exists()
+
+
 def test_representatives_and_metadata(spark):
     members = spark.createDataFrame([(n, n % 2) for n in range(30)], "node long, comp long")
     got = sorted(tuple(r) for r in components.representatives(members, 2).collect())
