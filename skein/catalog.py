@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import exports, extra, graph, more, relational  # noqa: F401  exports, extra and more add to graph.QUERIES
+from skein.plans import exports, extra, graph, more, relational, rules  # noqa: F401  exports, extra, more and rules add to graph.QUERIES
 
 _relational = relational.catalogue()
 QUERIES = {**graph.QUERIES, **_relational[0]}

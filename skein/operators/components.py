@@ -98,10 +98,11 @@ def bridges(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 
 def best_and_worst(membership: DataFrame, players: DataFrame, largest_id_wins: bool = False) -> DataFrame:
     """comp, best_op, worst_feed: members with the largest opscore and feedscore (high feed is bad)."""
-    tie = F.desc("node") if largest_id_wins else F.asc("node")
     own = membership.join(players.select(F.col("id").alias("node"), "opscore", "feedscore"), "node")
-    ranked = own.select("comp", "node", *(F.row_number().over(Window.partitionBy("comp").orderBy(F.desc_nulls_last(c), tie)).alias(r) for c, r in (("opscore", "_o"), ("feedscore", "_f"))))
-    return ranked.groupBy("comp").agg(F.max(F.when(F.col("_o") == 1, F.col("node"))).alias("best_op"), F.max(F.when(F.col("_f") == 1, F.col("node"))).alias("worst_feed"))
+    low = lambda c: F.min(F.struct(F.col(c).isNull().alias("unknown"), (-F.col(c)).alias("held"), "node"))["node"]
+    high = lambda c: F.max(F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("held"), "node"))["node"]
+    top = high if largest_id_wins else low
+    return own.groupBy("comp").agg(top("opscore").alias("best_op"), top("feedscore").alias("worst_feed"))
 
 
 def quotient(pairs: DataFrame, membership: DataFrame) -> DataFrame:
@@ -185,3 +186,24 @@ def representatives(membership: DataFrame, k: int = 8) -> DataFrame:
     """comp, node, place: the first k members of each cluster by id."""
     place = F.row_number().over(Window.partitionBy("comp").orderBy("node"))
     return membership.select("comp", "node", place.alias("place")).filter(F.col("place") <= k)
+
+
+def highlights(membership: DataFrame, players: DataFrame) -> DataFrame:
+    """comp, node, best_op, worst_feed: the members, and whether each has its cluster's largest opscore or feedscore.  A cluster without known scores has neither."""
+    top = best_and_worst(membership, players)
+    flag = lambda c: F.coalesce(F.col("node") == F.col(c), F.lit(False)).alias(c)
+    return membership.select("comp", "node").join(top, "comp", "left").select("comp", "node", flag("best_op"), flag("worst_feed"))
+
+
+def scale(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row on a graph: nodes, edges, clusters, shares of ally and enemy edges, mean support, largest and mean cluster, and how many clusters ally edges tie to others or leave alone; zeros where there is nothing."""
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    ally = F.count_if(F.col("relation") == "ally")
+    edges = pairs.agg(F.count("*").alias("edges"), share(ally, F.count("*")).alias("ally_ratio"), share(F.count("*") - ally, F.count("*")).alias("enemy_ratio"), share(F.sum("total"), F.count("*")).alias("mean_support"))
+    nodes = symmetric(pairs).agg(F.countDistinct("node").alias("nodes"))
+    tied = orbits(pairs, membership).agg(
+        F.count("*").alias("clusters"), zero(F.max("members"), "largest_cluster"), share(F.sum("members"), F.count("*")).alias("mean_cluster"),
+        F.count_if(F.col("neighbours") > 0).alias("tied_clusters"), F.count_if(F.col("neighbours") == 0).alias("outer_clusters"),
+    )
+    return nodes.crossJoin(edges).crossJoin(tied)

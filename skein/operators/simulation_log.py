@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ranking import total_before
 from skein.functions.scalars import hex_distance
 from skein.session import cut
 
@@ -57,6 +58,29 @@ def last_argmax(names: list[str]) -> Column:
     return out
 
 
+#: The least number of constituents, and the least population, of each polity tier.
+TIER_MEMBERS = {"Empire": 100, "Kingdom": 50, "Duchy": 25, "City": 3}
+TIER_POPULATION = {"Empire": 15_000, "Kingdom": 7_000, "Duchy": 3_000, "City": 1_000}
+
+
+def polity_tier(size: Column, least: dict[str, int]) -> Column:
+    """The highest tier that size reaches; below all of them, or null, it is a Tribe."""
+    out = F.lit("Tribe")
+    for name, bound in sorted(least.items(), key=lambda x: x[1]):
+        out = F.when(size >= bound, name).otherwise(out)
+    return out
+
+
+def specialisation(stats: list[str]) -> Column:
+    """last_argmax of the statistics; Generalist where none is above 0 (or all are null)."""
+    return F.when(F.greatest(*[F.col(s) for s in stats]) > 0, last_argmax(stats)).otherwise("Generalist")
+
+
+def numbered(events: DataFrame, order: list[str], start: int = 1) -> DataFrame:
+    """events with event_id: sequential 64-bit numbers from start in an order without ties, given out by ranges of the order."""
+    return total_before(events, order, F.lit(1).cast("long"), "event_id").withColumn("event_id", F.col("event_id") + start)
+
+
 def run_order(tribes: DataFrame) -> DataFrame:
     """The living by territory, then the dead by age."""
     return tribes.orderBy(F.desc("alive"), F.when(F.col("alive"), F.col("territory")).otherwise(F.col("age")).desc(), "tribe")

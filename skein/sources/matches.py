@@ -16,11 +16,23 @@ challenges struct<controlWardsPlaced: double, enemyChampionImmobilizations: doub
 MATCH = f"metadata struct<matchId: string, participants: array<string>>, info struct<queueId: int, gameCreation: bigint, gameDuration: bigint, participants: array<struct<{_P}>>>"
 
 
-def read_matches(spark: SparkSession, path: str, glob: str = "*.json", recursive: bool = False) -> DataFrame:
-    """match_id, queue_id, created, duration, participants, file.  A file that is no such document is skipped."""
-    raw = spark.read.schema(MATCH + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).json(path)
+def reader(read):
+    """A reader or stream reader of match documents; a file that is no such document gives nulls."""
+    return read.schema(MATCH + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE")
+
+
+def shaped(raw: DataFrame) -> DataFrame:
+    """match_id, queue_id, created, duration, participants, ids, file.  A file that is no match document is skipped."""
     name = F.col("_metadata.file_name")
-    return raw.filter(F.col("info.participants").isNotNull()).select(F.coalesce("metadata.matchId", F.regexp_replace(name, r"\.json$", "")).alias("match_id"), F.col("info.queueId").alias("queue_id"), F.col("info.gameCreation").alias("created"), F.col("info.gameDuration").alias("duration"), F.col("info.participants").alias("participants"), F.col("metadata.participants").alias("ids"), name.alias("file"))
+    return raw.filter(F.col("info.participants").isNotNull()).select(
+        F.coalesce("metadata.matchId", F.regexp_replace(name, r"\.json$", "")).alias("match_id"), F.col("info.queueId").alias("queue_id"), F.col("info.gameCreation").alias("created"),
+        F.col("info.gameDuration").alias("duration"), F.col("info.participants").alias("participants"), F.col("metadata.participants").alias("ids"), name.alias("file"),
+    )
+
+
+def read_matches(spark: SparkSession, path: str, glob: str = "*.json", recursive: bool = False) -> DataFrame:
+    """match_id, queue_id, created, duration, participants, ids, file.  A file that is no such document is skipped."""
+    return shaped(reader(spark.read).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).json(path))
 
 
 def participants(matches: DataFrame) -> DataFrame:

@@ -78,12 +78,15 @@ def _pressure(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         held = new or (0, False, tick)
         if fire:
             out.append((key[0], key[1], tick, held[0]))
-    state.update((int(held[0]), bool(held[1]), int(held[2] or 0)))
+    if held[0]:
+        state.update((int(held[0]), bool(held[1]), int(held[2])))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["a", "b", "tick", "pressure"])
 
 
 def border_pressure(ticks: DataFrame) -> DataFrame:
-    """a, b, tick, pressure where the tension of a pair crosses WAR.  ticks: a, b, tick, adjacent.  Works on streams; state is three numbers a pair."""
+    """a, b, tick, pressure where the tension of a pair crosses WAR.  ticks: a, b, tick, adjacent.  Works on streams; state is three numbers a pair under pressure, and none for a pair whose pressure is gone."""
     return ticks.groupBy("a", "b").applyInPandasWithState(_pressure, PRESSURE, "pressure int, told boolean, tick long", "append", GroupStateTimeout.NoTimeout)
 
 
