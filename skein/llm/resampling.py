@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,16 @@ CHUNK_BYTES = 8 << 20
 SECTIONS = 4
 
 
+def listed(strings: pa.Array) -> list[bytes]:
+    """The strings of an array that begins at its buffers' start."""
+    if not len(strings):
+        return []
+    ends, data = np.frombuffer(strings.buffers()[1], np.int32)[: len(strings) + 1].tolist(), strings.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 class Features:
-    """The n-grams of the texts of a chunk.  Distinct n-grams are numbered in order of first sight, shorter ones first, so texts must come in an order of their own."""
+    """The n-grams of the texts of a chunk.  Distinct n-grams are numbered by length, then by words in order of first sight, so texts must come in an order of their own."""
 
     def __init__(self, texts: list[bytes | None], order: int = ORDER):
         lists = [words(t) for t in texts]
@@ -50,14 +59,15 @@ class Features:
         starts, counts, self.at, self.doc, base = [], [], [], [], 0
         for m in range(1, order + 1):
             if used + bits > 63:  # number the shorter runs anew, so that the next word fits
-                code = pa.array(code).dictionary_encode().indices.to_numpy().astype(np.int64)
-                used = int(n).bit_length()
+                code, used = np.unique(code, return_inverse=True)[1], int(n).bit_length()
             code, used = (code[: n - m + 1] << bits) | ids[m - 1 :] if n >= m else ids[:0], used + bits
             inside = doc[: len(code)] == doc[m - 1 :]
-            own = pa.array(code[inside]).dictionary_encode()
-            at = own.indices.to_numpy()
-            first = np.empty(len(own.dictionary), np.int64)
-            first[at[::-1]] = np.flatnonzero(inside)[::-1]
+            own = code[inside]
+            by_code = np.argsort(own)
+            new = np.diff(own[by_code], prepend=-1) != 0
+            at = np.empty(len(own), np.int32)
+            at[by_code] = np.cumsum(new) - 1
+            first = np.flatnonzero(inside)[by_code[new]]  # one place where each stands
             starts.append(first)
             counts.append(np.bincount(at, minlength=len(first)))
             self.at.append(at + np.int32(base))
@@ -75,18 +85,15 @@ class Features:
 
     def slots(self, n_slots: int) -> np.ndarray:
         """A range of hashes of its words for each distinct n-gram."""
-        hashes = np.array([0, *map(xxhash.xxh3_64_intdigest, self.words.to_pylist())], np.uint64)
+        hashes = np.array([0, *map(xxhash.xxh3_64_intdigest, listed(self.words))], np.uint64)
         key = np.zeros(self.columns.shape[1], np.uint64)
         for column in self.columns:
             key = mix(key + hashes[column])
         return ex.bucket_of(key, n_slots)
 
     def order(self, slots: np.ndarray) -> np.ndarray:
-        """The n-grams by slot, then by length and first word."""
-        first = self.columns[0].astype(np.int64) | ((self.columns > 0).sum(0) << 40)
-        order = np.argsort(first, kind="stable")
-        dealt = slots[order]
-        return order[np.argsort(dealt.astype(np.uint16) if not len(dealt) or dealt.max() < 2**16 else dealt, kind="stable")]
+        """The n-grams by slot, then as they are numbered."""
+        return np.argsort(slots.astype(np.uint16) if not len(slots) or slots.max() < 2**16 else slots, kind="stable")
 
     def sum(self, value: np.ndarray) -> np.ndarray:
         """The total of the value of each document's features."""
@@ -98,12 +105,31 @@ class Features:
         return out
 
 
-TEXT_ORDER = [("doc_id", "ascending"), ("text", "ascending")]
-
-
-def features_of(table: pa.Table, order: int) -> Features:
-    """Those of a chunk's texts, in the order of their ids and texts."""
-    return Features(table.sort_by(TEXT_ORDER).column("text").cast(pa.binary()).to_pylist(), order)
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a batch, chunk by chunk: compressed, with their lengths and ids."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        order = np.argsort(batch.column("chunk").to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
+        chunk, ids = batch.column("chunk").to_numpy(), batch.column("doc_id")
+        texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        have, number = np.array(ids.is_valid()), np.array(ids.fill_null(0)).astype("<i8")
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(chunk) != 0, [True]))) if len(texts) else np.zeros(1, int)
+        blobs = [ex.bundle([pack(b"".join(texts[a:b])), ex.squeeze(np.fromiter(map(len, texts[a:b]), np.uint64, b - a)), number[a:b].tobytes(), have[a:b].tobytes()]) for a, b in zip(edge, edge[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "texts"])
+
+
+def unpacked(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
+    """Ids and texts of a chunk, in order."""
+    rows, unpack = [], zstandard.ZstdDecompressor().decompress
+    for blob in table.column("texts").to_pylist():
+        data, sizes, number, have = ex.unbundle(blob)
+        data, at = unpack(data), 0
+        for size, doc, known in zip(ex.unsqueeze(sizes).tolist(), np.frombuffer(number, "<i8").tolist(), have, strict=True):
+            rows.append((known, doc, data[at : at + size]))
+            at += size
+    rows.sort()
+    return [doc if known else None for known, doc, _ in rows], [text for _, _, text in rows]
 
 
 def n_owners_of(n_chunks: int) -> int:
@@ -114,8 +140,8 @@ def _ask(n_owners: int, order: int):
     """Messages of a chunk, one for each owner that has strings of it: the words of its strings, then section by section the strings as word numbers, and their counts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        f = features_of(table, order)
-        slots = f.slots(n_owners * SECTIONS)
+        f = Features(unpacked(table)[1], order)
+        slots, vocabulary = f.slots(n_owners * SECTIONS), listed(f.words)
         by_slot = f.order(slots)
         bounds = np.searchsorted(slots[by_slot], np.arange(n_owners * SECTIONS + 1))
         columns, counts = f.columns[:, by_slot], f.counts[by_slot] - 1
@@ -131,7 +157,7 @@ def _ask(n_owners: int, order: int):
             used = np.flatnonzero(flag)
             flag[used] = False
             local[used] = np.arange(1, len(used) + 1)
-            parts = [pack(b" ".join(f.words.take(pa.array(used - 1)).to_pylist()))]
+            parts = [pack(b" ".join([vocabulary[x] for x in (used - 1).tolist()]))]
             for a, b in zip(own[:-1] - own[0], own[1:] - own[0], strict=True):
                 parts += [ex.squeeze(counts[own[0] + a : own[0] + b]), *(ex.squeeze(local[c[a:b]]) for c in cols)]
             owners.append(k)
@@ -172,7 +198,7 @@ def _answer(n_buckets: int):
                 strings.append(strings_of(vocabulary, columns))
                 counts.append(hits.astype(np.int64) + 1)
             found = pa.chunked_array(strings).combine_chunks().dictionary_encode()
-            bucket = np.fromiter(map(zlib.crc32, found.dictionary.to_pylist()), np.int64, len(found.dictionary)) % n_buckets
+            bucket = np.fromiter(map(zlib.crc32, listed(found.dictionary)), np.int64, len(found.dictionary)) % n_buckets
             own = bucket[found.indices.to_numpy()]
             at = 0
             for k, (chunk, hits) in enumerate(zip(chunks, counts, strict=True)):
@@ -223,14 +249,15 @@ WEIGHTS = "doc_id long, n_words long, n_features long, weight long"
 
 def _weigh(n_owners: int, order: int):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        f = features_of(docs, order)
+        ids, texts = unpacked(docs)
+        f = Features(texts, order)
         by_slot = f.order(f.slots(n_owners * SECTIONS))
         answers = answers.sort_by("bucket")
         gain, blobs = np.zeros(len(by_slot), np.int64), answers.column("blob").to_pylist()
-        if docs.num_rows and blobs:
+        if texts and blobs:
             buckets = np.concatenate([ex.unsqueeze(p) for b in blobs for p in ex.unbundle(b)]).astype(np.int64)
             gain[by_slot] = np.frombuffer(answers.column("gains")[0].as_py(), "<i8")[buckets]
-        return pa.table([docs.sort_by(TEXT_ORDER).column("doc_id"), pa.array(f.n_words), pa.array(f.n_features), pa.array(f.sum(gain))], ["doc_id", "n_words", "n_features", "weight"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(f.n_words), pa.array(f.n_features), pa.array(f.sum(gain))], ["doc_id", "n_words", "n_features", "weight"])
 
     return run
 
@@ -242,7 +269,10 @@ def weigh(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     dealt, n_chunks = ex.chunks(text_of(docs, id_col, text_col), size)
     aims, n_aims = ex.chunks(target.select(F.xxhash64(target_text).alias("doc_id"), F.col(target_text).cast("string").alias("text")), size)
     n_owners = n_owners_of(n_chunks + n_aims)
-    asked = dealt.unionAll(aims.select((-1 - F.col("chunk")).alias("chunk"), "doc_id", "text")).groupBy("chunk").applyInArrow(_ask(n_owners, order), ex.MESSAGE)
+    chunk = "chunk int, texts binary"
+    dealt, aims = dealt.mapInArrow(packed, chunk), aims.withColumn("chunk", -1 - F.col("chunk")).mapInArrow(packed, chunk)
+    ask = lambda texts: texts.groupBy("chunk").applyInArrow(_ask(n_owners, order), ex.MESSAGE)
+    asked = ask(dealt).unionAll(ask(aims))  # apart, so that the exchange of the documents is the one that weighing them reads
     # One exchange of the answers serves both the totals and the documents, so both read it as it is: totals are picked out in tasks, not by a filter.
     answers = asked.groupBy("bucket").applyInArrow(_answer(n_buckets), ex.MESSAGE).repartition("chunk")
     totals = answers.mapInArrow(_totals(n_buckets), "bucket long, s long, t long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
