@@ -25,18 +25,13 @@ from pyspark.sql import functions as F
 
 from skein.llm import exchange as ex
 from skein.llm.common import cut, mix, text_of
-from skein.llm.packing import ODD_WHITE, Encoder, _byte_letters
+from skein.llm.packing import Encoder, _byte_letters
 
-PACK_BYTES = 6 << 20
+PACK_BYTES = 4 << 20
 
 
 class Pair:
-    """Both tokenizers, with the bytes of each token and a bounded cache of words.
-
-    Single blanks between characters that are not white space begin a token of both (no piece of B has a blank behind another character), so such words
-    are encoded on their own; a text with other white space around its blanks is encoded whole."""
-
-    MOST = 300_000
+    """Both tokenizers, with the bytes of each token."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -50,36 +45,19 @@ class Pair:
             self.a_bytes[k] = token.encode() if token in self.a.special else b"".join(letters[c] for c in token)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.sizes = [np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes)]
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        """The ids as 32-bit numbers; none where the joined tokens of either side are not the text."""
-        whole = text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return None
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        self.sizes = [np.array([len(x) for x in own], np.int32) for own in (self.a_bytes, self.b_bytes)]
+        #: Each id of A, then of B, in decimal behind which stands a comma, a bar or a semicolon.
+        self.written = [f"{k}{mark}" for own in (self.a_bytes, self.b_bytes) for k in range(len(own)) for mark in ",|;"]
 
     def encode(self, text: str | None) -> tuple[bytes, bytes] | None:
-        """Ids of A and of B over the text behind a blank; none of an empty text or one that either does not give back."""
+        """Ids of A and of B over the text behind a blank, as 32-bit numbers; none of an empty text or one that either does not give back."""
         if not text:
             return None
-        if not self.by_word or text[0].isspace() or text[-1].isspace() or any(s in text for s in ODD_WHITE) or any(s in text for s in self.a.special):
-            return self._checked(" " + text, np.frombuffer(self.a.encode(" " + text), "<u4").tolist(), self.b.encode(text))
-        words, cache = text.split(" "), self.cache
-        if len(cache) > self.MOST:
-            cache.clear()
-        if found := [w for w in set(words) if w not in cache]:
-            plain = [w for w in found if w.isascii()]
-            rest = [w for w in found if not w.isascii()]
-            for own, ids in ((plain, self.a.fast.encode_ordinary_batch([" " + w for w in plain], num_threads=1)), (rest, [np.frombuffer(self.a.encode(" " + w), "<u4").tolist() for w in rest])):
-                for w, a, b in zip(own, ids, self.b.encode(own, num_threads=1), strict=True):
-                    cache[w] = self._checked(" " + w, a, b)
-        parts = list(map(cache.__getitem__, words))
-        if None in parts:
+        a, b = self.a.encode(" " + text), self.b.encode(text)
+        whole = (" " + text).encode()
+        if b"".join(map(self.a_bytes.__getitem__, memoryview(a).cast("I"))) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        return b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])
+        return a, np.array(b, "<u4").tobytes()
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -96,10 +74,10 @@ class Alignment:
 
     def __init__(self, pair: Pair, texts: list[str | None]):
         both = [pair.encode(t) for t in texts]
-        a, b = (np.frombuffer(b"".join(x[k] for x in both if x), "<u4").astype(np.int64) for k in (0, 1))
-        self.a, self.b, self.n = a, b, len(texts)
+        a, b = (np.frombuffer(b"".join(x[k] for x in both if x), "<u4").astype(np.int32) for k in (0, 1))
+        self.a, self.b, self.n, self.pair = a, b, len(texts), pair
         self.n_a, self.n_b = (np.array([len(x[k]) // 4 if x else 0 for x in both], np.int64) for k in (0, 1))
-        owner_a, owner_b = np.repeat(np.arange(len(a)), pair.sizes[0][a]), np.repeat(np.arange(len(b)), pair.sizes[1][b])
+        owner_a, owner_b = np.repeat(np.arange(len(a), dtype=np.int32), pair.sizes[0][a]), np.repeat(np.arange(len(b), dtype=np.int32), pair.sizes[1][b])
         new_a, new_b = np.diff(owner_a, prepend=-1) != 0, np.diff(owner_b, prepend=-1) != 0
         run = np.flatnonzero(new_a | new_b)
         #: The links: an overlapping token of each side, in order.
@@ -117,20 +95,18 @@ class Alignment:
         group = [np.repeat(np.arange(groups), np.diff(np.append(first, n))) for first, n in ((self.group_a, a), (self.group_b, b))]
         at_a, at_b = np.arange(a) + self.group_b[group[0]], np.arange(b) + np.append(self.group_a[1:], a)[group[1]]
         ids, mark = np.empty(a + b, np.int64), np.zeros(a + b, np.int64)
-        ids[at_a], ids[at_b] = self.a, self.b
+        ids[at_a], ids[at_b] = self.a, self.b + np.int64(len(self.pair.a_bytes))
         mark[at_a[np.append(self.group_a[1:], a) - 1]] = 1
         mark[at_b[np.append(self.group_b[1:], b) - 1]] = 2
-        known, back = np.unique(ids * 3 + mark, return_inverse=True)
-        parts = [f"{k // 3}{',|;'[k % 3]}" for k in known.tolist()]
-        back, out, at = back.tolist(), [], 0
+        parts, out, at = list(map(self.pair.written.__getitem__, (ids * 3 + mark).tolist())), [], 0
         for n in (self.n_a + self.n_b).tolist():
-            out.append("".join(map(parts.__getitem__, back[at : at + n]))[:-1])
+            out.append("".join(parts[at : at + n])[:-1])
             at += n
         return out
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct pairs of ids, in order, and of each text's distinct pairs: the text, the pair's place, and how often it is linked."""
-        keys, back = np.unique((self.a[self.link_a] << 32) | self.b[self.link_b], return_inverse=True)
+        keys, back = np.unique((self.a[self.link_a].astype(np.int64) << 32) | self.b[self.link_b], return_inverse=True)
         own, times = np.unique(self.link_doc * max(1, len(keys)) + back, return_counts=True)
         return keys, own // max(1, len(keys)), own % max(1, len(keys)), times
 

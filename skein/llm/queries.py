@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import alignment, decontamination, language_id, language_model, near_duplicates, packing, pii, quality_classifier, quality_rules, resampling, suffix_dedup, url_filter
+from skein.llm import alignment, decontamination, html_extraction, language_id, language_model, near_duplicates, packing, pii, quality_classifier, quality_rules, resampling, suffix_dedup, url_filter
 from skein.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.op10_language_model(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.op11_html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.op12_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,5 +62,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.op13_alignment(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_decontamination, op5_pii, op6_url_filter, op7_packing, op8_ngram_jaccard, op9_language_id, op10_language_model, op12_resampling, op13_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_suffix_dedup, op4_decontamination, op5_pii, op6_url_filter, op7_packing, op8_ngram_jaccard, op9_language_id, op10_language_model, op11_html_extraction, op12_resampling, op13_alignment)}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.OP4_SQL}
