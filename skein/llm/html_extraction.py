@@ -185,7 +185,8 @@ def parse(source: str) -> Page:
 # --- evidence -----------------------------------------------------------------------------------------------------------
 
 KINDS = {"#text": 0, **dict.fromkeys("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th figcaption caption".split(), 1)}
-OTHER_KIND = 2
+#: Boxes in what only holds things together, and boxes in others.
+HOLDERS, N_KINDS = frozenset("body div table tbody tr center".split()), 4
 #: Elements that say what they are: lengths say nothing about them, or about the text right in them.
 PARTS = ("article", "main")
 #: The potential of agreement and of its opposite that learning starts from.
@@ -234,6 +235,11 @@ def evidence(page: Page) -> list[list[str]]:
     return out
 
 
+def kinds(page: Page) -> list[int]:
+    """The kind of the edge from each node to its parent."""
+    return [KINDS.get(tag, 2 if up < 0 or page.tag[up] in HOLDERS else 3) for tag, up in zip(page.tag, page.parent, strict=True)]
+
+
 # --- the model ----------------------------------------------------------------------------------------------------------
 
 class Forest:
@@ -243,7 +249,7 @@ class Forest:
         base = np.cumsum([0, *(len(p.tag) for p in pages)])
         self.first, self.n = base[:-1], int(base[-1])
         self.parent = np.concatenate([np.array(p.parent, np.int64) + b * (np.array(p.parent) >= 0) for p, b in zip(pages, base, strict=False)])
-        self.kind = np.array([KINDS.get(t, OTHER_KIND) for p in pages for t in p.tag], np.int64)
+        self.kind = np.array([k for p in pages for k in kinds(p)], np.int64)
         depth = np.array([d for p in pages for d in p.depth], np.int64)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
@@ -294,21 +300,21 @@ def fit(pages: list[Page], labels: list[np.ndarray], least: int = 2, rounds: int
     at = [(k, index[f]) for k, fs in enumerate(fs for p in features for fs in p) for f in fs if f in index]
     node, feature = (np.array(c, np.int64) for c in zip(*at, strict=True))
     inner = np.flatnonzero(forest.parent >= 0)
-    observed = np.zeros((3, 2, 2))
+    observed = np.zeros((N_KINDS, 2, 2))
     np.add.at(observed, (forest.kind[inner], y[forest.parent[inner]], y[inner]), 1)
     size = len(index)
-    prior = np.concatenate((np.zeros(size), np.tile([AGREE, -AGREE, -AGREE, AGREE], 3)))
-    theta, m, v = prior.copy(), np.zeros(size + 12), np.zeros(size + 12)
+    prior = np.concatenate((np.zeros(size), np.tile([AGREE, -AGREE, -AGREE, AGREE], N_KINDS)))
+    theta, m, v = prior.copy(), np.zeros(size + 4 * N_KINDS), np.zeros(size + 4 * N_KINDS)
     for step in range(1, rounds + 1):
         own = np.zeros((forest.n, 2))
         own[:, 1] = np.bincount(node, weights=theta[feature], minlength=forest.n)
-        p, pairs, _ = forest.marginals(own, theta[size:].reshape(3, 2, 2))
-        expected = np.zeros((3, 2, 2))
+        p, pairs, _ = forest.marginals(own, theta[size:].reshape(N_KINDS, 2, 2))
+        expected = np.zeros((N_KINDS, 2, 2))
         np.add.at(expected, forest.kind[inner], pairs[inner])
         gradient = np.concatenate((np.bincount(feature, weights=(y - p)[node], minlength=size), (observed - expected).ravel())) - penalty * (theta - prior)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model({f: float(theta[k]) for f, k in index.items()}, theta[size:].reshape(3, 2, 2))
+    return Model({f: float(theta[k]) for f, k in index.items()}, theta[size:].reshape(N_KINDS, 2, 2))
 
 
 # --- labelled pages -----------------------------------------------------------------------------------------------------

@@ -41,11 +41,11 @@ def test_marginals_equal_enumeration():
     for source in ("<div><p>a<p>b</div><ul><li>c</ul>", "text", "<nav><a>x</a></nav><p>y"):
         page = hx.parse(source)
         n = len(page.tag)
-        own, edge = np.zeros((n, 2)), rng.normal(size=(3, 2, 2))
+        own, edge = np.zeros((n, 2)), rng.normal(size=(hx.N_KINDS, 2, 2))
         own[:, 1] = rng.normal(size=n)
-        kinds, total, hits, pairs = [hx.KINDS.get(t, hx.OTHER_KIND) for t in page.tag], 0.0, np.zeros(n), np.zeros((n, 2, 2))
+        kind, total, hits, pairs = hx.kinds(page), 0.0, np.zeros(n), np.zeros((n, 2, 2))
         for states in itertools.product((0, 1), repeat=n):
-            mass = np.exp(sum(own[k, s] for k, s in enumerate(states)) + sum(edge[kinds[k], states[page.parent[k]], states[k]] for k in range(1, n)))
+            mass = np.exp(sum(own[k, s] for k, s in enumerate(states)) + sum(edge[kind[k], states[page.parent[k]], states[k]] for k in range(1, n)))
             total += mass
             hits += mass * np.array(states)
             for k in range(1, n):
