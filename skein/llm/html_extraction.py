@@ -435,8 +435,10 @@ def train(sources: list[str], composed: int = COMPOSED, seed: int = 7) -> Model:
 def sample(pages: DataFrame, html_col: str = "html", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[str]:
     """At most `most` pages of at most most_bytes that mark an article or a main part, by a hash of their html."""
     html = F.col(html_col).cast("string")
-    marked = pages.select(html.alias("html")).filter((F.octet_length("html") <= most_bytes) & F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    return [r.html for r in marked.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    marked = pages.select(html.alias("html")).filter((F.octet_length("html") <= most_bytes) & F.col("html").rlike("(?i)<(article|main)[\\s>]")).withColumn("hash", F.xxhash64("html"))
+    first = [r["hash"] for r in marked.select("hash").distinct().orderBy("hash").limit(most).collect()]  # hashes alone, so that no task sends pages that are not taken
+    found = marked.filter(F.col("hash").isin(first)).groupBy("hash").agg(F.min("html").alias("html")) if first else marked.limit(0)
+    return [r.html for r in found.orderBy("hash").collect()]
 
 
 # --- extraction ---------------------------------------------------------------------------------------------------------
