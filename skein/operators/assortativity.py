@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.ranking import position
 from skein.operators.projection import support
+from skein.session import cut
 
 MODES, METRICS = ("social-path", "battle-path"), ("opscore", "feedscore")
 TINY = 2.220446049250313e-16
@@ -25,6 +31,7 @@ def classified(pairs: DataFrame, players: DataFrame, membership: DataFrame, min_
 
     Scores, matches and cluster are attached to both ends once; the four readings are made of the joined row."""
     nodes = players.select(F.col("id").alias("node"), *(F.col(m).cast("double").alias(m) for m in METRICS), "match_count").join(membership.select("node", "comp"), "node", "full")
+    nodes = cut(nodes)  # read for both ends
     own = pairs.select("src", "dst", *(support(m).alias(m) for m in MODES))
     for end in ("src", "dst"):
         own = own.join(nodes.select(F.col("node").alias(end), F.struct("match_count", "comp", *METRICS).alias(f"{end}_own")), end, "left")
@@ -37,7 +44,7 @@ def classified(pairs: DataFrame, players: DataFrame, membership: DataFrame, min_
 
 
 def assortativity(pairs: DataFrame, players: DataFrame, membership: DataFrame, min_support: int = 2, min_matches: int = 1, strong: int = 3) -> DataFrame:
-    """One row for each mode and metric: counters, and n and coefficient of each stratum, by one aggregate over the edges."""
+    """One row for each mode and metric: counters, and n and coefficient of each stratum, by one aggregate over the edges, summed in each task before its four groups are exchanged."""
     e = classified(pairs, players, membership, min_support, min_matches)
     used, within, tie = F.col("status") == "analyzed", F.col("same_cluster"), F.col("support") >= strong
     when = dict(zip(STRATA, (used, used & within, used & ~within, used & tie, used & ~tie), strict=True))
@@ -45,7 +52,8 @@ def assortativity(pairs: DataFrame, players: DataFrame, membership: DataFrame, m
     for name, cond in when.items():
         aggs += [F.count_if(cond).alias(f"{name}_edges"), pearson(cond, F.col("x"), F.col("y")).alias(f"{name}_r")]
     every = pairs.sparkSession.createDataFrame([(mode, metric) for mode in MODES for metric in METRICS], "mode string, metric string")
-    return F.broadcast(every).join(e, ["mode", "metric"], "left").groupBy("mode", "metric").agg(*aggs)
+    out = e.groupBy("mode", "metric").agg(*aggs)
+    return every.join(out, ["mode", "metric"], "left").fillna(0, [c for c in out.columns if c not in ("mode", "metric") and not c.endswith("_r")])
 
 
 def eligible_nodes(pairs: DataFrame, players: DataFrame, metric: str, min_matches: int) -> DataFrame:
@@ -72,20 +80,64 @@ class Lcg:
             out[i], out[j] = out[j], out[i]
         return out
 
+    def ahead(self, steps: int) -> Lcg:
+        """The generator as it is after so many steps, by powers of the affine step."""
+        a, c, total_a, total_c = self.MULTIPLIER, self.INCREMENT, 1, 0
+        while steps:
+            if steps & 1:
+                total_a, total_c = total_a * a % 2**64, (total_c * a + c) % 2**64
+            a, c, steps = a * a % 2**64, (c * a + c) % 2**64, steps >> 1
+        out = Lcg(1)
+        out.state = (self.state * total_a + total_c) % 2**64
+        return out
+
+    def states(self, n: int) -> np.ndarray:
+        """The next n states, which the generator then has behind it."""
+        powers = np.multiply.accumulate(np.full(n, self.MULTIPLIER, np.uint64)) if n else np.zeros(0, np.uint64)
+        sums = np.cumsum(np.concatenate((np.ones(1, np.uint64), powers[:-1])), dtype=np.uint64) * np.uint64(self.INCREMENT) if n else powers
+        out = powers * np.uint64(self.state % 2**64) + sums
+        if n:
+            self.state = int(out[-1])
+        return out
+
+    def permutation(self, n: int, block: int = 1 << 20) -> np.ndarray:
+        """Where the value at each place comes from after `shuffled`; the states are made block by block."""
+        out, top = list(range(n)), n - 1
+        while top > 0:
+            size = min(block, top)
+            picks = self.states(size) % np.arange(top + 1, top + 1 - size, -1).astype(np.uint64)
+            for i, j in zip(range(top, top - size, -1), picks.tolist(), strict=True):
+                out[i], out[j] = out[j], out[i]
+            top -= size
+        return np.array(out, np.int64)
+
+
+def permutations(spark: SparkSession, n: int, runs: int, seed: int) -> DataFrame:
+    """run (from 1), place, origin: the value at each place of a run comes from origin.  One generator goes through all runs; each is made in a task of its own, which jumps to the state its run begins at
+    and holds n numbers."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.column("id").to_pylist():
+                origin = Lcg(seed).ahead((run - 1) * max(0, n - 1)).permutation(n)
+                for at in range(0, n, 1 << 16):
+                    part = origin[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), run, np.int32)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["run", "place", "origin"])
+
+    return spark.range(1, runs + 1, 1, max(1, runs)).mapInArrow(work, "run int, place long, origin long")
+
 
-def permutation_test(edges: DataFrame, values: DataFrame, n_permutations: int = 100, seed: int = 1, most_nodes: int = 200_000) -> DataFrame:
+def permutation_test(edges: DataFrame, values: DataFrame, n_permutations: int = 100, seed: int = 1) -> DataFrame:
     """observed, null mean, stddev, min, max, p_upper, p_two_sided, z, percentile of the correlation over edges (src, dst) when values (id, value) are shuffled.
 
-    The shuffles are made on the driver, in id order, from one generator; so values are limited to most_nodes."""
+    Values stand in id order; the shuffles of one generator are made in tasks and joined to the values by place, so a row is gathered for each node, as long as there are runs."""
     spark = edges.sparkSession
-    own = values.filter("value is not null").orderBy("id").limit(most_nodes + 1).collect()
-    if len(own) > most_nodes:
-        raise ValueError(f"the permutation test takes at most {most_nodes} nodes")
-    ids, real = [r.id for r in own], [float(r.value) for r in own]
-    rng = Lcg(seed)
-    kind = f"perm array<double>, id {dict(edges.dtypes)['src']}"
-    draws = [real, *(rng.shuffled(real) for _ in range(n_permutations))]
-    table = spark.createDataFrame([([d[k] for d in draws], i) for k, i in enumerate(ids)], kind)
+    own = position(values.filter("value is not null").select("id", F.col("value").cast("double").alias("value")), [F.asc("id")], "place")
+    own = cut(own.withColumn("place", (F.col("place") - 1).cast("long")))
+    drawn = permutations(spark, own.count(), n_permutations, seed).join(own.select(F.col("place").alias("origin"), "value"), "origin").select("run", "place", "value")
+    every = drawn.unionByName(own.select(F.lit(0).alias("run"), "place", "value"))
+    held = every.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("run", "value"))).alias("drawn"))
+    table = cut(own.select("id", "place").join(held, "place").select("id", F.transform("drawn", lambda x: x["value"]).alias("perm")))
     both = edges.select("src", "dst").join(table.select(F.col("id").alias("src"), F.col("perm").alias("x")), "src").join(table.select(F.col("id").alias("dst"), F.col("perm").alias("y")), "dst")
     long = both.select(F.posexplode(F.arrays_zip("x", "y")).alias("run", "v"))
     per = long.groupBy("run").agg(pearson(F.lit(True), F.col("v.x"), F.col("v.y")).alias("r"), F.count("*").alias("edges"))

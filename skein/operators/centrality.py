@@ -1,8 +1,14 @@
-"""Betweenness centrality: one Brandes accumulation for each source node, sources spread over tasks, the graph broadcast as sorted arrays."""
+"""Betweenness centrality.
+
+`betweenness` makes one Brandes accumulation for each source node, sources spread over tasks, with the graph broadcast as sorted arrays; so it is for graphs of a bounded size.
+`betweenness_by_joins` keeps the graph in Spark: a batch of sources goes through the graph together, forward over the rows of its shortest-path graphs, counting paths, and
+backward, summing dependencies.  Exact with all nodes as sources; with a sample of them an estimate whose error `sampling_error` bounds.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ranking import position
-from skein.operators.projection import COST_SCALE, support, symmetric
+from skein.operators.projection import COST_SCALE, support, symmetric, traversal_cost
+from skein.session import cut, united
 
 
 def dependencies(start: np.ndarray, other: np.ndarray, cost: np.ndarray, source: int) -> np.ndarray:
@@ -78,3 +85,82 @@ def betweenness(pairs: DataFrame, labels: DataFrame, mode: str = "social-path",
     out = index.join(part, "k", "left").join(degree, "node").join(labels, "node", "left").select("node", F.coalesce("label", F.col("node").cast("string")).alias("label"), "degree", "strength", F.coalesce("raw", F.lit(0.0)).alias("raw"))
     out = out.withColumn("normalised", F.col("raw") / scale if scale > 0 else F.lit(0.0))
     return position(out, [F.desc("raw"), F.desc("degree"), F.desc("strength"), F.asc("label"), F.asc("node")])
+
+
+def shortest_edges(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, v, w, n_in: the edges (v, w) of the shortest-path graph of each source, and how many of them lead to w.  edges: node, other, cost; sources: source."""
+    start = sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("distance"))
+    best = front = cut(start)
+    while True:
+        reach = front.join(edges, "node").groupBy("source", "other").agg(F.min(F.col("distance") + F.col("cost")).alias("new")).withColumnRenamed("other", "node")
+        nearer = reach.join(best, ["source", "node"], "left").filter(F.col("distance").isNull() | (F.col("new") < F.col("distance")))
+        front = cut(nearer.select("source", "node", F.col("new").alias("distance")))
+        if front.isEmpty():
+            break
+        best = cut(united([best.join(front, ["source", "node"], "left_anti"), front]))
+    reached = best.select("source", F.col("node").alias("w"), "distance")
+    steps = best.join(edges, "node").select("source", F.col("node").alias("v"), F.col("other").alias("w"), (F.col("distance") + F.col("cost")).alias("distance")).join(reached, ["source", "w", "distance"]).select("source", "v", "w")
+    return cut(steps.join(steps.groupBy("source", "w").agg(F.count("*").alias("n_in")), ["source", "w"]))
+
+
+def path_counts(steps: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """source, node, sigma: the number of shortest paths, in rounds; a node is in the round after the last of those before it, so its count is whole when it is passed on."""
+    rounds = [cut(sources.select("source", F.col("source").alias("node"), F.lit(1.0).alias("sigma")))]
+    waiting = None
+    while True:
+        passed = rounds[-1].withColumnRenamed("node", "v").join(steps, ["source", "v"]).select("source", F.col("w").alias("node"), "sigma", F.lit(1).cast("long").alias("told"), "n_in")
+        held = passed if waiting is None else passed.unionByName(waiting)
+        held = cut(held.groupBy("source", "node").agg(F.sum("sigma").alias("sigma"), F.sum("told").alias("told"), F.max("n_in").alias("n_in")))
+        ready = cut(held.filter(F.col("told") == F.col("n_in")).select("source", "node", "sigma"))
+        if ready.isEmpty():
+            return rounds
+        rounds.append(ready)
+        waiting = held.filter(F.col("told") < F.col("n_in"))
+
+
+def dependencies_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, part: the dependencies of the sources on each node, summed.  edges: node, other, cost, each written once."""
+    steps = shortest_edges(edges, sources)
+    rounds = path_counts(steps, sources)
+    number = united([r.select("source", F.col("node").alias("v"), F.lit(k).alias("turn")) for k, r in enumerate(rounds)])
+    back = cut(steps.join(number, ["source", "v"]).select("source", "v", F.col("w").alias("node"), "turn"))
+    found, waiting = [], None
+    for turn in range(len(rounds) - 1, 0, -1):
+        own = rounds[turn]
+        if waiting is None:
+            own = own.withColumn("share", F.lit(0.0))
+        else:
+            own = own.join(waiting.filter(F.col("turn") == turn).select("source", F.col("v").alias("node"), "share"), ["source", "node"], "left").fillna(0.0, ["share"])
+        own = cut(own.withColumn("delta", F.col("sigma") * F.col("share")))
+        found.append(own.groupBy("node").agg(F.sum("delta").alias("part")))
+        passed = own.join(back, ["source", "node"]).select("source", "v", "turn", ((F.col("delta") + 1) / F.col("sigma")).alias("share"))
+        held = passed if waiting is None else passed.unionByName(waiting.filter(F.col("turn") < turn))
+        waiting = cut(held.groupBy("source", "v", "turn").agg(F.sum("share").alias("share")))
+    if not found:
+        return sources.select(F.col("source").alias("node"), F.lit(0.0).alias("part")).limit(0)
+    return united(found).groupBy("node").agg(F.sum("part").alias("part"))
+
+
+def sampling_error(sources: int, nodes: int, confidence: float = 0.95) -> float:
+    """What normalised estimates from sampled sources are off by at most, for all nodes together, at this confidence: a source's dependency on a node is at most nodes - 2 (Hoeffding, and a union over the nodes)."""
+    return nodes / (nodes - 1) * math.sqrt(math.log(2 * nodes / (1 - confidence)) / (2 * sources)) if nodes > 2 else 0.0
+
+
+def betweenness_by_joins(pairs: DataFrame, labels: DataFrame, mode: str = "social-path", weighted: bool = True, min_support: int = 1, sources: int | None = None, seed: int = 1, rows_at_once: int = 200_000_000) -> DataFrame:
+    """node, label, degree, strength, raw, normalised, rank.  labels: node, label.
+
+    sources: how many nodes to start from, chosen by a seeded hash; all where it is None.  A batch holds as many sources as give about rows_at_once rows of sources times edges, one at least."""
+    edges = cut(symmetric(pairs.filter((support(mode) > 0) & (support(mode) >= min_support) & (F.col("src") != F.col("dst"))).select("src", "dst", support(mode).alias("w"))))
+    priced = cut(edges.select("node", "other", (traversal_cost(F.col("w")) if weighted else F.lit(1).cast("long")).alias("cost")))
+    own = cut(edges.groupBy("node").agg(F.count("*").alias("degree"), F.sum("w").alias("strength")))
+    n, m = own.count(), edges.count()
+    k = n if sources is None else min(n, sources)
+    order = cut(position(own.select(F.col("node").alias("source")), [F.xxhash64(F.col("source"), F.lit(seed)), F.asc("source")], "turn").filter(F.col("turn") <= k))
+    batch = max(1, rows_at_once // max(1, m))
+    parts = [cut(dependencies_of(priced, cut(order.filter((F.col("turn") > at) & (F.col("turn") <= at + batch)).select("source")))) for at in range(0, k, batch)]
+    total = united(parts).groupBy("node").agg((F.sum("part") / 2 * n / max(1, k)).alias("raw")) if parts else None
+    scale = (n - 1) * (n - 2) / 2
+    out = own.join(total, "node", "left") if total is not None else own.withColumn("raw", F.lit(0.0))
+    out = out.join(labels, "node", "left").select("node", F.coalesce("label", F.col("node").cast("string")).alias("label"), "degree", "strength", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    out = out.withColumn("normalised", F.col("raw") / scale if scale > 0 else F.lit(0.0))
+    return position(out, [F.desc("raw"), F.desc("degree"), F.desc("strength"), F.asc("label"), F.asc("node")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.ranking import position
 from skein.operators.projection import symmetric
-from skein.session import cut, joined
+from skein.session import cut, united
 
 
 #: Edges of one node that a task joins.  Of `total` edges at most total / max(HUB, total / MOST_HUBS) <= MOST_HUBS nodes have more, so their list may be broadcast.
@@ -112,18 +112,19 @@ def quotient(pairs: DataFrame, membership: DataFrame) -> DataFrame:
     return symmetric(across).select(F.col("node").alias("src"), F.col("other").alias("dst"))
 
 
-def hops(links: DataFrame) -> DataFrame:
-    """src, dst, hops between all clusters that links (both directions) connect."""
-    seen = cut(links.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("hops")))
-    edge = links.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    edge = cut(edge)
+def hops(links: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """src, dst, hops between clusters that links (both directions) connect, from the sources (src), else from all.  Each step is written once, and kept apart from the two before it."""
+    edge = cut(links.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
+    start = edge.select(F.col("dst").alias("src")).distinct()
+    if sources is not None:
+        start = start.join(sources.select("src").distinct(), "src", "left_semi")
+    steps = [cut(start.select("src", F.col("src").alias("dst"), F.lit(0).alias("hops")))]
     for step in count(1):
-        front = seen.filter(F.col("hops") == step - 1).join(edge, "dst").select("src", F.col("next").alias("dst")).distinct()
-        new = cut(front.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(step)))
+        front = steps[-1].join(edge, "dst").select("src", F.col("next").alias("dst")).distinct()
+        new = cut(front.join(united(steps[-2:]).select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(step)))
         if new.isEmpty():
-            break
-        seen = cut(joined(seen, new))
-    return seen
+            return united(steps)
+        steps.append(new)
 
 
 def cluster_edges(pairs: DataFrame, membership: DataFrame) -> DataFrame:
@@ -171,15 +172,45 @@ def strongest_members(pairs: DataFrame, membership: DataFrame, k: int = 10) -> D
     return membership.join(strength, "node").withColumn("place", place).filter(F.col("place") <= k).select("comp", "node", "strength", "place")
 
 
-def snapshot(pairs: DataFrame, membership: DataFrame, path: list, visited: list, k: int = 10, most_visited: int = 200) -> DataFrame:
-    """Edges to show with a path: among its nodes, the first visited ones, and the k strongest of each cluster that the path touches."""
+#: Nodes of a cluster, and visited nodes, that are shown with a path.  Fixed values.
+SHOWN_MEMBERS, SHOWN_VISITED = 10, 200
+
+
+def shown_members(pairs: DataFrame, membership: DataFrame, preferred: DataFrame, bridge_nodes: DataFrame, star_nodes: DataFrame, k: int = SHOWN_MEMBERS) -> DataFrame:
+    """comp, node, place: of each cluster that a preferred node is in, its first members: preferred ones, then bridges, stars, the strongest, then by id.  As many as k, or as there are preferred nodes in all."""
+    most = max(k, preferred.count())
+    flag = lambda df, name: df.select("node").distinct().withColumn(name, F.lit(True))
+    touched = membership.join(preferred, "node", "left_semi").select("comp").distinct()
+    strength = symmetric(pairs.select("src", "dst", "total")).groupBy("node").agg(F.sum("total").alias("strength"))
+    own = membership.join(touched, "comp", "left_semi").join(strength, "node", "left")
+    for df, name in ((preferred, "preferred"), (bridge_nodes, "bridge"), (star_nodes, "star")):
+        own = own.join(flag(df, name), "node", "left")
+    order = [F.coalesce(F.col(c), F.lit(False)).desc() for c in ("preferred", "bridge", "star")] + [F.coalesce("strength", F.lit(0)).desc(), F.asc("node")]
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("comp").orderBy(*order))).filter(F.col("place") <= most).select("comp", "node", "place")
+
+
+def snapshot(pairs: DataFrame, membership: DataFrame, path: DataFrame, visited: DataFrame, bridge_nodes: DataFrame, star_nodes: DataFrame, mode: str = "social-path", ends: tuple = (), k: int = SHOWN_MEMBERS, most_visited: int = SHOWN_VISITED) -> DataFrame:
+    """src, dst, relation, weight: the edges shown with a path (place, node).
+
+    Shown nodes are the ends, the path, the first most_visited of the visited (node) by id, and members of every cluster that these are in.  Between them all edges of the mode show while there is no path;
+    with one, an edge between clusters shows on the path alone, nodes without a cluster counting as of one.  The path's own edges always show.  Relation and weight are the mode's: ally and its evidence, or the dominant
+    relation and all evidence."""
     spark, kind = pairs.sparkSession, dict(pairs.dtypes)["src"]
-    named = spark.createDataFrame([(x,) for x in dict.fromkeys([*path, *visited[:most_visited]])], f"node {kind}")
-    on_path = spark.createDataFrame([(x,) for x in path], f"node {kind}")
-    touched = membership.join(on_path, "node", "left_semi").select("comp").distinct()
-    near = strongest_members(pairs, membership.join(touched, "comp", "left_semi"), k).select("node")
-    kept = named.union(near).distinct()
-    return pairs.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*pairs.columns)
+    named = spark.createDataFrame([(x,) for x in ends], f"node {kind}")
+    preferred = cut(named.union(path.select("node")).union(visited.select("node").distinct().orderBy("node").limit(most_visited)).distinct())
+    shown = cut(preferred.union(shown_members(pairs, membership, preferred, bridge_nodes, star_nodes, k).select("node")).distinct())
+    steps = path.select("place", F.col("node").alias("a")).join(path.select((F.col("place") - 1).alias("place"), F.col("node").alias("b")), "place")
+    steps = cut(steps.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct().withColumn("on_path", F.lit(True)))
+    found = not steps.isEmpty()
+    inside = pairs.join(shown.withColumnRenamed("node", "src"), "src", "left_semi").join(shown.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    for end in ("src", "dst"):
+        inside = inside.join(membership.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
+    inside = inside.join(steps, ["src", "dst"], "left")
+    on_path, same = F.col("on_path").isNotNull(), F.col("src_comp").eqNullSafe(F.col("dst_comp"))
+    social = mode == "social-path"
+    allowed = F.col("ally") > 0 if social else F.lit(True)
+    out = inside.filter(on_path | (allowed & (same | F.lit(not found))))
+    return out.select("src", "dst", (F.lit("ally") if social else F.col("relation")).alias("relation"), (F.greatest("ally", F.lit(1)) if social else F.col("total")).alias("weight"))
 
 
 def representatives(membership: DataFrame, k: int = 8) -> DataFrame:

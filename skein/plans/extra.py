@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import scalars
 from skein.functions.ranking import position
-from skein.operators import components, paths, serving, simulation_log
+from skein.operators import components, serving, simulation_log
 from skein.plans.graph import ACROSS, COUNTRY, PLAYERS, STRONG, also, kept_pairs, query, strong_members
 from skein.sources import tables
 
@@ -45,15 +45,6 @@ def landmark_nodes(spark, sf):
     return components.landmarks(p, m, components.bridges(p, m), 16)
 
 
-@query("path_snapshot")
-def path_snapshot(spark, sf):
-    p = kept_pairs(spark, sf)
-    ends = p.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    g = paths.Graph.of(p, "battle-path")
-    found = paths.search(g, "dijkstra", ends.a, ends.b, max_steps=len(g.near))
-    return components.snapshot(p, strong_members(p), found.path, [n for a, n in found.steps if a == "expand"])
-
-
 @query("latest_names", "SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'Unknown#Unknown' ELSE concat(p_name, '#', p_brand) END AS label FROM part")
 def latest_names(spark, sf):
     p = tables.table(spark, sf, "part")

@@ -328,7 +328,7 @@ LEVELS_SQL = f"""WITH RECURSIVE {REL}, {SYM}, near(node, level) USING KEY (node)
 @query("bfs_levels", LEVELS_SQL)
 def bfs_levels(spark, sf):
     p = kept_pairs(spark, sf)
-    return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")))
+    return paths.bfs_levels(projection.symmetric(p), p.agg(F.min("src").alias("node")), both_ways=True)
 
 
 also("bfs_levels", "bfs_levels_all")

@@ -11,7 +11,7 @@ def session(name: str = "skein", cores: str = "*", partitions: int = 8) -> Spark
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     )
 
 
@@ -31,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, which were each written once, in no more partitions than a shuffle has."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out if len(parts) == 1 else out.coalesce(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def joined(a: DataFrame, b: DataFrame) -> DataFrame:
     """The rows of both in no more partitions than a shuffle has, so that loops of many rounds do not pile them up."""
     return a.unionAll(b).coalesce(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -4,12 +4,15 @@ import heapq
 
 from skein import catalog
 
-LINE = "l_orderkey long, l_partkey long, l_linenumber int"
+LINE = "l_orderkey long, l_partkey long, l_linenumber int, l_discount double"
+PART = "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double"
 
 
 def lines(spark, folder, orders):
-    rows = [(k, part, 2 * n + 1) for k, parts in enumerate(orders) for n, part in enumerate(parts)]
+    rows = [(k, part, 2 * n + 1, 0.05) for k, parts in enumerate(orders) for n, part in enumerate(parts)]
     spark.createDataFrame(rows, LINE).write.parquet(f"{folder}/lineitem.parquet")
+    nodes = sorted({part for parts in orders for part in parts})
+    spark.createDataFrame([(k, f"n{k}", "b", "t", float(k)) for k in nodes], PART).write.parquet(f"{folder}/part.parquet")
     return str(folder)
 
 
@@ -39,6 +42,9 @@ def test_chain_with_pairs_that_met_once(spark, tmp_path):
     runs = q["path_comparison"](spark, sf).collect()
     assert len(runs) == 8 and {(r.status, r.hops) for r in runs} == {("found", 5)}
     assert {(r.src, r.dst) for r in q["path_snapshot"](spark, sf).collect()} == {(k, k + 1) for k in range(1, 6)}
+    assert [tuple(r) for r in q["hops_from_both_ends"](spark, sf).collect()] == [(1, 6, 5)]
+    assert [tuple(r) for r in q["cost_towards"](spark, sf).collect()] == [(1, 6, brute_distances(CHAIN, 1)[6])]
+    assert {(r.node, r.level, r.parent) for r in q["bfs_parents"](spark, sf).collect()} == {(k, k - 1, k - 1 or None) for k in range(1, 7)}
 
 
 def test_snapshot_finds_paths_of_more_than_5000_expansions(spark, tmp_path):
