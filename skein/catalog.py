@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import exports, extra, graph, more, relational, rules, searches  # noqa: F401  exports, extra, more, rules and searches add to graph.QUERIES
+from skein.plans import exports, extra, graph, more, relational, rules, searches, streams  # noqa: F401  all but relational add to graph.QUERIES
 
 _relational = relational.catalogue()
 QUERIES = {**graph.QUERIES, **_relational[0]}
