@@ -89,7 +89,9 @@ def browse(df: DataFrame, search: str = "", filters: dict[str, str] | None = Non
 
 
 def autocomplete(players: DataFrame, text: str, k: int = 8) -> DataFrame:
-    return players.filter(F.contains(F.lower("label"), F.lit(text.lower()))).orderBy(F.lower("label"), "label", "id").select("id", "label").limit(k)
+    """The first k players whose label holds the text, whatever its case, in the order of dictionaries: accents count after letters, case last."""
+    label = F.collate("label", "UNICODE_CI")
+    return players.filter(F.contains(label, F.lit(text))).orderBy(label, "label", "id").select("id", "label").limit(k)
 
 
 def preview(column: str, longest: int = 240) -> Column:

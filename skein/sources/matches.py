@@ -21,10 +21,10 @@ def reader(read):
     return read.schema(MATCH + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE")
 
 
-def shaped(raw: DataFrame) -> DataFrame:
-    """match_id, queue_id, created, duration, participants, ids, file.  A file that is no match document is skipped."""
+def shaped(raw: DataFrame, broken: bool = False) -> DataFrame:
+    """match_id, queue_id, created, duration, participants, ids, file.  A file that is no match document is skipped, or kept with null participants where broken ones are asked for."""
     name = F.col("_metadata.file_name")
-    return raw.filter(F.col("info.participants").isNotNull()).select(
+    return raw.filter(F.col("info.participants").isNotNull() | F.lit(broken)).select(
         F.coalesce("metadata.matchId", F.regexp_replace(name, r"\.json$", "")).alias("match_id"), F.col("info.queueId").alias("queue_id"), F.col("info.gameCreation").alias("created"),
         F.col("info.gameDuration").alias("duration"), F.col("info.participants").alias("participants"), F.col("metadata.participants").alias("ids"), name.alias("file"),
     )

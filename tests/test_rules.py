@@ -115,3 +115,22 @@ def test_runs_are_compared_with_notes(spark):
     assert rows["dijkstra"].warnings == ["enemy edges are in use", "stronger edges are cheaper"] and rows["bfs"].ms >= 0
     row = paths.compare(spark, near, "a", "d").first()
     assert (row.found, row.hops, row.note) == (False, None, "enemy edges connect") and row.warnings == ["no such node in this graph"]
+
+
+def test_collecting_from_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert ingest.collect(spark, str(tmp_path / "in"), str(tmp_path / "out"), NOW, [420]) == {"matches": 0, "quarantine": 0}
+
+
+def test_broken_files_and_equal_ids(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    one = lambda n: {"metadata": {"matchId": "same", "participants": []}, "info": {"queueId": 420, "gameCreation": NOW, "gameDuration": n, "participants": [{"puuid": f"p{k}", "teamId": 100, "kills": 1, "deaths": 1, "assists": 1} for k in range(10)]}}
+    (src / "b.json").write_text(json.dumps(one(2)))
+    (src / "a.json").write_text(json.dumps(one(1)))
+    (src / "c.json").write_text('{"metadata": ')
+    (src / "d.json").write_text('{"other": 1}')
+    assert ingest.collect(spark, str(src), out, NOW, [420]) == {"matches": 1, "quarantine": 0}
+    kept = spark.read.parquet(f"{out}/matches").first()
+    assert (kept.match_id, kept.file, kept.duration) == ("same", "a.json", 1)
+    assert {r.file for r in spark.read.parquet(f"{out}/broken").collect()} == {"c.json", "d.json"}
