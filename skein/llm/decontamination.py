@@ -2,12 +2,15 @@
 
 Patterns are the windows of `width` consecutive words of each benchmark item (an item of fewer words, but not none, is one
 window).  Patterns of one length share a shift table: for each block of two words, how far the search may move on because no
-pattern can end before.  Where a block can end a pattern, its bucket, keyed by that suffix block, gives the patterns to
-compare word by word.  Patterns of one word have no block of two and are looked up directly.
+pattern can end before.  Where a block can end a pattern, the hash of the last SUFFIX words selects a bucket of patterns, which are
+compared word by word.  Patterns of one word have no block of two and are looked up directly.
 
-The benchmark is read in blocks of BLOCK_BYTES: the driver holds one at a time, broadcasts it (the bound of a broadcast) and goes on.  A task keeps the
-search tables of TABLES blocks.  Where there are more, it takes its texts by WINDOW_BYTES and searches them block by block, so each table is built once
-for a window: the benchmark's growth adds time, not memory.
+Tables are arrays over the words of the benchmark, numbered: the words of all items end to end, sorted blocks with their shifts, sorted suffix hashes with the places where the patterns end.
+A pattern is never written out, so a table takes a few times its block's bytes.
+
+The benchmark is read in blocks of BLOCK_BYTES: the driver holds one at a time, broadcasts it (the bound of a broadcast) and goes on.  A worker keeps the
+search tables of as many blocks as fit TABLE_BYTES, from one task to the next.  Where there are more, a task takes its texts by WINDOW_BYTES and searches them block by block, so each
+other table is built once for a window: the benchmark's growth adds time, not memory.
 
 Defined cases: null and empty texts have no words and no hits; items that are null or without words give no window; of
 repeated item ids each row counts as the same item.  Repeated documents each get a row.  Only named columns are read.
@@ -15,7 +18,9 @@ repeated item ids each row counts as the same item.  Repeated documents each get
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,8 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import mix
+
 WIDTH = 13
-BLOCK_BYTES, WINDOW_BYTES, TABLES = 8 << 20, 32 << 20, 4
+BLOCK_BYTES, WINDOW_BYTES, TABLE_BYTES, SUFFIX = 8 << 20, 32 << 20, 256 << 20, 4
+#: Comparisons of patterns that are made at once.
+AT_ONCE = 1 << 20
 
 
 def _word_table() -> bytes:
@@ -39,56 +48,112 @@ def words(data: bytes | None) -> list[bytes]:
     return data.translate(TABLE).split() if data else []
 
 
+@dataclass
+class Family:
+    """Patterns of one length: blocks of two words with their shifts, and suffix hashes with the places of the last words, all sorted."""
+
+    length: int
+    blocks: np.ndarray
+    shifts: np.ndarray
+    suffixes: np.ndarray
+    ends: np.ndarray
+
+
+def suffix_hashes(ids: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(min(SUFFIX, length)):
+        out = mix(out + ids[ends - k].astype(np.uint64) + np.uint64(1))
+    return out
+
+
 class WuManber:
     """items: (item id, words)."""
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], width: int = WIDTH):
-        self.names: list[str] = []
         number: dict[str, int] = {}
-        patterns: dict[tuple[bytes, ...], set[int]] = {}
+        self.vocabulary: dict[bytes, int] = {}
+        flat, sizes, owners = [], [], []
         for item, own in items:
             if own:
-                k = number.setdefault(item, len(number))
-                for at in range(max(1, len(own) - width + 1)):
-                    patterns.setdefault(tuple(own[at : at + width]), set()).add(k)
-        self.names = list(number)
-        self.single = {p[0]: sorted(v) for p, v in patterns.items() if len(p) == 1}
-        self.families: list[tuple[int, dict, dict]] = []
-        for m in sorted({len(p) for p in patterns} - {1}):
-            shift: dict[tuple[bytes, bytes], int] = {}
-            bucket: dict[tuple[bytes, bytes], list[tuple[list[bytes], list[int]]]] = {}
-            for p, items_of in patterns.items():
-                if len(p) == m:
-                    for end in range(1, m):
-                        block = (p[end - 1], p[end])
-                        shift[block] = min(shift.get(block, m - 1), m - 1 - end)
-                    bucket.setdefault(p[-2:], []).append((list(p), sorted(items_of)))
-            self.families.append((m, shift, bucket))
+                owners.append(number.setdefault(item, len(number)))
+                sizes.append(len(own))
+                flat.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own), np.int32, len(own)))
+        self.names, self.size = list(number), len(self.vocabulary) + 1
+        self.ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        sizes, self.owner = np.array(sizes, np.int64), np.repeat(np.array(owners, np.int32), sizes)
+        place = np.arange(len(self.ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of each word in its item
+        length = np.minimum(np.repeat(sizes, sizes), width)
+        self.single: dict[int, list[int]] = {}
+        for at in np.flatnonzero(length == 1).tolist():
+            self.single.setdefault(int(self.ids[at]), []).append(int(self.owner[at]))
+        self.families = [self._family(int(m), np.flatnonzero(length == m), place) for m in np.unique(length) if m > 1]
+
+    def _family(self, m: int, own: np.ndarray, place: np.ndarray) -> Family:
+        second = own[place[own] > 0]
+        keys, shifts = self._keys(self.ids, second), np.maximum(0, m - 1 - place[second]).astype(np.int16)
+        order = np.lexsort((shifts, keys))
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        ends = own[place[own] >= m - 1]
+        hashes = suffix_hashes(self.ids, ends, m)
+        by_hash = np.argsort(hashes, kind="stable")
+        return Family(m, keys[order][first], shifts[order][first], hashes[by_hash], ends[by_hash].astype(np.int32))
+
+    def _keys(self, ids: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return ids[second - 1].astype(np.int64) * self.size + ids[second]
+
+    def nbytes(self) -> int:
+        """About what the tables take: the arrays, and what a word of the vocabulary takes in a dictionary."""
+        arrays = sum(x.nbytes for f in self.families for x in (f.blocks, f.shifts, f.suffixes, f.ends))
+        return self.ids.nbytes + self.owner.nbytes + arrays + 160 * len(self.vocabulary)
 
     def search(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """The [start, end) word spans of all occurrences, and the items that occur."""
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
+        get, n = self.vocabulary.get, len(text)
+        if not n or not len(self.ids):
+            return spans, found
+        ids = np.fromiter((get(w, -1) for w in text), np.int32, n)
         if self.single:
-            for i, w in enumerate(text):
-                if (own := self.single.get(w)) is not None:
-                    spans.append((i, i + 1))
+            for at in np.flatnonzero(ids >= 0).tolist():
+                if (own := self.single.get(int(ids[at]))) is not None:
+                    spans.append((at, at + 1))
                     found.update(own)
-        for m, shift, bucket in self.families:
-            i, n, move, far = m - 1, len(text), shift.get, m - 1
+        both = np.flatnonzero((ids[1:] >= 0) & (ids[:-1] >= 0)) + 1  # where a block of known words ends
+        for f in self.families:
+            if n < f.length or not len(both):
+                continue
+            keys = self._keys(ids, both)
+            at = np.minimum(np.searchsorted(f.blocks, keys), len(f.blocks) - 1)
+            shift = np.full(n, f.length - 1, np.int16)
+            shift[both] = np.where(f.blocks[at] == keys, f.shifts[at], f.length - 1)
+            stops, i, steps = [], f.length - 1, shift.tolist()
             while i < n:
-                block = (text[i - 1], text[i])
-                step = move(block, far)
+                step = steps[i]
                 if step:
                     i += step
-                    continue
-                for p, own in bucket[block]:
-                    if text[i - m + 1 : i + 1] == p:
-                        spans.append((i - m + 1, i + 1))
-                        found.update(own)
-                i += 1
+                else:
+                    stops.append(i)
+                    i += 1
+            self._compare(f, ids, np.array(stops, np.int64), spans, found)
         return spans, found
 
+    def _compare(self, f: Family, ids: np.ndarray, stops: np.ndarray, spans: list, found: set) -> None:
+        """Compares the patterns of each stop's bucket with the words before it."""
+        hashes = suffix_hashes(ids, stops, f.length)
+        lo, hi = np.searchsorted(f.suffixes, hashes), np.searchsorted(f.suffixes, hashes, side="right")
+        stops, lo, sizes = stops[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        bound = np.cumsum(sizes)
+        for first in range(0, int(bound[-1]) if len(bound) else 0, AT_ONCE):
+            pick = np.arange(first, min(first + AT_ONCE, int(bound[-1])))
+            k = np.searchsorted(bound, pick, side="right")
+            end, at = f.ends[lo[k] + pick - (bound[k] - sizes[k])].astype(np.int64), stops[k]
+            for back in range(f.length):
+                same = self.ids[end - back] == ids[at - back]
+                end, at = end[same], at[same]
+            found.update(np.unique(self.owner[end]).tolist())
+            spans += [(x - f.length + 1, x + 1) for x in np.unique(at).tolist()]
+
 
 def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
@@ -111,19 +176,27 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     yield block
 
 
+#: The tables that this worker keeps: those of the last broadcast benchmark.
+_kept: dict[str, dict[int, WuManber]] = {}
+
+
 class Tables:
-    """The search tables of broadcast blocks in a task; those of the first TABLES are kept."""
+    """The search tables of broadcast blocks, as many kept for the worker as fit TABLE_BYTES.  name tells one benchmark from another."""
 
-    def __init__(self, shared: list, width: int):
-        self.shared, self.width, self.kept, self.built = shared, width, {}, 0
-        self.window = 0 if len(shared) <= TABLES else WINDOW_BYTES
+    def __init__(self, shared: list, width: int, name: str = ""):
+        self.shared, self.width, self.built = shared, width, 0
+        key = f"{name}/{width}"
+        if not name or key not in _kept:
+            _kept.clear()
+        self.kept = _kept.setdefault(key, {}) if name else {}
+        self.window = 0 if len(shared) == 1 else WINDOW_BYTES
 
     def each(self) -> Iterator[WuManber]:
         for k, block in enumerate(self.shared):
             if (table := self.kept.get(k)) is None:
                 table = WuManber([(i, words(t)) for i, t in block.value], self.width)
                 self.built += 1
-                if k < TABLES:
+                if table.nbytes() + sum(t.nbytes() for t in self.kept.values()) <= TABLE_BYTES:
                     self.kept[k] = table
             yield table
 
@@ -160,10 +233,10 @@ def _share(docs: DataFrame, benchmark: DataFrame) -> list:
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings) and spans (maximal hit runs in words) for each row of docs."""
-    shared = _share(docs, benchmark)
+    shared, name = _share(docs, benchmark), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(shared, width)
+        tables = Tables(shared, width, name)
         for held in windows(batches, lambda b: b.nbytes, tables.window):
             found = iter(tables.search([t for b in held for t in b.column("text").cast(pa.binary()).to_pylist()]))
             for batch in held:
@@ -190,11 +263,11 @@ def contaminated(n_hit: F.Column | str = "n_hit", n_words: F.Column | str = "n_w
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated; judged beside the row, so nothing is shuffled."""
-    shared = _share(docs, benchmark)
+    shared, name = _share(docs, benchmark), uuid.uuid4().hex
 
     @F.pandas_udf("boolean")
     def clean(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = Tables(shared, WIDTH)
+        tables = Tables(shared, WIDTH, name)
         for held in windows(series, lambda x: int(x.str.len().sum()), tables.window):
             found = iter(tables.search([t.encode("utf-8", "surrogatepass") if t else None for x in held for t in x]))
             for x in held:

@@ -794,3 +794,27 @@ def test_squeezed_numbers_come_back():
     at = exchange.bounds(keys, 7)
     assert at[0] == 0 and at[-1] == 1000 and (np.diff(at) > 80).all()
     assert exchange.unbundle(exchange.bundle([b"", b"ab", b"c"])) == [b"", b"ab", b"c"]
+
+
+def test_memory_of_pattern_tables_is_bounded():
+    class Block:
+        def __init__(self, value):
+            self.value = value
+
+    rng = random.Random(8)
+    vocab = [bytes(rng.choices(b"abcdefghij", k=rng.randint(2, 9))) for _ in range(30_000)]
+    block, size = [], 0
+    while size < 8 << 20:
+        block.append((f"i{len(block)}", b" ".join(rng.choices(vocab, k=200))))
+        size += len(block[-1][1])
+    one = decontamination.WuManber([(i, decontamination.words(t)) for i, t in block])
+    assert one.nbytes() <= 8 * size
+    shared, texts = [Block(block)] * 8, [block[7][1], b"nothing of it"]  # 64 MB of benchmark
+    first = decontamination.Tables(shared, 13, "bench")
+    got = first.search(texts)
+    held = len(first.kept)
+    assert first.built == 8 and sum(t.nbytes() for t in first.kept.values()) <= decontamination.TABLE_BYTES and 0 < held < 8
+    again = decontamination.Tables(shared, 13, "bench")  # the next task of this worker
+    assert again.search(texts) == got and again.built == 8 - held
+    assert got[0][0] == 200 and got[0][2] == {"i7"} and decontamination.covered(got[0][1], 200).all() and not got[1][1]
+    assert not decontamination.Tables(shared[:1], 13, "another").kept
