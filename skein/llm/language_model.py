@@ -354,7 +354,8 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: st
     of_cell = F.when(F.col("cell") < 0, F.sequence(F.lit(0), F.lit(N_BUCKETS - 1))).otherwise(F.array((F.col("cell") / GRID**3).cast("int")))
     weights = cells.select(F.explode(of_cell).alias("context"), "cell", "hits").groupBy("context").applyInArrow(_learn, "one int, bucket int, blob binary")
     model = weights.groupBy("one").applyInArrow(_together, "blob binary")
-    told = model.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), F.lit(0).alias("bucket"), "blob", F.lit(3).alias("kind"))
+    chunk_ids = docs.sparkSession.range(n_chunks).select(F.col("id").cast("int").alias("chunk"), F.lit(0).alias("one"))
+    told = chunk_ids.join(F.broadcast(model.withColumn("one", F.lit(0))), "one").select("chunk", F.lit(0).alias("bucket"), "blob", F.lit(3).alias("kind"))  # one row of N_BUCKETS weights, beside each chunk
     return by_chunk(answers.unionAll(told)).applyInArrow(_score, SCORES)
 
 
