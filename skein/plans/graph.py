@@ -350,7 +350,12 @@ def weighted_distance(spark, sf):
 def path_comparison(spark, sf):
     p = kept_pairs(spark, sf)
     ends = p.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    return paths.run(spark, p, ends.a, ends.b) if ends.a is not None else spark.createDataFrame([], paths.RUN)
+    if ends.a is None:
+        return spark.createDataFrame([], paths.RUN)
+    m = strong_members(p)
+    nodes = projection.symmetric(p).agg(F.countDistinct("node")).first()[0]
+    marks = [r.node for r in components.landmarks(p, m, components.bridges(p, m), components.landmark_budget(nodes)).collect()]
+    return paths.run(spark, p, ends.a, ends.b, landmarks=marks)
 
 
 @query("player_focus", f"""WITH RECURSIVE {STRONG}, f AS (SELECT min(node) AS node FROM member), near AS (SELECT dst AS node FROM rel, f WHERE src = f.node UNION SELECT src FROM rel, f WHERE dst = f.node),
