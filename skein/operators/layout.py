@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from skein.functions.scalars import fnv1a32, name_hash64
 
 GOLDEN = 2.3999631
+# Fixed values of placement: how far members spread about their group on the sphere, how far they leave its surface, the gap between groups on the plane, and a group's disc there.
+SPREAD_MOST, SPREAD_BASE, SPREAD_STEP, SPHERE_JITTER = 0.13, 0.014, 0.006, 0.0028
+GRID_GAP, DISC_STEP, DISC_BASE, DISC_JITTER = 520.0, 10.5, 18.0, 0.7
 RADIUS = 100.0
 
 
@@ -43,15 +46,15 @@ def sphere_members(df: DataFrame, radius: float = RADIUS) -> DataFrame:
     a = tuple(F.col(f"_a{k}") for k in range(3))
     b = _cross(n, a)
     size, off = F.col("size").cast("double"), F.col("offset").cast("double")
-    spread = F.least(F.lit(0.13), 0.014 + F.sqrt(size) * 0.006)
+    spread = F.least(F.lit(SPREAD_MOST), SPREAD_BASE + F.sqrt(size) * SPREAD_STEP)
     theta, radial = off * GOLDEN, spread * F.sqrt((off + 1) / size)
     d = _unit(tuple(n[k] + a[k] * F.cos(theta) * radial + b[k] * F.sin(theta) * radial for k in range(3)))
-    out = radius * (1 + (fnv1a32(F.col("node").cast("string")) % 7 - 3) * 0.0028)
+    out = radius * (1 + (fnv1a32(F.col("node").cast("string")) % 7 - 3) * SPHERE_JITTER)
     placed = {f"p{axis}": F.when(F.col("size") <= 1, F.col(axis) * radius).otherwise(d[k] * out).cast("float") for k, axis in enumerate("xyz")}
     return df.withColumns(placed).drop(*(f"_{p}{k}" for p in "na" for k in range(3)))
 
 
-def grid_anchor(index: Column, count: int, gap: float = 520.0) -> tuple[Column, Column]:
+def grid_anchor(index: Column, count: int, gap: float = GRID_GAP) -> tuple[Column, Column]:
     columns = max(1, math.ceil(math.sqrt(count)))
     lines = -(-count // columns)
     return (index % columns) * gap - (columns - 1) * gap * 0.5, F.floor(index / columns) * gap - max(0, lines - 1) * gap * 0.5
@@ -60,7 +63,7 @@ def grid_anchor(index: Column, count: int, gap: float = 520.0) -> tuple[Column,
 def flat_members(df: DataFrame) -> DataFrame:
     """df (node, ax, ay, offset, size) with px, py on a spiral about the anchor."""
     size, off = F.col("size").cast("double"), F.col("offset").cast("double")
-    radius, jitter = (F.sqrt(size) * 10.5 + 18.0) * F.sqrt((off + 1) / size), (fnv1a32(F.col("node").cast("string")) % 17 - 8) * 0.7
+    radius, jitter = (F.sqrt(size) * DISC_STEP + DISC_BASE) * F.sqrt((off + 1) / size), (fnv1a32(F.col("node").cast("string")) % 17 - 8) * DISC_JITTER
     one = F.col("size") <= 1
     return df.withColumns({"px": F.when(one, F.col("ax")).otherwise(F.col("ax") + F.cos(off * GOLDEN) * (radius + jitter)), "py": F.when(one, F.col("ay")).otherwise(F.col("ay") + F.sin(off * GOLDEN) * (radius - jitter))})
 

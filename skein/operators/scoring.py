@@ -25,21 +25,53 @@ DEATH_TOLERANCE = {"TOP": 1.0, "JUNGLE": 1.05, "MIDDLE": 1.0, "BOTTOM": 1.15, "U
 TARGET, SHARPNESS, LAMBDA, CAP = 0.7, 2.0, 0.5, 2.2
 SHORT, FULL, NEUTRAL, CEILING = 12.0, 20.0, 0.7, 4.5
 OVERFLOW = {"combat": 0.25, "risk": 0.25, "resource": 0.25, "map": 0.35, "team": 0.2}
-#: First subcategory's weight of each artifact, by role; the second has the rest.
-FIRST_WEIGHT = {
-    "combat": {"TOP": 0.55, "JUNGLE": 0.55, "MIDDLE": 0.55, "BOTTOM": 0.45, "UTILITY": 0.7, "UNKNOWN": 0.5},
-    "risk": {"TOP": 0.65, "JUNGLE": 0.65, "MIDDLE": 0.65, "BOTTOM": 0.75, "UTILITY": 0.65, "UNKNOWN": 0.65},
-    "resource": {"TOP": 0.55, "JUNGLE": 0.45, "MIDDLE": 0.6, "BOTTOM": 0.7, "UTILITY": 0.35, "UNKNOWN": 0.5},
-    "map": {"TOP": 0.35, "JUNGLE": 0.3, "MIDDLE": 0.45, "BOTTOM": 0.35, "UTILITY": 0.7, "UNKNOWN": 0.5},
-    "team": {"TOP": 0.9, "JUNGLE": 0.9, "MIDDLE": 0.85, "BOTTOM": 0.8, "UTILITY": 0.55, "UNKNOWN": 0.75},
-}
+#: The weights of both subcategories of each artifact, by role.
+ARTIFACT_WEIGHTS = {
+    "TOP": {"combat": (0.55, 0.45), "risk": (0.65, 0.35), "resource": (0.55, 0.45), "map": (0.35, 0.65), "team": (0.9, 0.1)},
+    "JUNGLE": {"combat": (0.55, 0.45), "risk": (0.65, 0.35), "resource": (0.45, 0.55), "map": (0.3, 0.7), "team": (0.9, 0.1)},
+    "MIDDLE": {"combat": (0.55, 0.45), "risk": (0.65, 0.35), "resource": (0.6, 0.4), "map": (0.45, 0.55), "team": (0.85, 0.15)},
+    "BOTTOM": {"combat": (0.45, 0.55), "risk": (0.75, 0.25), "resource": (0.7, 0.3), "map": (0.35, 0.65), "team": (0.8, 0.2)},
+    "UTILITY": {"combat": (0.7, 0.3), "risk": (0.65, 0.35), "resource": (0.35, 0.65), "map": (0.7, 0.3), "team": (0.55, 0.45)},
+    "UNKNOWN": {"combat": (0.5, 0.5), "risk": (0.65, 0.35), "resource": (0.5, 0.5), "map": (0.5, 0.5), "team": (0.75, 0.25)},
+}
+#: What a player of each role is expected to reach.
 EXPECTED = {
-    "assistWeight": (0.7, 0.85, 0.75, 0.65, 1.0, 0.75), "killParticipation": (0.42, 0.55, 0.5, 0.55, 0.58, 0.5), "soloKills": (1.2, 1.0, 1.2, 0.6, 0.15, 1.0), "pickKills": (7.0, 10.0, 9.0, 8.0, 12.0, 8.0),
-    "damagePerMinute": (650.0, 550.0, 700.0, 780.0, 330.0, 600.0), "damageShare": (0.22, 0.18, 0.23, 0.27, 0.1, 0.2), "deathRate": (0.16, 0.15, 0.14, 0.13, 0.16, 0.15), "deadTimeShare": (0.105, 0.095, 0.09, 0.085, 0.1, 0.095),
-    "livingRatio": (0.32, 0.3, 0.32, 0.34, 0.3, 0.31), "clutchSurvival": (2.0, 2.0, 2.0, 1.6, 1.5, 1.8), "goldPerMinute": (400.0, 380.0, 420.0, 450.0, 280.0, 380.0), "csPerMinute": (7.0, 5.6, 7.3, 7.8, 0.8, 6.0),
-    "laneCs10": (65.0, 60.0, 68.0, 70.0, 5.0, 55.0), "visionPerMinute": (0.65, 0.85, 0.7, 0.55, 1.8, 0.8), "wardActivityPerMinute": (0.35, 0.3, 0.32, 0.24, 0.75, 0.35), "objectiveDamagePerMinute": (260.0, 520.0, 250.0, 360.0, 90.0, 250.0),
-    "epicParticipation": (0.7, 2.3, 0.9, 1.1, 1.1, 1.0), "structureConversion": (1.3, 0.8, 1.0, 1.2, 0.4, 1.0), "ccPerMinute": (1.1, 1.3, 1.2, 0.6, 2.0, 1.1), "ccConversion": (3.0, 4.0, 3.5, 2.2, 5.0, 3.0),
-    "protectionPerMinute": (45.0, 30.0, 35.0, 25.0, 160.0, 45.0), "saves": (0.2, 0.15, 0.15, 0.1, 0.7, 0.2),
+    "TOP": {
+        "assistWeight": 0.7, "killParticipation": 0.42, "soloKills": 1.2, "pickKills": 7.0, "damagePerMinute": 650.0, "damageShare": 0.22,
+        "deathRate": 0.16, "deadTimeShare": 0.105, "livingRatio": 0.32, "clutchSurvival": 2.0, "goldPerMinute": 400.0, "csPerMinute": 7.0,
+        "laneCs10": 65.0, "visionPerMinute": 0.65, "wardActivityPerMinute": 0.35, "objectiveDamagePerMinute": 260.0, "epicParticipation": 0.7, "structureConversion": 1.3,
+        "ccPerMinute": 1.1, "ccConversion": 3.0, "protectionPerMinute": 45.0, "saves": 0.2,
+    },
+    "JUNGLE": {
+        "assistWeight": 0.85, "killParticipation": 0.55, "soloKills": 1.0, "pickKills": 10.0, "damagePerMinute": 550.0, "damageShare": 0.18,
+        "deathRate": 0.15, "deadTimeShare": 0.095, "livingRatio": 0.3, "clutchSurvival": 2.0, "goldPerMinute": 380.0, "csPerMinute": 5.6,
+        "laneCs10": 60.0, "visionPerMinute": 0.85, "wardActivityPerMinute": 0.3, "objectiveDamagePerMinute": 520.0, "epicParticipation": 2.3, "structureConversion": 0.8,
+        "ccPerMinute": 1.3, "ccConversion": 4.0, "protectionPerMinute": 30.0, "saves": 0.15,
+    },
+    "MIDDLE": {
+        "assistWeight": 0.75, "killParticipation": 0.5, "soloKills": 1.2, "pickKills": 9.0, "damagePerMinute": 700.0, "damageShare": 0.23,
+        "deathRate": 0.14, "deadTimeShare": 0.09, "livingRatio": 0.32, "clutchSurvival": 2.0, "goldPerMinute": 420.0, "csPerMinute": 7.3,
+        "laneCs10": 68.0, "visionPerMinute": 0.7, "wardActivityPerMinute": 0.32, "objectiveDamagePerMinute": 250.0, "epicParticipation": 0.9, "structureConversion": 1.0,
+        "ccPerMinute": 1.2, "ccConversion": 3.5, "protectionPerMinute": 35.0, "saves": 0.15,
+    },
+    "BOTTOM": {
+        "assistWeight": 0.65, "killParticipation": 0.55, "soloKills": 0.6, "pickKills": 8.0, "damagePerMinute": 780.0, "damageShare": 0.27,
+        "deathRate": 0.13, "deadTimeShare": 0.085, "livingRatio": 0.34, "clutchSurvival": 1.6, "goldPerMinute": 450.0, "csPerMinute": 7.8,
+        "laneCs10": 70.0, "visionPerMinute": 0.55, "wardActivityPerMinute": 0.24, "objectiveDamagePerMinute": 360.0, "epicParticipation": 1.1, "structureConversion": 1.2,
+        "ccPerMinute": 0.6, "ccConversion": 2.2, "protectionPerMinute": 25.0, "saves": 0.1,
+    },
+    "UTILITY": {
+        "assistWeight": 1.0, "killParticipation": 0.58, "soloKills": 0.15, "pickKills": 12.0, "damagePerMinute": 330.0, "damageShare": 0.1,
+        "deathRate": 0.16, "deadTimeShare": 0.1, "livingRatio": 0.3, "clutchSurvival": 1.5, "goldPerMinute": 280.0, "csPerMinute": 0.8,
+        "laneCs10": 5.0, "visionPerMinute": 1.8, "wardActivityPerMinute": 0.75, "objectiveDamagePerMinute": 90.0, "epicParticipation": 1.1, "structureConversion": 0.4,
+        "ccPerMinute": 2.0, "ccConversion": 5.0, "protectionPerMinute": 160.0, "saves": 0.7,
+    },
+    "UNKNOWN": {
+        "assistWeight": 0.75, "killParticipation": 0.5, "soloKills": 1.0, "pickKills": 8.0, "damagePerMinute": 600.0, "damageShare": 0.2,
+        "deathRate": 0.15, "deadTimeShare": 0.095, "livingRatio": 0.31, "clutchSurvival": 1.8, "goldPerMinute": 380.0, "csPerMinute": 6.0,
+        "laneCs10": 55.0, "visionPerMinute": 0.8, "wardActivityPerMinute": 0.35, "objectiveDamagePerMinute": 250.0, "epicParticipation": 1.0, "structureConversion": 1.0,
+        "ccPerMinute": 1.1, "ccConversion": 3.0, "protectionPerMinute": 45.0, "saves": 0.2,
+    },
 }
 JUNGLE_CS10, CRABS, BUFFS = 55.0, 1.0, 2.0
 
@@ -120,8 +152,8 @@ def artifact(first: Column, second: Column, weight: Column, kind: str, reliable:
 
 def expectations(spark: SparkSession) -> DataFrame:
     """One row a role, with every expected value."""
-    names = list(EXPECTED)
-    rows = [(r, *(EXPECTED[n][k] for n in names)) for k, r in enumerate(ROLES)]
+    names = list(EXPECTED["UNKNOWN"])
+    rows = [(r, *(own[n] for n in names)) for r, own in EXPECTED.items()]
     return spark.createDataFrame(rows, "role string, " + ", ".join(f"E_{n} double" for n in names))
 
 
@@ -134,7 +166,7 @@ def score_v2(stats: DataFrame) -> DataFrame:
     out = out.withColumns({"_kills": F.sum(zero("kills")).over(team), "_team_dmg": F.sum("_dmg").over(team)}).join(F.broadcast(expectations(stats.sparkSession)), "role")
     m, s, role = F.col("_min"), F.col("_min") * 60, F.col("role")
     r = reliability(m)
-    w = {k: by_role(v, role) for k, v in FIRST_WEIGHT.items()}
+    w = {k: by_role({r: own[k][0] for r, own in ARTIFACT_WEIGHTS.items()}, role) for k in OVERFLOW}
     conversion = (zero("kills") + zero("assists") * e("assistWeight")) / F.greatest(F.lit(1.0), F.col("_kills"))
     playmaking = 0.65 * curve(zero("soloKills") / e("soloKills")) + 0.35 * curve(zero("pickKillWithAlly") / e("pickKills"))
     fight = 0.75 * curve(conversion / e("killParticipation")) + 0.25 * playmaking
