@@ -12,7 +12,9 @@ from skein.streaming import stateful
 
 ROLE_LIST = "['top', 'JUNGLE', ' Mid ', 'adc', 'support', 'x']"
 LINE_STATS = f"""st AS (SELECT l_orderkey AS match_id, l_partkey AS player_id, l_linenumber, l_linenumber % 2 AS team, 1200 + l_orderkey % 1800 AS duration, {ROLE_LIST}[CAST(l_partkey % 6 AS INT) + 1] AS pos,
- CAST(l_quantity AS DOUBLE) AS kills, CAST(l_linenumber AS DOUBLE) AS deaths, round(l_discount * 100) AS assists, l_extendedprice AS gold, l_extendedprice * 0.9 AS spent, l_tax * 100 AS vision, l_extendedprice / 10 AS dmg FROM lineitem)"""
+ CAST(l_quantity AS DOUBLE) AS kills, CAST(l_linenumber AS DOUBLE) AS deaths, round(l_discount * 100) AS assists, l_extendedprice AS gold, l_extendedprice * 0.9 AS spent, l_tax * 100 AS vision, l_extendedprice / 10 AS dmg,
+ CAST(l_linenumber + 2 AS DOUBLE) AS wards, l_extendedprice / 5 AS heal, l_extendedprice / 4 AS mitigated, l_quantity / 2 AS cc, l_extendedprice / 8 AS taken, CAST(l_linenumber % 3 AS DOUBLE) AS turrets, l_extendedprice / 20 AS turret_damage,
+ CASE WHEN l_linenumber = 1 THEN 0.5 ELSE 0.0 END AS first_blood, l_quantity + 10 AS minions FROM lineitem)"""
 ROLE_SQL = "CASE upper(trim(pos)) WHEN 'TOP' THEN 'TOP' WHEN 'JUNGLE' THEN 'JUNGLE' WHEN 'MID' THEN 'MIDDLE' WHEN 'ADC' THEN 'BOTTOM' WHEN 'SUPPORT' THEN 'UTILITY' ELSE 'UNKNOWN' END"
 
 
@@ -24,6 +26,9 @@ def line_stats(spark, sf):
         F.col("l_orderkey").alias("match_id"), F.col("l_partkey").alias("player_id"), "l_linenumber", (F.col("l_linenumber") % 2).alias("teamId"), (1200 + F.col("l_orderkey") % 1800).alias("duration"),
         F.element_at(roles, (F.col("l_partkey") % 6).cast("int") + 1).alias("teamPosition"), F.col("l_quantity").cast("double").alias("kills"), F.col("l_linenumber").cast("double").alias("deaths"), F.round(F.col("l_discount") * 100).alias("assists"),
         F.col("l_extendedprice").alias("goldEarned"), (F.col("l_extendedprice") * 0.9).alias("goldSpent"), (F.col("l_tax") * 100).alias("visionScore"), (F.col("l_extendedprice") / 10).alias("physicalDamage"),
+        (F.col("l_linenumber") + 2).cast("double").alias("wardsPlaced"), (F.col("l_extendedprice") / 5).alias("totalHeal"), (F.col("l_extendedprice") / 4).alias("damageSelfMitigated"), (F.col("l_quantity") / 2).alias("timeCCingOthers"),
+        (F.col("l_extendedprice") / 8).alias("totalDamageTaken"), (F.col("l_linenumber") % 3).cast("double").alias("turretTakedowns"), (F.col("l_extendedprice") / 20).alias("damageDealtToTurrets"), (F.col("l_linenumber") == 1).alias("firstBloodKill"),
+        (F.col("l_quantity") + 10).alias("laneMinionsFirst10Minutes"),
     )
     return scoring.with_fields(own)
 
@@ -37,7 +42,8 @@ def _mult(name: str) -> str:
 
 
 @query("score_v1", f"""WITH {LINE_STATS}, r AS (SELECT *, {ROLE_SQL} AS role, greatest(1.0, duration / 60.0) AS d FROM st)
- SELECT match_id, player_id, l_linenumber, role, round((kills + assists * 0.965 - deaths * 0.25) * {_mult('kda')} + (gold / d / 10 + least(1.0, greatest(0.5, spent / greatest(1.0, gold))) * 0.5) * {_mult('economy')} + vision * 0.15 * {_mult('map_awareness')} + dmg / 1000 * 0.2 * {_mult('damage')}, 4) AS opscore,
+ SELECT match_id, player_id, l_linenumber, role, round((kills + assists * 0.965 - deaths * 0.25) * {_mult('kda')} + (gold / d / 10 + least(1.0, greatest(0.5, spent / greatest(1.0, gold))) * 0.5) * {_mult('economy')} + (vision * 0.15 + wards * 0.05) * {_mult('map_awareness')} + dmg / 1000 * 0.2 * {_mult('damage')}
+ + (heal * 0.001 + mitigated * 0.002 + cc * 0.01) * {_mult('utility')} + taken / d * 0.05 * {_mult('tanking')} + (turrets * 0.25 + turret_damage * 0.001) * {_mult('objectives')} + (first_blood + minions / 50) * {_mult('early_game')}, 4) AS opscore,
  round(deaths * {_case(scoring.DEATH_TOLERANCE)} - (kills + assists) * 0.35, 4) AS feedscore FROM r""")
 def score_v1(spark, sf):
     return scoring.score_v1(line_stats(spark, sf)).select("match_id", "player_id", "l_linenumber", "role", F.round("opscore", 4).alias("opscore"), F.round("feedscore", 4).alias("feedscore"))
