@@ -127,20 +127,23 @@ def permutations(spark: SparkSession, n: int, runs: int, seed: int) -> DataFrame
     return spark.range(1, runs + 1, 1, max(1, runs)).mapInArrow(work, "run int, place long, origin long")
 
 
+def drawn_values(own: DataFrame, n: int, runs: int, seed: int) -> DataFrame:
+    """run, place, value: the n values of own (place, value) as each run shuffles them.  Spark takes the rows that tasks make for as few as their ranges have; so the join is told to merge, for they must not be broadcast."""
+    return permutations(own.sparkSession, n, runs, seed).hint("merge").join(own.select(F.col("place").alias("origin"), "value"), "origin").select("run", "place", "value")
+
+
 def permutation_test(edges: DataFrame, values: DataFrame, n_permutations: int = 100, seed: int = 1) -> DataFrame:
     """observed, null mean, stddev, min, max, p_upper, p_two_sided, z, percentile of the correlation over edges (src, dst) when values (id, value) are shuffled.
 
     Values stand in id order; the shuffles of one generator are made in tasks and joined to the values by place, so a row is gathered for each node, as long as there are runs."""
-    spark = edges.sparkSession
     own = position(values.filter("value is not null").select("id", F.col("value").cast("double").alias("value")), [F.asc("id")], "place")
     own = cut(own.withColumn("place", (F.col("place") - 1).cast("long")))
-    drawn = permutations(spark, own.count(), n_permutations, seed).join(own.select(F.col("place").alias("origin"), "value"), "origin").select("run", "place", "value")
-    every = drawn.unionByName(own.select(F.lit(0).alias("run"), "place", "value"))
+    every = drawn_values(own, own.count(), n_permutations, seed).unionByName(own.select(F.lit(0).alias("run"), "place", "value"))
     held = every.groupBy("place").agg(F.array_sort(F.collect_list(F.struct("run", "value"))).alias("drawn"))
     table = cut(own.select("id", "place").join(held, "place").select("id", F.transform("drawn", lambda x: x["value"]).alias("perm")))
     both = edges.select("src", "dst").join(table.select(F.col("id").alias("src"), F.col("perm").alias("x")), "src").join(table.select(F.col("id").alias("dst"), F.col("perm").alias("y")), "dst")
     long = both.select(F.posexplode(F.arrays_zip("x", "y")).alias("run", "v"))
-    per = long.groupBy("run").agg(pearson(F.lit(True), F.col("v.x"), F.col("v.y")).alias("r"), F.count("*").alias("edges"))
+    per = cut(long.groupBy("run").agg(pearson(F.lit(True), F.col("v.x"), F.col("v.y")).alias("r"), F.count("*").alias("edges")))
     observed = per.filter("run = 0").select(F.col("r").alias("observed"), "edges")
     null = per.filter("run > 0").select(F.col("r").alias("sample"))
     o, s = F.col("observed"), F.col("sample")
