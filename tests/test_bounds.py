@@ -1,7 +1,8 @@
 """What keeps the steps of large tables bounded."""
 
-from skein.operators import assortativity, projection
-from skein.plans import graph
+from skein.operators import assortativity, centrality, paths, projection
+from skein.plans import graph, searches
+from skein.session import reaching
 from skein.sources import tables
 
 
@@ -26,3 +27,46 @@ def test_tasks_of_the_pairs_grow_with_the_lines(spark, sf, monkeypatch):
     found = graph.pairs_of(spark, sf)
     assert found.rdd.getNumPartitions() == tables.tasks(spark, sf) == -(-lines // 500)
     assert sorted(found.collect()) == want
+
+
+def ring(spark, *rings):
+    """Pairs of rings of nodes, not tied to each other."""
+    rows = [(*sorted((r[k], r[(k + 1) % len(r)])), 2, 0, 2, "ally") for r in rings for k in range(len(r))]
+    return spark.createDataFrame(rows, "src long, dst long, ally long, enemy long, total long, relation string").coalesce(1)
+
+
+def test_cost_towards_stays_in_the_component_of_its_source(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(searches.search, "landmark_table", lambda edges, marks, f=searches.search.landmark_table: (seen.append(edges.select("node").distinct().count()), f(edges, marks))[1])
+    monkeypatch.setattr(searches, "kept_pairs", lambda s, d: ring(s, [1, 2, 3, 9], [4, 5, 6, 7]))
+    (row,) = searches.cost_towards(spark, "").collect()
+    assert (row.source, row.target, row.cost) == (1, 9, 500_000) and seen == [4]
+    monkeypatch.setattr(searches, "kept_pairs", lambda s, d: ring(s, [1, 2, 3, 4], [5, 6, 7, 9]))
+    assert searches.cost_towards(spark, "").collect() == [] and seen == [4]
+
+
+def test_sampled_betweenness_takes_edges_in_reach_alone(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(centrality, "dependencies_of", lambda edges, sources, f=centrality.dependencies_of: (seen.append(edges.count()), f(edges, sources))[1])
+    labels = spark.createDataFrame([], "node long, label string")
+    found = centrality.betweenness_by_joins(ring(spark, [1, 2, 3, 9], [4, 5, 6, 7]), labels, "battle-path", False, sources=1, rows_at_once=1).collect()
+    assert seen == [8] and sorted(r.raw for r in found) == [0, 0, 0, 0, 0, 0, 2, 2]
+
+
+def test_rounds_of_small_fronts_leave_the_edges_where_they_are(spark, capsys):
+    edges = projection.symmetric(ring(spark, list(range(9)))).select("node", "other")
+    front = spark.range(3).withColumnRenamed("id", "node").hint("merge")
+    assert "BroadcastHashJoin" in plan(reaching(spark.range(3).withColumnRenamed("id", "node"), edges, 3), capsys)
+    assert "SortMergeJoin" in plan(reaching(front, edges, 500_001), capsys)
+
+
+def test_traced_searches_read_what_they_ask_for(spark, monkeypatch):
+    p = ring(spark, list(range(12)), list(range(20, 26))).cache()
+    held = paths.Graph.of(p, "battle-path")
+    monkeypatch.setattr(paths.Graph, "of", None)
+    monkeypatch.setattr(paths.Fetched, "AT_ONCE", 2)
+    for target in (5, 23):
+        for r in paths.run(spark, p, 0, target, modes=("battle-path",), landmarks=[3, 22]).collect():
+            want = paths.search(held, r.algorithm, 0, target, True, 50_000, [3, 22])
+            assert (r.status, r.cost, r.visited, r.n_steps, r.path) == (want.status, want.cost, want.visited, len(want.steps), [str(x) for x in want.path])
+            assert [(s.action, s.node) for s in r.steps] == [(a, str(n)) for a, n in want.steps]
