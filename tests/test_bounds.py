@@ -29,6 +29,14 @@ def test_tasks_of_the_pairs_grow_with_the_lines(spark, sf, monkeypatch):
     assert sorted(found.collect()) == want
 
 
+def test_lines_are_dealt_out_by_player_as_many_as_of_matches(spark, sf, monkeypatch, capsys):
+    want = sorted(tables.players(spark, sf).collect())
+    monkeypatch.setattr(tables, "LINES_A_TASK", 500)
+    found = tables.players(spark, sf)
+    assert "hashpartitioning(l_partkey#" in (held := plan(found, capsys)) and f", {tables.tasks(spark, sf)}), REPARTITION_BY_NUM" in held
+    assert sorted(found.collect()) == want
+
+
 def ring(spark, *rings):
     """Pairs of rings of nodes, not tied to each other."""
     rows = [(*sorted((r[k], r[(k + 1) % len(r)])), 2, 0, 2, "ally") for r in rings for k in range(len(r))]
