@@ -1,6 +1,6 @@
 """What keeps the steps of large tables bounded."""
 
-from skein.operators import assortativity, centrality, paths, projection
+from skein.operators import assortativity, centrality, components, paths, projection
 from skein.plans import graph, searches
 from skein.session import reaching
 from skein.sources import tables
@@ -37,6 +37,19 @@ def test_lines_are_dealt_out_by_player_as_many_as_of_matches(spark, sf, monkeypa
     assert sorted(found.collect()) == want
 
 
+def test_steps_of_hops_are_dealt_out_by_the_rows_they_make(spark, monkeypatch, capsys):
+    links = spark.createDataFrame([(a, b) for k in range(12) for a, b in ((k, (k + 1) % 12), ((k + 1) % 12, k))], "src long, dst long")
+    want = sorted(components.hops(links).collect())
+    assert len(want) == 144 and max(r.hops for r in want) == 6
+    monkeypatch.setattr(components, "STEP_ROWS", 3)
+    made, real = [], components._reached
+    monkeypatch.setattr(components, "_reached", lambda step, edge, rows: (made.append(rows), real(step, edge, rows))[1])
+    assert sorted(components.hops(links).collect()) == want
+    assert made == [24, 48, 48, 48, 48, 48, 24]
+    edge = links.selectExpr("src AS dst", "dst AS next")
+    assert "hashpartitioning(dst#" in (held := plan(real(links, edge, 48), capsys)) and ", 16), REPARTITION_BY_NUM" in held
+
+
 def ring(spark, *rings):
     """Pairs of rings of nodes, not tied to each other."""
     rows = [(*sorted((r[k], r[(k + 1) % len(r)])), 2, 0, 2, "ally") for r in rings for k in range(len(r))]
