@@ -48,6 +48,7 @@ def test_steps_of_hops_are_dealt_out_by_the_rows_they_make(spark, monkeypatch, c
     assert made == [24, 48, 48, 48, 48, 48, 24]
     edge = links.selectExpr("src AS dst", "dst AS next")
     assert "hashpartitioning(dst#" in (held := plan(real(links, edge, 48), capsys)) and ", 16), REPARTITION_BY_NUM" in held
+    assert "REPARTITION_BY_NUM" not in plan(real(links, edge, 9), capsys)
 
 
 def ring(spark, *rings):
