@@ -4,11 +4,15 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
+from skein.llm import exchange as ex
 from skein.llm import resampling
 from skein.llm.common import table
 from tests.llm.test_operators import ODD, docs_of
@@ -87,3 +91,51 @@ def test_resample_keeps_whole_rows_near_the_target(spark):
     target = spark.createDataFrame([("t", "alpha beta gamma delta alpha beta")], "item_id string, text string")
     kept = resampling.resample(docs, target).collect()
     assert len(kept) == 10 and all(r.doc_id % 10 == 0 and r.lang == "en" for r in kept)
+
+
+def shuffled(spark):
+    """Bytes that the session has written to exchanges."""
+    sc = spark.sparkContext._jsc.sc()
+    time.sleep(0.3)
+    spark.range(1).count()  # an event after the pause brings the totals up to date
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_exchanges_take_less_than_five_halves_of_the_text(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 11))) for _ in range(30_000)]
+    texts = [" ".join(vocabulary[k] for k in (30_000 * rng.random(500) ** 3).astype(int)) for _ in range(2_000)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    spark.conf.set("spark.skein.chunk.bytes", "200000")
+    try:
+        before = shuffled(spark)
+        resampling.weigh(docs, docs.limit(3)).write.format("noop").mode("overwrite").save()
+        took = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.skein.chunk.bytes")
+    assert 0 < took < 2.5 * sum(map(len, texts)), took / sum(map(len, texts))
+
+
+def test_hashes_are_those_of_the_strings():
+    vocabulary = pa.array([b"a", "éè".encode(), b"0123456789" * 7, b"word"])
+    columns = [np.array(c, np.int32) for c in ([1, 2, 3, 4, 1, 3], [0, 0, 3, 1, 2, 4], [0, 0, 0, 2, 3, 3])]
+    names = [b" ".join(vocabulary[k - 1].as_py() for k in row if k) for row in zip(*columns, strict=True)]
+    assert resampling.hashes_of(vocabulary)(columns).tolist() == [zlib.crc32(x) for x in names]
+
+
+def test_messages_bring_back_their_strings():
+    texts = ["the cat and the dog and the cat", "a rare bird and the cat", "", "the the the the"]
+    common = zstandard.compress(b"the and cat")
+    packs = list(resampling.packed(iter([pa.RecordBatch.from_pydict({"chunk": pa.array([0] * 4, pa.int32()), "doc_id": pa.array(range(4)), "text": texts})])))
+    answers = resampling._ask(3, 3, common, 1)((pa.scalar(0),), pa.Table.from_batches(packs))
+    got = collections.Counter()
+    for blob in answers.column("blob").to_pylist():
+        words, *sections = ex.unbundle(blob)
+        rare = zstandard.decompress(words).split()
+        names = [b"the", b"and", b"cat", *rare]
+        for section in sections:
+            columns, counts = resampling.strings_told(section, 3, np.arange(4, 4 + len(rare), dtype=np.int32))
+            for *row, n in zip(*columns, counts, strict=True):
+                got[b" ".join(names[k - 1] for k in row if k).decode()] += int(n) + 1
+    assert got == collections.Counter(g for t in texts for g in grams(t)[1])
