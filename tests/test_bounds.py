@@ -92,3 +92,13 @@ def test_traced_searches_read_what_they_ask_for(spark, monkeypatch):
             want = paths.search(held, r.algorithm, 0, target, True, 50_000, [3, 22])
             assert (r.status, r.cost, r.visited, r.n_steps, r.path) == (want.status, want.cost, want.visited, len(want.steps), [str(x) for x in want.path])
             assert [(s.action, s.node) for s in r.steps] == [(a, str(n)) for a, n in want.steps]
+
+
+def test_betweenness_of_equal_costs_writes_levels_alone(spark, monkeypatch):
+    p = ring(spark, [1, 2, 3, 9, 11], [4, 5, 6, 7])
+    labels = spark.createDataFrame([], "node long, label string")
+    key = lambda r: (r.node, r.degree, r.strength, round(r.raw, 9))
+    want = sorted(map(key, centrality.betweenness(p, labels, "battle-path", False).collect()))
+    monkeypatch.setattr(centrality, "shortest_edges", None)
+    for rows in (1, 200_000_000):
+        assert sorted(map(key, centrality.betweenness_by_joins(p, labels, "battle-path", False, rows_at_once=rows).collect())) == want
