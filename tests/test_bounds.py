@@ -1,5 +1,7 @@
 """What keeps the steps of large tables bounded."""
 
+import tracemalloc
+
 from skein.operators import assortativity, centrality, components, paths, projection
 from skein.plans import graph, searches
 from skein.session import reaching
@@ -102,3 +104,26 @@ def test_betweenness_of_equal_costs_writes_levels_alone(spark, monkeypatch):
     monkeypatch.setattr(centrality, "shortest_edges", None)
     for rows in (1, 200_000_000):
         assert sorted(map(key, centrality.betweenness_by_joins(p, labels, "battle-path", False, rows_at_once=rows).collect())) == want
+
+
+def test_neighbours_read_for_searches_are_held_as_arrays(spark):
+    n = 60_000
+    rows = spark.range(n).selectExpr("0L AS node", "id + 1 AS other", "1L AS w", "id % 9 AS total", "IF(id % 2 = 0, 'ally', 'enemy') AS relation")
+    near = paths.Fetched(rows)
+    near.heard = dict.fromkeys(range(1, n + 1))  # counted apart
+    tracemalloc.start()
+    try:
+        near.read([0])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 40 * n
+    assert near[0] == [(x + 1, 1, "enemy" if x % 2 else "ally") for x in sorted(range(n), key=lambda x: (-(x % 9), x))]
+    assert near.get(5) is None and 5 not in near and near[5] == [] and 0 in near and 5 not in near.heard
+
+
+def test_neighbours_may_have_names(spark):
+    rows = spark.createDataFrame([("a", "b", 2, 2, "ally"), ("a", "c", 1, 3, "enemy"), ("b", "a", 2, 2, "ally"), ("c", "a", 1, 3, "enemy")], "node string, other string, w long, total long, relation string")
+    near = paths.Fetched(rows)
+    assert near["a"] == [("c", 1, "enemy"), ("b", 2, "ally")] and list(near.heard) == ["c", "b"]
+    assert near["b"] == [("a", 2, "ally")] and not near.heard and near.keys() == {"a", "b", "c"}
