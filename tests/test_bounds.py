@@ -1,7 +1,11 @@
 """What keeps the steps of large tables bounded."""
 
+import random
 import tracemalloc
 
+from pyspark.sql import functions as F
+
+from skein import session
 from skein.operators import assortativity, centrality, components, paths, projection
 from skein.plans import graph, searches
 from skein.session import reaching
@@ -127,3 +131,28 @@ def test_neighbours_may_have_names(spark):
     near = paths.Fetched(rows)
     assert near["a"] == [("c", 1, "enemy"), ("b", 2, "ally")] and list(near.heard) == ["c", "b"]
     assert near["b"] == [("a", 2, "ally")] and not near.heard and near.keys() == {"a", "b", "c"}
+
+
+def test_shuffle_files_go_when_a_computation_is_written(spark):
+    before, held = spark.conf.get(session.CLEANED), []
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in root.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    old = files()
+    held.append(session.cut(spark.range(2000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))))
+    assert files() <= old and sorted(r.n for r in held[0].collect())[-1] == 286
+    assert spark.conf.get(session.CLEANED) == before
+
+
+def test_components_of_many_edges_contract_some_first(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = {(rng.randrange(40 * k, 40 * k + 40), rng.randrange(40 * k, 40 * k + 40)) for k in range(5) for _ in range(120)} | {(300, 300), (310, 311), (0, 0)}
+    edges = spark.createDataFrame(sorted(rows), "src long, dst long").coalesce(1)
+    want = sorted(components.connected_components(edges).collect())
+    monkeypatch.setattr(components, "MANY", 50)
+    made, real = [], components._contracted
+    monkeypatch.setattr(components, "_contracted", lambda now, total: (made.append(total), real(now, total))[1])
+    for hub in (components.HUB, 4):
+        monkeypatch.setattr(components, "HUB", hub)
+        assert sorted(components.connected_components(edges).collect()) == want
+    assert len(made) == 4 and 0 < made[0] < len(rows) / 8
+    assert components.connected_components(edges.limit(0)).collect() == []
