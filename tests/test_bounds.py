@@ -156,3 +156,11 @@ def test_components_of_many_edges_contract_some_first(spark, monkeypatch):
         assert sorted(components.connected_components(edges).collect()) == want
     assert len(made) == 4 and 0 < made[0] < len(rows) / 8
     assert components.connected_components(edges.limit(0)).collect() == []
+
+
+def test_cost_towards_does_not_write_the_edges_again(spark, monkeypatch):
+    made, real = [], paths.cut
+    monkeypatch.setattr(paths, "cut", lambda df: (made.append(df.columns), real(df))[1])
+    monkeypatch.setattr(searches, "kept_pairs", lambda s, d: ring(s, [1, 2, 3, 4], [5, 6, 7, 9]))
+    assert searches.cost_towards(spark, "").collect() == []
+    assert made and all(x == ["node", "level"] for x in made)
